@@ -115,7 +115,9 @@ class Block:
         chosen = self.hot.copy()
         chosen[(marks[(marks & RUNS) > 0] >> 3).astype(np.int64)] = True
         s, n = self.spec, len(self.values)
-        want = spread(self.lo[chosen], self.hi[chosen] + 1, n) & ~spread(self.lo[decided], self.hi[decided] + 1, n)
+        want = spread(self.lo[chosen], self.hi[chosen] + 1, n)
+        if s.keep_first:  # an earliest run is never decided; without keep_first a decided run may be another's only partner
+            want &= ~spread(self.lo[decided], self.hi[decided] + 1, n)
         start = np.flatnonzero(want)
         run = self.rolling.of(start, start + s.window)
         _, first, self.run_kind, copies = np.unique(run, return_index=True, return_inverse=True, return_counts=True)
