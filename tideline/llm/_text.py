@@ -97,15 +97,18 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     row = np.repeat(np.arange(rows), np.diff(first))
     if not len(start):
         return Words(buf, start, end, row, np.zeros(0, np.uint64), first)
+    return Words(buf, start, end, row, span_hash(buf, start, end, lower), first)
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each buf[start:end]; spans are in order and not empty."""
     length = end - start
-    longest = int(length.max())
-    where = np.flatnonzero(inside)
     begin = np.cumsum(length) - length
-    pos = np.arange(len(where)) - np.repeat(begin, length)
+    where = np.arange(int(length.sum())) + np.repeat(start - begin, length)
+    pos = where - np.repeat(start, length)
     value = (LOWER_KEYS if lower else BYTE_KEYS)[buf[where]]
-    value *= powers(MIX_1, longest)[pos]
-    h = np.add.reduceat(value, begin)
-    return Words(buf, start, end, row, mix(h + length.astype(np.uint64)), first)
+    value *= powers(MIX_1, int(length.max()))[pos]
+    return mix(np.add.reduceat(value, begin) + length.astype(np.uint64))
 
 
 class Rolling:

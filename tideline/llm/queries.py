@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.language_id import identify
+from tideline.llm.packing import pack_documents
 from tideline.llm.substring_dedup import remove_repeated_windows
 from tideline.llm.suffix_dedup import remove_repeated_bytes
+from tideline.llm.token_counts import count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on this machine and every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), size=2048)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(_documents(spark, sf_dir), window=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -27,5 +49,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_counts": op5_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
