@@ -16,3 +16,16 @@ kept AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY po
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+_LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op3_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, CAST(n_shared AS DOUBLE) / n_item AS containment
+FROM c JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""

@@ -1,7 +1,7 @@
 """Best-fit packing by sums of squares (operator 4).
 
 Each document goes where the sum over residual gaps of (open sequences with that gap) squared becomes
-smallest, which keeps every gap available for what comes later. Long documents are cut first; only
+smallest among the open sequences that hold it, which keeps every gap available for what comes later. Long documents are cut first; only
 the last piece of a document is shorter than a sequence, so one short piece a document is placed.
 Pieces are dealt by a hash of the document to groups of bounded size that are packed apart; a group
 leaves a few sequences open, of thousands.
@@ -86,13 +86,12 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         change = np.where(count[s:] > 0, 2 * (count[: size + 1 - s] - count[s:]) + 2, np.iinfo(np.int64).max)
         if count[s]:
             change[0] = -2 * count[s] + 1
-        best = int(change.argmin())
-        fresh = 2 * count[size - s] + 1 if s < size else 0
-        if change[best] <= fresh or (change[best] < np.iinfo(np.int64).max and count[s]):
+        best = int(change.argmin()) if s < size else 0
+        if change[best] < np.iinfo(np.int64).max:
             gap = s + best
             number = open_with[gap].pop()
             count[gap] -= 1
-        else:
+        else:  # longest first, so a new sequence is opened only where none fits
             gap, number = size, made
             made += 1
         sequence[k], offset[k] = number, size - gap
