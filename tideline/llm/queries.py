@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.decontaminate import contained
 from tideline.llm.language_id import identify
+from tideline.llm.language_model import held_out_scores
 from tideline.llm.licenses import scan
 from tideline.llm.near_dedup import near_duplicates
 from tideline.llm.packing import pack_documents
@@ -45,6 +46,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(_documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir), least=0.8)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_license_scan": op7_license_scan,
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
