@@ -13,6 +13,7 @@ from tideline.llm.language_model import held_out_scores
 from tideline.llm.licenses import scan
 from tideline.llm.near_dedup import near_duplicates
 from tideline.llm.packing import pack_documents
+from tideline.llm.spot_signatures import fingerprint_report
 from tideline.llm.substring_dedup import remove_repeated_windows
 from tideline.llm.suffix_dedup import remove_repeated_bytes
 from tideline.llm.token_counts import count_tokens
@@ -27,6 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(_documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=5, percent=80)
 
@@ -69,6 +74,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
