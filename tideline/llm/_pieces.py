@@ -3,19 +3,62 @@
 A text is cut only where its tokenizer cuts it too, so the ids of the parts are the ids of the text:
 - byte-level BPE: before a run of white space that follows something else (its pre-tokens keep
   leading, never trailing, white space); after other Unicode white space no cut is made,
-- BPE with word ends (white space is dropped): at ASCII white space.
+- BPE with word ends (white space is dropped): at ASCII white space and, in words of ASCII and Latin-1
+  letters without apostrophes or special strings, between letters, digits and other characters.
+  Upper and lower case of A-Z are the same part there.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 from tideline.llm import _text
 
 #: Distinct parts that a worker remembers; then it starts anew.
-MOST_PARTS = 600_000
+MOST_PARTS = 1_000_000
+_KIND = np.full(256, 3, np.uint8)  # 1: letters, 2: digits, 3: other
+_KIND[65:91] = _KIND[97:123] = _KIND[0xC3] = 1
+_KIND[0x80:0xC0] = 1
+_KIND[48:58] = 2
+_ODD = np.zeros(256, bool)  # words with these bytes are not divided
+_ODD[:33] = _ODD[127] = _ODD[39] = True
+_ODD[0xC0:] = True
+_ODD[0xC3] = False
+
+
+def letter_runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row's first part of parts of words, for a tokenizer that drops white space and lower-cases."""
+    w = _text.words(buf, offsets, hashed=False)
+    n = len(buf)
+    if not len(w):
+        return w.start, w.end, w.first
+    odd = _ODD[buf]
+    odd[1:] |= (buf[1:] == 124) & (buf[:-1] == 60)  # <|
+    after = (buf[1:] >= 0x80) & (buf[1:] < 0xC0)
+    latin = buf[:-1] == 0xC3
+    odd[1:] |= after & ~(latin & (buf[1:] != 0x97) & (buf[1:] != 0xB7))
+    step = np.zeros(n + 1, np.int8)
+    step[w.start] = 1
+    step[w.end] -= 1
+    inside = np.cumsum(step[:-1]) > 0
+    begins = np.zeros(n, bool)
+    kind = _KIND[buf]
+    begins[1:] = kind[1:] != kind[:-1]
+    odd &= inside
+    whole = np.add.reduceat(odd.astype(np.int32), w.start) > 0
+    fixed = np.zeros(n + 1, np.int8)
+    fixed[w.start[whole]] += 1
+    np.add.at(fixed, w.end[whole], -1)
+    begins &= inside & ~(np.cumsum(fixed[:-1]) > 0)
+    begins[w.start] = True
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], n)
+    last = np.searchsorted(start, w.end) - 1  # the last part of each word ends with the word
+    end[last] = w.end
+    return start, end, np.searchsorted(start, offsets)
 
 
 def space_led(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +96,7 @@ class Pieces:
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(length.sum())) if self.ids else self.pool[:0]
+        flat = np.array(list(chain.from_iterable(found)), np.uint32) if self.ids else self.pool[:0]
         return length, flat
 
     def number(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:

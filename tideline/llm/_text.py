@@ -75,7 +75,7 @@ class Words:
         return len(self.start)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
     """Words [^\\x20\\x09-\\x0D]+ of the texts buf[offsets[i]:offsets[i+1]]."""
     n, rows = len(buf), len(offsets) - 1
     none = np.zeros(0, np.int64)
@@ -95,7 +95,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     end = np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets).astype(np.int64)
     row = np.repeat(np.arange(rows), np.diff(first))
-    if not len(start):
+    if not len(start) or not hashed:
         return Words(buf, start, end, row, np.zeros(0, np.uint64), first)
     return Words(buf, start, end, row, span_hash(buf, start, end, lower), first)
 

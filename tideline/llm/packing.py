@@ -38,14 +38,14 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             buf, offsets = _text.raw(batch.column("text"))
             for i, j in _text.cut(offsets):
-                w = _text.words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if len(w):
-                    number = table.number(w.buf, w.start, w.end, w.hash)
+                text = buf[offsets[i] : offsets[j]]
+                begin, end, first = _pieces.letter_runs(text, offsets[i : j + 1] - offsets[i])
+                if len(begin):
+                    number = table.number(text, begin, end, _text.span_hash(text, begin, end, lower=True))
                     length = table.length[number]
                     sums = np.concatenate([[0], np.cumsum(length)])
-                    begin = table.begin()[number]
-                    flat = table.pool[np.arange(sums[-1]) + np.repeat(begin - sums[:-1], length)]
-                    edge = sums[w.first]
+                    flat = table.pool[np.arange(sums[-1]) + np.repeat(table.begin()[number] - sums[:-1], length)]
+                    edge = sums[first]
                 else:
                     flat, edge = np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
                 ids = np.insert(flat, edge[1:], np.uint32(end_id)).astype("<u4")
