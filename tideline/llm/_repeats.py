@@ -35,7 +35,7 @@ HOT = 48
 MOST_CONTEXTS = 1024
 DECIDED, SUFFIXES, RUNS = 1, 2, 4
 _SIGN = np.uint64(1 << 63)
-BLOCKS = "block long, n_docs int, n_bytes long, body binary"
+BLOCKS = "block long, n_docs int, n_bytes long, body binary, carried binary"
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def spread(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) to blocks, sorted by doc_id inside a block."""
+    """Rows (doc_id, text, ...) to blocks, sorted by doc_id inside a block; further columns are carried along."""
     part, number = TaskContext.get().partitionId(), 0
     held: list[pa.RecordBatch] = []
     size = 0
@@ -151,7 +151,15 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offsets = _text.raw(table["text"].take(pa.array(order)))
         raw = np.int64(len(order)).tobytes() + plain[order].tobytes() + null[order].astype(np.uint8).tobytes() + offsets.astype("<i8").tobytes() + buf.tobytes()
         number += 1
-        return pa.RecordBatch.from_pydict({"block": pa.array([(part << 33) + number - 1], pa.int64()), "n_docs": pa.array([len(order)], pa.int32()), "n_bytes": pa.array([len(buf)], pa.int64()), "body": pa.array([squeeze(raw, 3)], pa.binary())})
+        carried = table.drop_columns(["doc_id", "text"])
+        if carried.num_columns:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, carried.schema) as out:
+                out.write_table(carried.take(pa.array(order)))
+            carried = squeeze(sink.getvalue(), 3)
+        else:
+            carried = None
+        return pa.RecordBatch.from_pydict({"block": pa.array([(part << 33) + number - 1], pa.int64()), "n_docs": pa.array([len(order)], pa.int32()), "n_bytes": pa.array([len(buf)], pa.int64()), "body": pa.array([squeeze(raw, 3)], pa.binary()), "carried": pa.array([carried], pa.binary())})
 
     for batch in batches:
         _, offsets = _text.raw(batch.column("text"))
@@ -368,7 +376,7 @@ class Cut:
 def _finish(spec: Repeats, result: Callable[[Cut], pa.Table]) -> Callable:
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for _, b, marks, decided in _open(left, right, spec):
+        for carried, (_, b, marks, decided) in zip(left["carried"].to_pylist(), _open(left, right, spec), strict=True):
             n = len(b.values)
             gone = spread(b.lo[decided], b.hi[decided] + spec.window, n)
             if len(b.at):
@@ -385,14 +393,19 @@ def _finish(spec: Repeats, result: Callable[[Cut], pa.Table]) -> Callable:
                 gone |= spread(start, start + spec.window, n)
             spans = _marks(right, SUFFIXES)
             gone |= spread((spans >> np.uint64(32)).astype(np.int64), (spans & np.uint64(0xFFFFFFFF)).astype(np.int64), n)
-            out.append(result(Cut(b, gone)))
+            made = result(Cut(b, gone))
+            if carried is not None:
+                more = pa.ipc.open_stream(expand(carried)).read_all()
+                for name, column in zip(more.column_names, more.columns, strict=True):
+                    made = made.append_column(name, column)
+            out.append(made)
         return pa.concat_tables(out) if out else pa.table({})
 
     return go
 
 
 def find(docs: DataFrame, spec: Repeats, name: str, schema: str, result: Callable[[Cut], pa.Table]) -> DataFrame:
-    """`result` of every block of docs (doc_id, text)."""
+    """`result` of every block of docs (doc_id, text, and columns to carry along, named in the schema after those of `result`)."""
     stored, size = blocks(docs, name)
     n_buckets = max(12, int(size / (6.5 if spec.by_word else 1) * spec.density / BUCKET_ROWS))
     sent = stored.select("block", "body").mapInArrow(_anchor_rows(spec, n_buckets), "bucket long, blob binary")
@@ -401,4 +414,5 @@ def find(docs: DataFrame, spec: Repeats, name: str, schema: str, result: Callabl
     detail = bodies.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_detail_rows(spec, n_buckets), DETAIL)
     more = detail.groupBy("sort", "bucket").applyInArrow(_match_detail(spec), MARKS)
     marks = store(marks.unionByName(more), name + "-marks", "uncompressed")
-    return bodies.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_finish(spec, result), schema)
+    full = stored.select("block", "body", "carried")
+    return full.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_finish(spec, result), schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tideline.llm import _repeats
 from tideline.llm._shared import distinct_columns
@@ -89,3 +90,27 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     select, gram, density = select_by_cover(window)
     spec = _repeats.Repeats(window, gram, True, True, select, density)
     return _repeats.find(distinct_columns(docs, id_col, text_col), spec, "substrings", "doc_id long, n_words long, n_removed long, kept_text string", kept_words)
+
+
+def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """docs with the words removed that `remove_repeated_windows` removes, all columns kept.
+
+    A text that loses nothing stays as it is, white space included; another becomes its kept words,
+    joined by one space. No row is dropped; cases as in `remove_repeated_windows`.
+    """
+    if window < 1:
+        raise ValueError("window must be 1 at least")
+    select, gram, density = select_by_cover(window)
+    spec = _repeats.Repeats(window, gram, True, True, select, density)
+    fields = [f for f in docs.schema.fields if f.name not in (id_col, text_col)]
+    plain = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+        *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)],
+        F.col(f"`{text_col}`").cast("string").alias("whole"),
+    )
+    schema = "doc_id long, n_words long, n_removed long, kept_text string" + "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", whole string"
+    out = _repeats.find(plain, spec, "passages", schema, kept_words)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))
+    own = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: text} | {f.name: F.col(f"c{i}") for i, f in enumerate(fields)}
+    return out.select(*[own[c].alias(c) for c in docs.columns])
