@@ -174,9 +174,15 @@ def test(df: DataFrame, a: str, b: str, metric: Metric = PEARSON, order: str | N
     return {"name": metric.name, "value": row["value"], "n": row["n"], "p_value": row["p_value"], "hypothesis_test": metric.hypothesis}
 
 
+def _place(df: DataFrame, order: str) -> Column:
+    """An order column as a number: microseconds for instants."""
+    c = F.col(f"`{order}`")
+    return F.unix_micros(c.cast("timestamp")).cast("double") if dict(df.dtypes)[order] in ("date", "timestamp", "timestamp_ntz") else c.cast("double")
+
+
 def _long_pairs(df: DataFrame, pairs: list[tuple[str, str]], order: str | None) -> DataFrame:
     """Rows (row, col, i, a, b) of all pairs of columns: one generator over one scan."""
-    i = F.col(f"`{order}`").cast("double") if order else F.lit(0.0)
+    i = _place(df, order) if order else F.lit(0.0)
     parts = F.array(*[F.struct(F.lit(x).alias("row"), F.lit(y).alias("col"), number(x).alias("a"), number(y).alias("b"), i.alias("i")) for x, y in pairs])
     out = df.select(F.explode(parts).alias("s")).select("s.*").where("a IS NOT NULL AND b IS NOT NULL")
     return out if order else out.withColumn("i", F.xxhash64("a", "b"))
@@ -209,9 +215,10 @@ def lagged(df: DataFrame, columns: list[str], lags: int | list[int], order: str,
     """
     steps = list(range(1, lags + 1)) if isinstance(lags, int) else sorted(lags)
     w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    wide = df.select(*keys, F.col(order).alias("_o"), *[number(c).alias(f"_c{i}") for i, c in enumerate(columns)], *[F.lead(number(c), k).over(w).alias(f"_b{i}_{k}") for i, c in enumerate(columns) for k in steps])
+    ahead = [F.lead(number(c), k).over(w).alias(f"_b{i}_{k}") for i, c in enumerate(columns) for k in steps]
+    wide = df.select(*keys, _place(df, order).alias("i"), *[number(c).alias(f"_c{i}") for i, c in enumerate(columns)], *ahead)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("lag"), F.col(f"_c{i}").alias("a"), F.col(f"_b{i}_{k}").alias("b")) for i, c in enumerate(columns) for k in steps])
-    out = wide.select(*keys, F.col("_o").cast("double").alias("i") if dict(wide.dtypes)["_o"] not in ("date", "timestamp", "timestamp_ntz") else F.unix_micros(F.col("_o").cast("timestamp")).alias("i"), F.explode(rows).alias("s"))
+    out = wide.select(*keys, "i", F.explode(rows).alias("s"))
     return out.select(*keys, "i", "s.*").where("a IS NOT NULL AND b IS NOT NULL")
 
 

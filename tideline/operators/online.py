@@ -38,7 +38,7 @@ LOSSES: dict[str, Loss] = {"squared": squared, "absolute": absolute, "logistic":
 # functions with gradients
 
 
-@dataclass
+@dataclass(frozen=True)
 class Smooth:
     """A function with its gradient, and its Hessian where known."""
 
@@ -467,7 +467,7 @@ class MirrorDescent(Gradient):
     """theta = inverse(regulariser's gradient at theta - rate * g)."""
 
     regulariser: Smooth = SQUARES
-    inverse: Callable = lambda z: z / 2
+    inverse: Callable = staticmethod(lambda z: z / 2)
 
     def move(self, g: np.ndarray) -> None:
         self.theta = self.inverse(self.regulariser.gradient(self.theta) - self.at(self.rate) * g)

@@ -25,6 +25,8 @@ IRREGULAR_TIME, IRREGULAR_NUMERIC = "irregular time", "irregular numeric"
 UNITS = (("D", 86_400_000_000), ("h", 3_600_000_000), ("min", 60_000_000), ("s", 1_000_000), ("ms", 1_000), ("us", 1))
 WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+#: Cells between knots up to which a smoothing spline is refined: its solution costs their cube.
+MOST_CELLS = 1500
 Unbounded = Window.unboundedPreceding
 
 
@@ -314,27 +316,34 @@ def spline_basis(x: np.ndarray, knots: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit_spline(x: np.ndarray, y: np.ndarray, k: int, s: float) -> Callable[[np.ndarray], np.ndarray]:
-    """A least-squares spline of degree k: a polynomial, with knots added where errors are largest until their squares sum to s at most."""
+    """A least-squares spline of degree k: a polynomial, with knots added where errors are large until their squares sum to s at most."""
     lo, hi = float(x[0]), float(x[-1])
     scale = (hi - lo) or 1.0
     u = (x - lo) / scale
     knots = np.array([0.0, 1.0])
     while True:
-        coef, *_ = np.linalg.lstsq(spline_basis(u, knots, k), y, rcond=None)
-        error = (spline_basis(u, knots, k) @ coef - y) ** 2
-        if error.sum() <= s or len(knots) + k - 1 >= len(x):
+        basis = spline_basis(u, knots, k)
+        if basis.shape[1] <= 64:
+            coef, *_ = np.linalg.lstsq(basis, y, rcond=None)
+        else:  # many knots: normal equations, with a ridge that is small beside their diagonal
+            square = basis.T @ basis
+            coef = np.linalg.solve(square + 1e-10 * max(square.trace() / len(square), 1e-300) * np.eye(len(square)), basis.T @ y)
+        error = (basis @ coef - y) ** 2
+        cells = len(knots) - 1
+        if error.sum() <= s or cells + k >= len(x) or cells >= MOST_CELLS:
             break
-        cell = np.clip(np.searchsorted(knots, u, side="right") - 1, 0, len(knots) - 2)
-        sums, inside = np.bincount(cell, error, len(knots) - 1), np.bincount(cell, minlength=len(knots) - 1)
-        for c in np.argsort(-sums):
-            if inside[c] >= 2:
-                own = np.sort(u[cell == c])
+        cell = np.clip(np.searchsorted(knots, u, side="right") - 1, 0, cells - 1)
+        sums = np.bincount(cell, error, cells)
+        new = []
+        for c in np.flatnonzero(sums > s / cells):  # all cells with more than their share of the error are halved
+            own = u[cell == c]
+            if len(own) >= 2:
                 middle = (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2
                 if knots[c] < middle < knots[c + 1]:
-                    knots = np.insert(knots, c + 1, middle)
-                    break
-        else:
+                    new.append(middle)
+        if not new:
             break
+        knots = np.sort(np.concatenate([knots, new[: len(x) - k - cells]]))
     return lambda at: spline_basis(np.clip((at - lo) / scale, 0, 1), knots, k) @ coef
 
 
