@@ -42,7 +42,7 @@ def from_arrays(spark: SparkSession, x: np.ndarray, y: np.ndarray | None = None)
     x = x[:, None] if x.ndim == 1 else x
     if y is not None and len(y) != len(x):
         raise ValueError("x and y have different lengths")
-    pdf = pd.DataFrame({"seq": np.arange(len(x)), "features": list(x)} | ({"y": np.asarray(y, float)} if y is not None else {}))
+    pdf = pd.DataFrame({"seq": np.arange(len(x)), "features": x.tolist()} | ({"y": np.asarray(y, float)} if y is not None else {}))
     return spark.createDataFrame(pdf)
 
 
