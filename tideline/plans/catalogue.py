@@ -100,7 +100,7 @@ scalar("maximum", L.maximum, "max(l_extendedprice)")
 scalar("median", L.median, "median(l_extendedprice)")
 scalar("lower_quartile", L.lower_quartile, "quantile_cont(l_extendedprice, 0.25)")
 scalar("upper_quartile", L.upper_quartile, "quantile_cont(l_extendedprice, 0.75)")
-scalar("midhinge", L.midhinge, "(quantile_cont(l_extendedprice, 0.25) + quantile_cont(l_extendedprice, 0.75)) / 2")
+scalar("midhinge", L.midhinge, "(quantile_cont(l_extendedprice, 0.25) + quantile_cont(l_extendedprice, 0.75)) / 2", digits=6)
 scalar("generalized_midhinge", lambda t, c: L.generalized_midhinge(t, c, 0.1, 0.8), "(quantile_cont(l_extendedprice, 0.1) + quantile_cont(l_extendedprice, 0.8)) / 2")
 scalar("weighted_quantile", lambda t, c: L.quantile(t, c, 0.3, "l_quantity"), _WQ)
 scalar("mode_value", L.mode, "SELECT l_quantity AS value FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1", "l_quantity")
@@ -118,7 +118,7 @@ scalar("coefficient_of_variation", V.coefficient_of_variation, "stddev_samp(l_ex
 scalar("quantile_spread", lambda t, c: V.quantile_spread(t, c, 0.8), "quantile_cont(l_extendedprice, 0.9) - quantile_cont(l_extendedprice, 0.1)")
 scalar("iqr", V.iqr, "quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)")
 scalar("decile_range", V.decile_range, "quantile_cont(l_extendedprice, 0.9) - quantile_cont(l_extendedprice, 0.1)")
-scalar("semi_interquartile_range", V.semi_interquartile_range, "(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / 2")
+scalar("semi_interquartile_range", V.semi_interquartile_range, "(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / 2", digits=6)
 scalar("normalized_iqr", V.normalized_iqr, "(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / abs(median(l_extendedprice))", digits=6)
 scalar("data_range", V.data_range, "max(l_extendedprice) - min(l_extendedprice)")
 scalar("gini_coefficient", V.gini_coefficient, f"SELECT 2 * sum(rn * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n) AS value FROM ({_RANKED})", digits=6)
@@ -313,7 +313,7 @@ register("fill_mean_limit", f"WITH g AS (SELECT * FROM {_GN}) SELECT day, round(
 register("fill_linear", f"""WITH g AS (SELECT day, total, row_number() OVER (ORDER BY day) AS rn FROM {_GN}),
 k AS (SELECT *, last_value(CASE WHEN total IS NOT NULL THEN rn END IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS ra, last_value(total IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS xa,
 first_value(CASE WHEN total IS NOT NULL THEN rn END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rb, first_value(total IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS xb FROM g)
-SELECT day, round(CASE WHEN total IS NOT NULL THEN total WHEN rb IS NULL THEN xa ELSE xa + (xb - xa) * (rn - ra) / (rb - ra) END, 4) AS total FROM k""")(lambda spark, d: rounded(gaps(spark, d).fill_missing("linear").df, 4))
+SELECT day, round(CASE WHEN total IS NOT NULL THEN total WHEN rb IS NULL THEN xa ELSE xa + (xb - xa) * (rn - ra) / (rb - ra) END, 6) AS total FROM k""")(lambda spark, d: rounded(gaps(spark, d).fill_missing("linear").df, 6))
 def millions(spark: SparkSession, d: str) -> SeriesFrame:
     """The calendar series in millions."""
     return SeriesFrame(calendar(spark, d).withColumn("total", F.col("total") / 1e6), "day", ["total"], freq="D")
