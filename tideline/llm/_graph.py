@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm._shared import store
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a batch as stars: each id with the least one that it reaches inside the batch."""
+    for batch in batches:
+        a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        root = np.arange(len(ids))
+        while True:  # ids are sorted, so the least number is the least id
+            low = root.copy()
+            np.minimum.at(low, x, root[y])
+            np.minimum.at(low, y, root[x])
+            np.minimum.at(low, root[x], low[x])
+            np.minimum.at(low, root[y], low[y])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        far = root != np.arange(len(ids))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(ids[root[far]]), "b": pa.array(ids[far])})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b). Ids without a link aren't listed.
 
@@ -15,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of a component's width. Each round is written, so
     a lost executor costs one round. Hubs are pre-aggregated and their joins can be split.
     """
-    edges = store(links.select("a", "b").where("a <> b").union(links.selectExpr("b AS a", "a AS b").where("a <> b")).distinct(), "edges")
+    links = links.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long")
+    edges = store(links.union(links.selectExpr("b AS a", "a AS b")).distinct(), "edges")
     labels = store(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "id"), "labels")
     while True:
         seen = edges.join(labels, edges["a"] == labels["id"]).select(F.col("b").alias("id"), "component")

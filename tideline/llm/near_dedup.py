@@ -8,8 +8,9 @@
    sketches' XOR estimates a high similarity precisely; candidates far below the threshold go.
 4. What is left is confirmed on the full sets. Links make components.
 5. A class may be linked to another member of its band than the first. So classes that share bands
-   (directly or over others) but are still in different components are compared by their sketches in
-   blocks, the likeliest pairs of each class are confirmed, and this repeats until no pair is left.
+   (directly or over others) but are still in different components are compared in blocks: every
+   class outside the largest component with all others, by sketch first and, where that leaves
+   doubt, on the full sets. A block sends on one link at most for a class and another component.
 """
 
 from __future__ import annotations
@@ -27,12 +28,10 @@ from tideline.llm._shared import distinct_columns, mix, store
 SKETCH_BITS = 1024
 #: Candidates whose estimated similarity is this far below the threshold are not confirmed: over 4 standard errors.
 MARGIN = 0.12
-#: Likely partners that a class sends to confirmation in a round of step 5; the rest follow in later rounds.
-PARTNERS = 16
 #: Ids that may be sent to every task as a filter (8 bytes each); more are joined by a shuffle.
 SENT_IDS = 1_000_000
-#: Classes in one block of step 5.
-BLOCK = 4096
+#: Classes on either side of one block of step 5.
+BLOCK = 2048
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -192,36 +191,50 @@ def _confirm(percent: int):
     return go
 
 
+def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """doc_id, shingles of the rows with these ids; the ids are sent to the rows if they are few, else joined."""
+    ids = store(ids.distinct(), "ids")
+    chosen = rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    return chosen.mapInArrow(_sets(size), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+
+
 def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs (a, b) with `linked`, from the full sets of the texts of rows (doc_id, text)."""
-    ids = store(pairs.selectExpr("explode(array(a, b)) AS doc_id").distinct(), "ids")
-    few = ids.count() <= SENT_IDS
-    chosen = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = chosen.mapInArrow(_sets(size), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    sets = _sets_of(rows, pairs.selectExpr("explode(array(a, b)) AS doc_id"), size)
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "xb"}), "b")
     return store(both.select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "links")
 
 
-def _across(samples: int, least: float):
-    """Likely pairs between the x and the y rows of a block that are in different components."""
+def _across(samples: int, least: float, percent: int):
+    """Links between the x and the y rows of a block that are in different components, one for each x and component."""
 
     def go(table: pa.Table) -> pa.Table:
         side = np.asarray(table["side"])
         rep, comp = np.asarray(table["rep"]), np.asarray(table["component"])
         sketch = _sketches(table["sketch"])
+        raw, offsets = _text.raw(table["shingles"])
+        sets, first = raw.view("<u8"), offsets // 8
+        size = np.diff(first)
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = [np.zeros((0, 3))]
+        a, b = [], []
         for i in x.tolist():
             other = y[comp[y] != comp[i]]
-            if not len(other):
-                continue
-            s = estimate(sketch[other], sketch[i][None, :], samples)
-            ok = np.flatnonzero(s >= least)
-            if len(ok):
-                r = rep[other[ok]]
-                out.append(np.stack([np.minimum(r, rep[i]), np.maximum(r, rep[i]), (s[ok] * 1e9).astype(np.int64)], axis=1))
-        found = np.concatenate(out).astype(np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "s": pa.array(found[:, 2])})
+            other = other[estimate(sketch[other], sketch[i][None, :], samples) >= least] if len(other) else other
+            own = sets[first[i] : first[i + 1]]
+            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+            other = other[100 * small >= percent * large]
+            for k in range(0, len(other), 512):
+                part = other[k : k + 512]
+                n = size[part]
+                at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                theirs = sets[at]
+                hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+                linked = part[100 * both >= percent * (n + len(own) - both)]
+                _, one = np.unique(comp[linked], return_index=True)
+                a += [rep[i]] * len(one)
+                b += rep[linked[one]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return go
 
@@ -255,36 +268,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = _confirmed(source, likely, shingle, percent)
     coarse = _graph.components(near)
     members = store(coarse.withColumnRenamed("component", "coarse").join(sketches, F.col("id") == F.col("rep")).select("rep", "coarse", "sketch"), "members")
-    while True:
-        links = tested.where("linked").select("a", "b")
-        found = _graph.components(links)
-        placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        per = placed.groupBy("coarse", "component").agg(F.count("*").alias("n"))
-        most = per.groupBy("coarse").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("most")).where("total > most.n")
-        open_ = placed.join(most, "coarse").withColumn("x", F.col("component") != F.col("most.component"))
-        deal = open_.withColumns({"nx": F.ceil((F.col("total") - F.col("most.n")) / BLOCK).cast("int"), "ny": F.ceil(F.col("total") / BLOCK).cast("int"), "own": F.abs(F.xxhash64("rep"))})
-        cols = ["coarse", "rep", "component", "sketch"]
-        xs = deal.where("x").select(*cols, F.lit(0).alias("side"), F.expr("own % nx").alias("bx"), F.explode(F.expr("sequence(0, ny - 1)")).alias("by"))
-        ys = deal.select(*cols, F.lit(1).alias("side"), F.explode(F.expr("sequence(0, nx - 1)")).alias("bx"), F.expr("own % ny").alias("by"))
-        grid = xs.select(*cols, "side", F.col("bx").cast("long"), F.col("by").cast("long")).union(ys.select(*cols, "side", F.col("bx").cast("long"), F.col("by").cast("long")))
-        across = grid.groupBy("coarse", "bx", "by").applyInArrow(_across(samples, least), "a long, b long, s long")
-        fresh = across.groupBy("a", "b").agg(F.max("s").alias("s")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = store(fresh, "open")
-        if not fresh.limit(1).count():
-            break
-        chosen = _likeliest(fresh)
-        tested = store(tested.union(_confirmed(source, chosen, shingle, percent)), "tested")
+    links = tested.where("linked").select("a", "b")
+    found = _graph.components(links)
+    placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    per = placed.groupBy("coarse", "component").agg(F.count("*").alias("n"))
+    most = per.groupBy("coarse").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("most")).where("total > most.n")
+    blocks = {"nx": F.ceil((F.col("total") - F.col("most.n")) / BLOCK).cast("int"), "ny": F.ceil(F.col("total") / BLOCK).cast("int"), "own": F.pmod(F.xxhash64("rep"), F.lit(1 << 30))}
+    open_ = placed.join(most, "coarse").withColumn("x", F.col("component") != F.col("most.component")).withColumns(blocks)
+    open_ = store(open_.select("coarse", "rep", "component", "sketch", "x", "nx", "ny", "own"), "open")
+    if open_.limit(1).count():
+        deal = open_.join(_sets_of(source, open_.selectExpr("rep AS doc_id"), shingle), F.col("rep") == F.col("doc_id"))
+        cols = ["coarse", "rep", "component", "sketch", "shingles"]
+        xs = deal.where("x").select(*cols, F.lit(0).alias("side"), F.expr("own % nx").alias("bx"), F.explode(F.expr("sequence(0L, ny - 1L)")).alias("by"))
+        ys = deal.select(*cols, F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, nx - 1L)")).alias("bx"), F.expr("own % ny").alias("by"))
+        more = store(xs.union(ys).groupBy("coarse", "bx", "by").applyInArrow(_across(samples, least, percent), "a long, b long"), "more")
+        if more.limit(1).count():
+            found = _graph.components(links.union(more))
     result = signed.select("doc_id", "n_shingles", "k1", "k2")
     own = classes.select("k1", "k2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = result.join(own, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
-
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """Likely pairs (a, b, s): the likeliest in each of PARTNERS parts of each end's pairs, so that maxima can be pre-aggregated. Pairs left out come again in the next round."""
-    out = None
-    for end in ("a", "b"):
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(PARTNERS)))
-        best = salted.groupBy(end, "salt").agg(F.max(F.struct("s", "a", "b")).alias("m")).select("m.a", "m.b")
-        out = best if out is None else out.union(best)
-    return out.distinct()
