@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,21 +13,40 @@ from tideline.operators import association, ewm, location
 from tideline.operators.series import SeriesFrame
 from tideline.plans import report
 
+
+
+@dataclass(frozen=True)
+class Quantiles:
+    """A metric made of quantiles: all those of a column's metrics come from one exact percentile aggregate."""
+
+    shares: tuple[float, ...]
+    combine: Callable[..., Column] = lambda *v: v[-1] - v[0] if len(v) > 1 else v[0]
+
+
+ColumnMetric = Callable[[Column], Column] | Quantiles
 #: Metrics that are one aggregate each, so a table's summary is one scan.
-LOCATION: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "median": lambda x: F.percentile(x, F.lit(0.5))}
-DISPERSION: dict[str, Callable[[Column], Column]] = {
-    "std": F.stddev_samp,
-    "quantile_spread_90": lambda x: F.percentile(x, F.lit(0.95)) - F.percentile(x, F.lit(0.05)),
-    "iqr": lambda x: F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25)),
-}
+LOCATION: dict[str, ColumnMetric] = {"mean": F.avg, "median": Quantiles((0.5,))}
+DISPERSION: dict[str, ColumnMetric] = {"std": F.stddev_samp, "quantile_spread_90": Quantiles((0.05, 0.95)), "iqr": Quantiles((0.25, 0.75))}
 
 
-def column_metrics(df: DataFrame, metrics: dict[str, Callable[[Column], Column]], columns: list[str] | None = None, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def column_metrics(df: DataFrame, metrics: dict[str, ColumnMetric], columns: list[str] | None = None, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Rows (keys, column, one field for each metric): one aggregate over one scan, then unpivoted."""
     columns = [c for c in numeric_columns(df) if c not in keys] if columns is None else columns
-    parts = [F.struct(F.lit(c).alias("column"), *[m(number(c)).alias(n) for n, m in metrics.items()]).alias(f"_{i}") for i, c in enumerate(columns)]
-    one = (df.groupBy(*keys) if keys else df).agg(*parts)
-    return one.select(*keys, F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("s")).select(*keys, "s.*")
+    shares = sorted({q for m in metrics.values() if isinstance(m, Quantiles) for q in m.shares})
+    aggregates = []
+    for i, c in enumerate(columns):
+        if shares:
+            aggregates.append(F.percentile(number(c), F.array(*[F.lit(q) for q in shares])).alias(f"_q{i}"))
+        aggregates += [m(number(c)).alias(f"_{i}_{n}") for n, m in metrics.items() if not isinstance(m, Quantiles)]
+    one = (df.groupBy(*keys) if keys else df).agg(*aggregates)
+
+    def value(i: int, name: str, m: ColumnMetric) -> Column:
+        if isinstance(m, Quantiles):
+            return m.combine(*[F.col(f"_q{i}")[shares.index(q)] for q in m.shares])
+        return F.col(f"_{i}_{name}")
+
+    rows = [F.struct(F.lit(c).alias("column"), *[value(i, n, m).alias(n) for n, m in metrics.items()]) for i, c in enumerate(columns)]
+    return one.select(*keys, F.explode(F.array(*rows)).alias("s")).select(*keys, "s.*")
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30) -> DataFrame:
@@ -45,8 +65,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30) -
 
 def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows (column, low, lower, median, upper, high)."""
-    q = lambda x, p: F.percentile(x, F.lit(p))
-    return column_metrics(df, {"low": F.min, "lower": lambda x: q(x, 0.25), "median": lambda x: q(x, 0.5), "upper": lambda x: q(x, 0.75), "high": F.max}, columns)
+    return column_metrics(df, {"low": F.min, "lower": Quantiles((0.25,)), "median": Quantiles((0.5,)), "upper": Quantiles((0.75,)), "high": F.max}, columns)
 
 
 class EDASummary:
@@ -80,7 +99,7 @@ class EDASummary:
 class EDACentralitySummary(EDASummary):
     name = "Location"
 
-    def __init__(self, df: DataFrame, metrics: dict[str, Callable[[Column], Column]] | None = None):
+    def __init__(self, df: DataFrame, metrics: dict[str, ColumnMetric] | None = None):
         super().__init__(df)
         self.metrics = metrics or LOCATION
 
@@ -98,7 +117,7 @@ class EDACentralitySummary(EDASummary):
 class EDAVariabilitySummary(EDACentralitySummary):
     name = "Dispersion"
 
-    def __init__(self, df: DataFrame, metrics: dict[str, Callable[[Column], Column]] | None = None):
+    def __init__(self, df: DataFrame, metrics: dict[str, ColumnMetric] | None = None):
         super().__init__(df, metrics or DISPERSION)
 
     def plot(self) -> list[str]:
