@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python a thousand at a time where the session has Spark's default of ten thousand: less memory beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tideline-{name}-{uuid.uuid4().hex}"
@@ -35,6 +42,7 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def distinct_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, under the names doc_id and text, whatever else the table has."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

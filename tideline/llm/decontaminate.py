@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _text
-from tideline.llm._shared import mix
+from tideline.llm._shared import mix, small_batches
 
 #: Bytes of item texts in one block.
 ITEM_BYTES = 8 << 20
@@ -118,6 +118,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     pairs; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = None
     for block in item_blocks(items, item_id_col, item_text_col, size, samples):
@@ -150,6 +151,7 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.nd
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 5, percent: int = 80, samples: int = 16) -> DataFrame:
     """docs without the rows that contain an item, all columns kept; cases as in `contained`."""
+    small_batches(docs.sparkSession)
     spark, schema, place = docs.sparkSession, docs.schema, docs.columns.index(text_col)
     for block in item_blocks(items, item_id_col, item_text_col, size, samples):
         sent = spark.sparkContext.broadcast(block)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import _text
-from tideline.llm._shared import MIX_1, mix
+from tideline.llm._shared import MIX_1, mix, small_batches
 
 GRAM_BYTES = 4
 PROBES = 4
@@ -146,6 +146,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", least_
                 m = len(keys[k : k + 100_000])
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * m, pa.string()), "gram": pa.array(keys[k : k + m]), "n": pa.array(n[k : k + m], pa.int64())})
 
+    small_batches(train.sparkSession)
     rows = train.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select(F.lower("text").alias("text"), "lang")
     total = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -167,6 +168,7 @@ def predict(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFr
     of these names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 

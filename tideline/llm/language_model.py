@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import _text
 from tideline.llm._repeats import _flush, _groups, _read
-from tideline.llm._shared import mix, shared_dir, store
+from tideline.llm._shared import mix, shared_dir, small_batches, store
 
 #: Hashes that stand for a text's begin and end.
 BEGIN, END = 0x5851F42D4C957F, 0x14057B7EF767814F >> 8
@@ -202,6 +202,7 @@ def discounts(n: list[int]) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Learns from every text of docs (a null text is an empty one: an end only). No rows give a model that knows nothing."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     frequent = rows.mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequent = {r["word"]: r["n"] for r in frequent.orderBy(F.desc("n")).limit(4001).collect()}

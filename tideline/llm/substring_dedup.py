@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _repeats
-from tideline.llm._shared import distinct_columns
+from tideline.llm._shared import distinct_columns, small_batches
 
 #: Perfect difference sets, by modulus (every difference occurs once).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -73,6 +74,14 @@ def kept_words(cut: _repeats.Cut) -> pa.Table:
     )
 
 
+def changed_words(cut: _repeats.Cut) -> pa.Table:
+    """kept_words, but rows that lose nothing have their text as it was."""
+    out, b = kept_words(cut), cut.block
+    whole = pa.LargeStringArray.from_buffers(len(b.ids), pa.py_buffer(b.offsets.astype("<i8").tobytes()), pa.py_buffer(b.buf.tobytes())).cast(pa.string())
+    text = pc.if_else(pc.greater(out["n_removed"], 0), out["kept_text"], whole)
+    return out.set_column(3, "kept_text", text)
+
+
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """Removes each word that is covered by a run of `window` words which also starts earlier.
 
@@ -107,10 +116,11 @@ def cut_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
         *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)],
-        F.col(f"`{text_col}`").cast("string").alias("whole"),
+        F.col(f"`{text_col}`").isNull().alias("missing"),
     )
-    schema = "doc_id long, n_words long, n_removed long, kept_text string" + "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", whole string"
-    out = _repeats.find(plain, spec, "passages", schema, kept_words)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))
+    small_batches(docs.sparkSession)
+    schema = "doc_id long, n_words long, n_removed long, kept_text string" + "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", missing boolean"
+    out = _repeats.find(plain, spec, "passages", schema, changed_words)
+    text = F.when(~F.col("missing"), F.col("kept_text"))
     own = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: text} | {f.name: F.col(f"c{i}") for i, f in enumerate(fields)}
     return out.select(*[own[c].alias(c) for c in docs.columns])
