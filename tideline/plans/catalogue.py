@@ -338,6 +338,8 @@ register("kalman_smooth", f"""WITH RECURSIVE e AS (SELECT user_id, rn, value FRO
 k AS (SELECT user_id, rn, value AS x, (1 + 0.00001::DOUBLE) * 0.01::DOUBLE / (1 + 0.00001::DOUBLE + 0.01::DOUBLE) AS p FROM e WHERE rn = 1
 UNION ALL SELECT e.user_id, e.rn, k.x + (k.p + 0.00001::DOUBLE) / (k.p + 0.00001::DOUBLE + 0.01::DOUBLE) * (e.value - k.x), (k.p + 0.00001::DOUBLE) * 0.01::DOUBLE / (k.p + 0.00001::DOUBLE + 0.01::DOUBLE) FROM k JOIN e ON e.user_id = k.user_id AND e.rn = k.rn + 1)
 SELECT user_id, rn, round(x, 6) AS value FROM k""")(lambda spark, d: rounded(SeriesFrame(by_user(spark, d).where("user_id % 10 = 1").drop("event_id"), "rn", ["value"], ["user_id"], 1).smooth("kalman").df.select("user_id", "rn", "value")))
+# the query above has the users of its fixed SQL only; this one has all
+register("kalman_smooth_all", ORACLES["kalman_smooth"].replace(" WHERE user_id % 10 = 1", ""))(lambda spark, d: rounded(SeriesFrame(by_user(spark, d).drop("event_id"), "rn", ["value"], ["user_id"], 1).smooth("kalman").df.select("user_id", "rn", "value")))
 
 _EW = "sum({f} * pow(0.9::DOUBLE, -(rn - 1))) OVER w / sum(pow(0.9::DOUBLE, -(rn - 1))) OVER w"
 _W = "WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING)"
