@@ -1,6 +1,10 @@
 """Queries and operators do the whole job: all rows, all dimensions, all passes, the error asked for."""
 
+import numpy as np
+import pytest
+
 from tests.parity import compare
+from tideline.operators import clustering as C
 from tideline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +14,36 @@ def test_kalman_of_all_users(spark):
     df = catalogue.QUERIES["kalman_smooth_all"](spark, SF)
     assert df.count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert compare(df, SF, catalogue.ORACLES["kalman_smooth_all"]) == ""
+
+
+@pytest.mark.parametrize("name", ["kmeans_weighted_step_all", "kmeans_inverse_step_all", "kmeans_assign_all", "kmeans_score_all", "kmeans_transform_all"])
+def test_clusters_of_whole_embeddings(spark, name):
+    assert compare(catalogue.QUERIES[name](spark, SF), SF, catalogue.ORACLES[name]) == ""
+
+
+def embeddings(spark):
+    return np.array([r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()], float)
+
+
+def centres(df):
+    return np.array([r["value"] for r in df.orderBy("cluster", "dim").collect()]).reshape(5, -1)
+
+
+def test_fits_take_all_dimensions_and_default_iterations(spark):
+    x = embeddings(spark)
+    online = x[:5].copy()
+    for _ in range(10):
+        for v in x:
+            k = ((v - online) ** 2).sum(axis=1).argmin()
+            online[k] += 0.05 * (v - online[k])
+    assert centres(catalogue.QUERIES["kmeans_online"](spark, SF)) == pytest.approx(online, abs=1e-6)
+    batch = x[:5].copy()
+    for _ in range(300):
+        w = C.distance_weights(C.distances(x, batch))
+        new = (w.T @ x) / w.sum(axis=0)[:, None]
+        if np.linalg.norm(new - batch) < 1e-4:
+            break
+        batch = new
+    assert centres(catalogue.QUERIES["kmeans_weighted"](spark, SF)) == pytest.approx(batch, abs=1e-5)
+    for name in ("kmeans_iw_v1", "kmeans_iw_v2", "kharmonic"):
+        assert centres(catalogue.QUERIES[name](spark, SF)).shape == x[:5].shape

@@ -474,15 +474,20 @@ def _time_features(t: int) -> np.ndarray:
 # clustering
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first four dimensions of the embeddings."""
+def whole_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings."""
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("seq"), F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("features"))
+    return e.select(F.col("vec_id").alias("seq"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+
 
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The first four dimensions of the embeddings, for queries whose fixed SQL has only these."""
+    return whole_vectors(spark, d).withColumn("features", F.slice("features", 1, 4))
 
-def seeds(spark: SparkSession, d: str) -> np.ndarray:
+
+def seeds(spark: SparkSession, d: str, of: Query = whole_vectors) -> np.ndarray:
     """The first five vectors by id: fixed centres to begin with."""
-    return np.array([r["features"] for r in vectors(spark, d).orderBy("seq").limit(5).collect()])
+    return np.array([r["features"] for r in of(spark, d).orderBy("seq").limit(5).collect()])
 
 
 def centre_rows(spark: SparkSession, centers: np.ndarray, digits: int = 6) -> DataFrame:
@@ -492,16 +497,25 @@ def centre_rows(spark: SparkSession, centers: np.ndarray, digits: int = 6) -> Da
 _VEC = "v AS (SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS x FROM embeddings), c AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS k, x AS m FROM (SELECT * FROM v ORDER BY vec_id LIMIT 5)), dist AS (SELECT vec_id, k, x, m, list_distance(x, m) AS d FROM v, c)"
 _OWN = "o AS (SELECT *, min(d) OVER (PARTITION BY vec_id) AS least, sum(d) OVER (PARTITION BY vec_id) AS total, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1 AS own FROM dist)"
 _STEP = "SELECT k AS cluster, CAST(i - 1 AS INTEGER) AS dim, round(sum(w * x[i]) / sum(w), 6) AS value FROM w, (SELECT unnest([1, 2, 3, 4]) AS i) GROUP BY k, i"
-register("kmeans_weighted_step", f"WITH {_VEC}, {_OWN}, w AS (SELECT k, x, CASE WHEN own THEN d + 2 * total WHEN d = 0 THEN 0 ELSE least * least / d END AS w FROM o) {_STEP}")(lambda spark, d: centre_rows(spark, C.WeightedKMeans(5).step(vectors(spark, d), seeds(spark, d))))
-register("kmeans_inverse_step", f"WITH {_VEC}, {_OWN}, w AS (SELECT k, x, CASE WHEN d = 0 THEN 0 ELSE 2 * pow(least, 2) / pow(d, 4) END AS w FROM o) {_STEP}")(lambda spark, d: centre_rows(spark, C.InverseWeightedKMeans(5).step(vectors(spark, d), seeds(spark, d))))
-register("kmeans_assign", f"WITH {_VEC}, {_OWN} SELECT vec_id AS seq, k AS cluster FROM o WHERE own")(lambda spark, d: C.WeightedKMeans(5, centers=seeds(spark, d)).predict(vectors(spark, d)).select("seq", "cluster"))
-register("kmeans_score", f"WITH {_VEC} SELECT round(-sum(d2), 4) AS score FROM (SELECT min(d * d) AS d2 FROM dist GROUP BY vec_id)")(lambda spark, d: rounded(spark.range(1).select(F.lit(C.WeightedKMeans(5, centers=seeds(spark, d)).score(vectors(spark, d))).alias("score")), 4))
+register("kmeans_weighted_step", f"WITH {_VEC}, {_OWN}, w AS (SELECT k, x, CASE WHEN own THEN d + 2 * total WHEN d = 0 THEN 0 ELSE least * least / d END AS w FROM o) {_STEP}")(lambda spark, d: centre_rows(spark, C.WeightedKMeans(5).step(vectors(spark, d), seeds(spark, d, vectors))))
+register("kmeans_inverse_step", f"WITH {_VEC}, {_OWN}, w AS (SELECT k, x, CASE WHEN d = 0 THEN 0 ELSE 2 * pow(least, 2) / pow(d, 4) END AS w FROM o) {_STEP}")(lambda spark, d: centre_rows(spark, C.InverseWeightedKMeans(5).step(vectors(spark, d), seeds(spark, d, vectors))))
+register("kmeans_assign", f"WITH {_VEC}, {_OWN} SELECT vec_id AS seq, k AS cluster FROM o WHERE own")(lambda spark, d: C.WeightedKMeans(5, centers=seeds(spark, d, vectors)).predict(vectors(spark, d)).select("seq", "cluster"))
+register("kmeans_score", f"WITH {_VEC} SELECT round(-sum(d2), 4) AS score FROM (SELECT min(d * d) AS d2 FROM dist GROUP BY vec_id)")(lambda spark, d: rounded(spark.range(1).select(F.lit(C.WeightedKMeans(5, centers=seeds(spark, d, vectors)).score(vectors(spark, d))).alias("score")), 4))
 register("kmeans_transform", f"WITH {_VEC} SELECT vec_id AS seq, k AS cluster, round(d, 6) AS distance FROM dist")(
-    lambda spark, d: rounded(C.WeightedKMeans(5, centers=seeds(spark, d)).transform(vectors(spark, d)).select("seq", F.posexplode("distances").alias("cluster", "distance")))
+    lambda spark, d: rounded(C.WeightedKMeans(5, centers=seeds(spark, d, vectors)).transform(vectors(spark, d)).select("seq", F.posexplode("distances").alias("cluster", "distance")))
+)
+# the queries above have four dimensions, as their fixed SQL has; these have all
+_WHOLE, _WHOLE_STEP = _VEC.replace("embedding[1:4]", "embedding"), _STEP.replace("[1, 2, 3, 4]", "range(1, 1 + (SELECT max(len(embedding)) FROM embeddings))")
+register("kmeans_weighted_step_all", f"WITH {_WHOLE}, {_OWN}, w AS (SELECT k, x, CASE WHEN own THEN d + 2 * total WHEN d = 0 THEN 0 ELSE least * least / d END AS w FROM o) {_WHOLE_STEP}")(lambda spark, d: centre_rows(spark, C.WeightedKMeans(5).step(whole_vectors(spark, d), seeds(spark, d))))
+register("kmeans_inverse_step_all", f"WITH {_WHOLE}, {_OWN}, w AS (SELECT k, x, CASE WHEN d = 0 THEN 0 ELSE 2 * pow(least, 2) / pow(d, 4) END AS w FROM o) {_WHOLE_STEP}")(lambda spark, d: centre_rows(spark, C.InverseWeightedKMeans(5).step(whole_vectors(spark, d), seeds(spark, d))))
+register("kmeans_assign_all", f"WITH {_WHOLE}, {_OWN} SELECT vec_id AS seq, k AS cluster FROM o WHERE own")(lambda spark, d: C.WeightedKMeans(5, centers=seeds(spark, d)).predict(whole_vectors(spark, d)).select("seq", "cluster"))
+register("kmeans_score_all", f"WITH {_WHOLE} SELECT round(-sum(d2), 4) AS score FROM (SELECT min(d * d) AS d2 FROM dist GROUP BY vec_id)")(lambda spark, d: rounded(spark.range(1).select(F.lit(C.WeightedKMeans(5, centers=seeds(spark, d)).score(whole_vectors(spark, d))).alias("score")), 4))
+register("kmeans_transform_all", f"WITH {_WHOLE} SELECT vec_id AS seq, k AS cluster, round(d, 6) AS distance FROM dist")(
+    lambda spark, d: rounded(C.WeightedKMeans(5, centers=seeds(spark, d)).transform(whole_vectors(spark, d)).select("seq", F.posexplode("distances").alias("cluster", "distance")))
 )
-register("kmeans_weighted")(lambda spark, d: centre_rows(spark, C.WeightedKMeans(5, max_iter=10).fit(vectors(spark, d), seeds(spark, d)).centers))
-register("kmeans_online")(lambda spark, d: centre_rows(spark, C.OnlineKMeans(5, n_iter=2).fit(vectors(spark, d), seeds(spark, d)).centers))
-register("kmeans_iw_v1")(lambda spark, d: centre_rows(spark, C.InverseWeightedOnlineKMeansV1(5, n=3).fit(vectors(spark, d), seeds(spark, d) + 0.01).centers))
-register("kmeans_iw_v2")(lambda spark, d: centre_rows(spark, C.InverseWeightedOnlineKMeansV2(5, learning_rate=0.001).fit(vectors(spark, d), seeds(spark, d) + 0.01).centers))
-register("kharmonic")(lambda spark, d: centre_rows(spark, C.KHarmonicMeans(5).fit(vectors(spark, d), seeds(spark, d)).centers))
+register("kmeans_weighted")(lambda spark, d: centre_rows(spark, C.WeightedKMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
+register("kmeans_online")(lambda spark, d: centre_rows(spark, C.OnlineKMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
+register("kmeans_iw_v1")(lambda spark, d: centre_rows(spark, C.InverseWeightedOnlineKMeansV1(5, n=3).fit(whole_vectors(spark, d), seeds(spark, d) + 0.01).centers))
+register("kmeans_iw_v2")(lambda spark, d: centre_rows(spark, C.InverseWeightedOnlineKMeansV2(5, learning_rate=0.001).fit(whole_vectors(spark, d), seeds(spark, d) + 0.01).centers))
+register("kharmonic")(lambda spark, d: centre_rows(spark, C.KHarmonicMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
 register("association_summary")(lambda spark, d: rounded(S.EDACorrelationSummary(daily(spark, d), order="day").table()))
