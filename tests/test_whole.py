@@ -47,3 +47,19 @@ def test_fits_take_all_dimensions_and_default_iterations(spark):
     assert centres(catalogue.QUERIES["kmeans_weighted"](spark, SF)) == pytest.approx(batch, abs=1e-5)
     for name in ("kmeans_iw_v1", "kmeans_iw_v2", "kharmonic"):
         assert centres(catalogue.QUERIES[name](spark, SF)).shape == x[:5].shape
+
+
+@pytest.mark.parametrize("mode", ["paper", "reference"])
+def test_harmonic_means_make_all_passes(spark, mode):
+    x = np.concatenate([np.random.RandomState(i).normal(0.5 * i, 0.05, (15, 2)) for i in range(3)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "seq long, features array<double>")
+    start = x[[0, 15, 30]] + 0.01
+    m = start.copy()
+    for _ in range(4):
+        for v in x:
+            diff = v - m
+            d = np.sqrt((diff**2).sum(axis=1))
+            move = 2 * 3 * diff / (d**4 * (1 / d**2).sum() ** 2)[:, None]
+            m += 0.05 * move * (diff if mode == "reference" else 1.0)
+    assert C.KHarmonicMeans(3, n_iter=4, mode=mode).fit(df, start).centers == pytest.approx(m)
+    assert C.KHarmonicMeans(3, n_iter=1, mode=mode).fit(df, start).centers != pytest.approx(m)
