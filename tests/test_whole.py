@@ -5,6 +5,7 @@ import pytest
 
 from tests.parity import compare
 from tideline.operators import clustering as C
+from tideline.operators.series import fit_spline
 from tideline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,19 @@ def test_harmonic_means_make_all_passes(spark, mode):
             m += 0.05 * move * (diff if mode == "reference" else 1.0)
     assert C.KHarmonicMeans(3, n_iter=4, mode=mode).fit(df, start).centers == pytest.approx(m)
     assert C.KHarmonicMeans(3, n_iter=1, mode=mode).fit(df, start).centers != pytest.approx(m)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_splines_of_long_noisy_series_reach_their_budget(k):
+    r = np.random.RandomState(0)
+    x, y = np.arange(4000.0), r.normal(0, 2.3, 4000)
+    assert ((fit_spline(x, y, k, 300.0)(x) - y) ** 2).sum() <= 300
+    x, y = np.sort(r.uniform(0, 10, 60)), r.normal(size=60)
+    assert fit_spline(x, y, k, 0.0)(x) == pytest.approx(y, abs=1e-8)
+
+
+def test_smoothed_days_are_within_the_budget(spark):
+    d = "/root/testdata/sf0.1"
+    given = {r["day"]: r["total"] for r in catalogue.millions(spark, d).df.collect() if r["total"] is not None}
+    made = {r["day"]: r["total"] for r in catalogue.QUERIES["smooth_spline"](spark, d).collect()}
+    assert sum((made[day] - v) ** 2 for day, v in given.items()) <= 150.001

@@ -25,8 +25,6 @@ IRREGULAR_TIME, IRREGULAR_NUMERIC = "irregular time", "irregular numeric"
 UNITS = (("D", 86_400_000_000), ("h", 3_600_000_000), ("min", 60_000_000), ("s", 1_000_000), ("ms", 1_000), ("us", 1))
 WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
-#: Cells between knots up to which a smoothing spline is refined: its solution costs their cube.
-MOST_CELLS = 1500
 Unbounded = Window.unboundedPreceding
 
 
@@ -299,52 +297,83 @@ def kalman(y: np.ndarray, q: float, r: float) -> np.ndarray:
     return out
 
 
-def spline_basis(x: np.ndarray, knots: np.ndarray, k: int) -> np.ndarray:
-    """B-spline design matrix of degree k over [knots[0], knots[-1]] (Cox-de Boor)."""
+def spline_basis(x: np.ndarray, knots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """B-splines of degree k over [knots[0], knots[-1]]: for each x the number of the first of k + 1 that aren't zero, and their values (de Boor)."""
     t = np.concatenate([np.repeat(knots[0], k), knots, np.repeat(knots[-1], k)])
-    n = len(t) - 1
-    place = np.clip(np.searchsorted(t, x, side="right") - 1, k, n - k - 1)
-    b = np.zeros((len(x), n))
-    b[np.arange(len(x)), place] = 1.0
+    place = np.clip(np.searchsorted(t, x, side="right") - 1, k, len(t) - k - 2)
+    b = np.zeros((len(x), k + 1))
+    b[:, 0] = 1.0
     for d in range(1, k + 1):
-        for i in range(n - d):
-            left, right = t[i + d] - t[i], t[i + d + 1] - t[i + 1]
-            a = (x - t[i]) / left * b[:, i] if left > 0 else 0.0
-            c = (t[i + d + 1] - x) / right * b[:, i + 1] if right > 0 else 0.0
-            b[:, i] = a + c
-    return b[:, : n - k]
+        saved = np.zeros(len(x))
+        for r in range(d):
+            right, left = t[place + r + 1], t[place + r + 1 - d]
+            part = b[:, r] / (right - left)
+            b[:, r] = saved + (right - x) * part
+            saved = (x - left) * part
+        b[:, d] = saved
+    return place - k, b
+
+
+def spline_values(x: np.ndarray, knots: np.ndarray, k: int, coef: np.ndarray) -> np.ndarray:
+    first, b = spline_basis(x, knots, k)
+    return (b * coef[first[:, None] + np.arange(k + 1)]).sum(axis=1)
+
+
+def solve_banded(first: np.ndarray, b: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Least squares of n coefficients; row i holds b[i] from column first[i] on, which never falls. Triangles of a few dozen columns are made one after another and passed on, so memory is rows x degree."""
+    width, base, i, done = b.shape[1], 0, 0, []
+    top = np.zeros((0, 1))  # open rows of the triangle from column base on, with y's last
+    while i < len(y):
+        j = min(int(np.searchsorted(first, first[i] + 64)), i + 4096)
+        if first[i] > base:
+            done.append((base, int(first[i]) - base, top))
+            top, base = top[first[i] - base :, first[i] - base :], int(first[i])
+        columns = max(int(first[j - 1]) + width - base, top.shape[1] - 1)
+        a = np.zeros((len(top) + j - i, columns + 1))
+        a[: len(top), : top.shape[1] - 1], a[: len(top), -1] = top[:, :-1], top[:, -1]
+        a[len(top) + np.arange(j - i)[:, None], first[i:j, None] - base + np.arange(width)] = b[i:j]
+        a[len(top) :, -1] = y[i:j]
+        top, i = np.linalg.qr(a, mode="r")[:columns], j
+    done.append((base, n - base, top))
+    coef = np.zeros(n)
+    for base, own, top in reversed(done):
+        rows = top[:own]
+        rest = rows[:, -1] - rows[:, own:-1] @ coef[base + own : base + top.shape[1] - 1]
+        coef[base : base + own] = np.linalg.lstsq(rows[:, :own], rest, rcond=None)[0]
+    return coef
 
 
 def fit_spline(x: np.ndarray, y: np.ndarray, k: int, s: float) -> Callable[[np.ndarray], np.ndarray]:
-    """A least-squares spline of degree k: a polynomial, with knots added where errors are large until their squares sum to s at most."""
+    """A least-squares spline of degree k: a polynomial, with knots added where errors are large until their squares sum to s at most; where that takes as many coefficients as different points, the spline through the points."""
     lo, hi = float(x[0]), float(x[-1])
     scale = (hi - lo) or 1.0
     u = (x - lo) / scale
-    knots = np.array([0.0, 1.0])
+    points = np.unique(u)
+    knots, last = np.array([0.0, 1.0]), False
     while True:
-        basis = spline_basis(u, knots, k)
-        if basis.shape[1] <= 64:
-            coef, *_ = np.linalg.lstsq(basis, y, rcond=None)
-        else:  # many knots: normal equations, with a ridge that is small beside their diagonal
-            square = basis.T @ basis
-            coef = np.linalg.solve(square + 1e-10 * max(square.trace() / len(square), 1e-300) * np.eye(len(square)), basis.T @ y)
-        error = (basis @ coef - y) ** 2
+        first, basis = spline_basis(u, knots, k)
         cells = len(knots) - 1
-        if error.sum() <= s or cells + k >= len(x) or cells >= MOST_CELLS:
+        coef = solve_banded(first, basis, y, cells + k)
+        error = ((basis * coef[first[:, None] + np.arange(k + 1)]).sum(axis=1) - y) ** 2
+        if error.sum() <= s or last or len(points) <= k + 1:
             break
-        cell = np.clip(np.searchsorted(knots, u, side="right") - 1, 0, cells - 1)
-        sums = np.bincount(cell, error, cells)
-        new = []
-        for c in np.flatnonzero(sums > s / cells):  # all cells with more than their share of the error are halved
-            own = u[cell == c]
-            if len(own) >= 2:
-                middle = (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2
-                if knots[c] < middle < knots[c + 1]:
-                    new.append(middle)
-        if not new:
-            break
-        knots = np.sort(np.concatenate([knots, new[: len(x) - k - cells]]))
-    return lambda at: spline_basis(np.clip((at - lo) / scale, 0, 1), knots, k) @ coef
+        sums = np.bincount(np.clip(np.searchsorted(knots, u, side="right") - 1, 0, cells - 1), error, cells)
+        at = np.searchsorted(points, knots)
+        at[-1] = len(points)
+        own = np.diff(at)
+        a, b = points[at[:-1] + np.maximum(own - 1, 0) // 2], points[np.minimum(at[:-1] + own // 2, len(points) - 1)]
+        middle = (a + b) / 2
+        can = (own >= 2) & (knots[:-1] < middle) & (middle < knots[1:])
+        # all cells with more than their share of the error are halved; where these have one point each, the others
+        new = middle[can & (sums > s / cells)]
+        if not len(new):
+            new = middle[can]
+        last = not len(new) or cells + len(new) + k >= len(points)
+        if last:  # knots at the points, or between them for even degrees, are well-conditioned
+            new = points[(k + 1) // 2 : len(points) - (k + 1) // 2] if k % 2 else (points[k // 2 : len(points) - k // 2 - 1] + points[k // 2 + 1 : len(points) - k // 2]) / 2
+            knots = knots[[0, -1]]
+        knots = np.sort(np.concatenate([knots, new]))
+    return lambda at: spline_values(np.clip((at - lo) / scale, 0, 1), knots, k, coef)
 
 
 def fill_spline(x: np.ndarray, y: np.ndarray, order: int, limit: int | None) -> np.ndarray:
