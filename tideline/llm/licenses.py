@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from tideline.llm import _text
 from tideline.llm._shared import distinct_columns
 
-#: Licence identifiers and texts or notices of public licences.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+#: Licence identifiers and notices of public licences.
+_NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -67,6 +68,46 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution.",
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+    "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+    "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+    "THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_DISCLAIMER = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC_DISCLAIMER = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+    "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE "
+    "OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+
+
+def _notice(name: str) -> str:
+    """The longest notice of a licence."""
+    return max((t for n, t in _NOTICES if n == name), key=len)
+
+
+#: Whole texts, and paragraphs of the short ones; wording that two BSD licences share has the shorter one's name.
+_TEXTS: tuple[tuple[str, str], ...] = (
+    *(("BSD-2-Clause", t) for t in (*_BSD, _BSD_DISCLAIMER, " ".join((*_BSD, _BSD_DISCLAIMER)))),
+    *(("BSD-3-Clause", t) for t in (_BSD_THIRD, " ".join((*_BSD, _BSD_THIRD)), " ".join((*_BSD, _BSD_THIRD, _BSD_DISCLAIMER)))),
+    *(("MIT", t) for t in (_MIT_DISCLAIMER, f"{_notice('MIT')} {_MIT_DISCLAIMER}")),
+    *(("ISC", t) for t in (_ISC_DISCLAIMER, f"{_notice('ISC')} {_ISC_DISCLAIMER}")),
+    *((name, pkgutil.get_data("tideline.llm", f"license_texts/{name}.txt").decode()) for name in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense")),
+)
+TEMPLATES: tuple[tuple[str, str], ...] = _NOTICES + _TEXTS
 LEVELS = ("line", "paragraph", "document")
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[48:58] = np.arange(48, 58)
@@ -95,8 +136,8 @@ class Templates:
         self.size = np.array([len(s) for s in self.sets])
         self.keys = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
         self.held = np.stack([np.isin(self.keys, s) for s in self.sets]) if self.sets else np.zeros((0, 0), bool)
-        self.marks = np.zeros(1 << 16, bool)
-        self.marks[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
     def best(self, bigrams: np.ndarray, least: float) -> tuple[int, float]:
         """The template with the highest Dice coefficient to a bigram set, of those whose size allows `least`; -1 if none reaches it."""
@@ -158,7 +199,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         paragraphs_of = np.bincount(w.row, new_paragraph)
         for level, segment, real in zip(LEVELS, (line_id, paragraph, w.row), (None, lines_of > 1, paragraphs_of > 1), strict=True):
             h, of = _bigrams(w, segment)
-            hit = known.marks[(h & np.uint64(0xFFFF)).astype(np.int64)]
+            hit = known.marks[(h & np.uint64(0xFFFFF)).astype(np.int64)]
             hit[hit] = np.isin(h[hit], known.keys)
             # a match shares bigrams in number: 2 * shared >= least * (own + template's)
             shared = np.bincount(of[hit], minlength=int(of[-1]) + 1 if len(of) else 0)
