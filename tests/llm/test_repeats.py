@@ -1,5 +1,6 @@
 """Operators 1 and 10 against brute force."""
 
+import random
 import re
 from collections import Counter
 
@@ -51,13 +52,24 @@ def test_bytes(spark, corpus, size, gram):
     assert got == bytes_by_hand(corpus, size)
 
 
-def test_hot_groups_are_decided_by_single_runs(spark, monkeypatch, corpus):
-    from tideline.llm import _repeats
-
-    monkeypatch.setattr(_repeats, "HOT", 2)
-    monkeypatch.setattr(_repeats, "MOST_CONTEXTS", 2)
-    got = {r[0]: tuple(r)[1:4] for r in remove_repeated_bytes(table(spark, corpus), window=60, gram=16).collect()}
+@pytest.mark.parametrize("hot,most", [(2, 1024), (48, 2), (2, 2)])
+def test_hot_groups_are_decided_by_single_runs(spark, corpus, hot, most):
+    got = {r[0]: tuple(r)[1:4] for r in remove_repeated_bytes(table(spark, corpus).repartition(3), window=60, gram=16, hot=hot, most_contexts=most).collect()}
     assert got == {k: v[:3] for k, v in bytes_by_hand(corpus, 60).items()}
+    got = {r[0]: tuple(r)[1:] for r in remove_repeated_windows(table(spark, corpus).repartition(3), window=20, hot=hot).collect()}
+    assert got == windows_by_hand(corpus, 20)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_copies_of_hot_documents_in_another_partition(spark, seed):
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = [noise(150) for _ in range(6)]
+    rows = [(i, "".join(noise(rng.randint(150, 350)) + s for s in shared)) for i in range(89)]
+    parts = table(spark, rows).coalesce(1).union(table(spark, [(1000, rows[0][1])]).coalesce(1))
+    got = {r[0]: tuple(r)[1:4] for r in remove_repeated_bytes(parts).collect()}
+    want = {k: v[:3] for k, v in bytes_by_hand([*rows, (1000, rows[0][1])], 400).items()}
+    assert got == want and want[0][1] == want[0][0]
 
 
 def test_pipeline_form_keeps_columns_and_untouched_texts(spark, corpus):

@@ -10,7 +10,7 @@ blocks or buckets of bounded size:
 3. marked blocks send what is needed to decide the rest: hashes of single runs, or context bytes,
 4. each block puts together what was decided and cuts its documents.
 
-A hot anchor reaches a bucket once per block at most `HOT` times, a hot run once per block.
+An anchor reaches a bucket at most `hot` times per block, a hot anchor and a hot run once.
 """
 
 from __future__ import annotations
@@ -25,14 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _text
-from tideline.llm._shared import MIX_1, expand, from_planes, mix, planes, squeeze, store
+from tideline.llm._shared import MIX_1, blobs_by_bucket, columns_of_blobs, expand, mix, squeeze, store
 
 BLOCK_BYTES = 1 << 20
 BUCKET_ROWS = 500_000
-#: Different contexts of one anchor in one block from which on the anchor counts as hot.
-HOT = 48
-#: Different contexts of one anchor that are compared as suffixes; beyond it single runs are hashed.
-MOST_CONTEXTS = 1024
 DECIDED, SUFFIXES, RUNS = 1, 2, 4
 _SIGN = np.uint64(1 << 63)
 BLOCKS = "block long, n_docs int, n_bytes long, body binary, carried binary"
@@ -40,7 +36,11 @@ BLOCKS = "block long, n_docs int, n_bytes long, body binary, carried binary"
 
 @dataclass(frozen=True)
 class Repeats:
-    """What to look for. gram: units of an anchor; by_word: units are words, else bytes; keep_first: the earliest stays."""
+    """What to look for. gram: units of an anchor; by_word: units are words, else bytes; keep_first: the earliest stays.
+
+    hot: different contexts of one anchor in one block beyond which the anchor counts as hot.
+    most_contexts: different contexts of one anchor that are compared as suffixes; beyond it single runs are hashed.
+    """
 
     window: int
     gram: int
@@ -49,6 +49,8 @@ class Repeats:
     select: Callable[[Block], np.ndarray]
     density: float
     contexts: Callable[[Iterator[tuple]], Iterator[tuple]] | None = None
+    hot: int = 48
+    most_contexts: int = 1024
 
 
 class Block:
@@ -92,7 +94,7 @@ class Block:
         self.first = first
         _, inverse, count = np.unique(self.h[first], return_inverse=True, return_counts=True)
         self.hot = np.zeros(len(self.at), bool)
-        self.hot[first[count[inverse] > HOT]] = True
+        self.hot[first[count[inverse] > s.hot]] = True
 
     def decided(self, marks: np.ndarray) -> np.ndarray:
         """Which anchors' runs are all repeats. marks: anchor * 8 + bits."""
@@ -180,30 +182,8 @@ def blocks(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def _flush(entries: list[tuple], n_buckets: int, keys: tuple[int, ...]) -> Iterator[tuple[int, bytes]]:
-    """Entries (hash, columns...) to one blob for each bucket. keys: bytes kept of each column; negative: as differences."""
-    cols = [np.concatenate(c) for c in zip(*entries, strict=True)]
-    bucket = (cols[0] >> np.uint64(40)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-    cols = [c[order] for c in cols]
-    for i, j in zip(edge[:-1], edge[1:], strict=True):
-        if j > i:
-            parts = [np.int64(j - i).tobytes()]
-            for c, width in zip(cols, keys, strict=True):
-                x = c[i:j].astype(np.uint64)
-                parts.append(planes(np.diff(x, prepend=np.uint64(0)) if width < 0 else x, abs(width)))
-            yield int(bucket[order[i]]), squeeze(b"".join(parts))
-
-
-def _read(blobs: list[bytes], keys: tuple[int, ...]) -> list[np.ndarray]:
-    got: list[list[np.ndarray]] = [[] for _ in keys]
-    for blob in blobs:
-        data = expand(blob)
-        n, at = int(np.frombuffer(data, "<i8", 1)[0]), 8
-        for k, width in enumerate(keys):
-            x, at = from_planes(data, at, n, abs(width))
-            got[k].append(np.cumsum(x, dtype=np.uint64) if width < 0 else x)
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in got]
+    """Entries (hash, columns...) to one blob for each bucket."""
+    return blobs_by_bucket([np.concatenate(c) for c in zip(*entries, strict=True)], n_buckets, keys)
 
 
 ANCHOR_KEYS = (6, 5, -8, -8, -8, 1)  # hash, context, document's order, block, anchor, hot
@@ -262,7 +242,7 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 def _match_anchors(spec: Repeats) -> Callable:
     def go(table: pa.Table) -> pa.Table:
-        h, ctx, doc, block, at, hot = _read(table["blob"].to_pylist(), ANCHOR_KEYS)
+        h, ctx, doc, block, at, hot = columns_of_blobs(table["blob"].to_pylist(), ANCHOR_KEYS)
         order = np.argsort(h, kind="stable")
         count = np.bincount(_groups(h[order])) if len(h) else np.zeros(0, np.int64)
         order = order[np.repeat(count > 1, count)]
@@ -276,9 +256,10 @@ def _match_anchors(spec: Repeats) -> Callable:
         kinds = np.bincount(anchor[first])[anchor]
         is_hot = np.bincount(anchor, hot)[anchor] > 0
         bits = np.where((~first) if spec.keep_first else (members > 1), DECIDED, 0)
-        single = is_hot | (kinds > MOST_CONTEXTS) | (spec.contexts is None)
+        single = is_hot | (kinds > spec.most_contexts) | (spec.contexts is None)
         bits |= np.where(first & ((kinds > 1) | is_hot), np.where(single, RUNS, SUFFIXES), 0)
-        keep = (bits > 0) & ~hot
+        bits = np.where(hot, bits & DECIDED, bits)  # its block sends all runs of a hot anchor unasked
+        keep = bits > 0
         return _by_block(block[keep], at[keep] * np.uint64(8) + bits[keep].astype(np.uint64), 0)
 
     return go
@@ -334,7 +315,7 @@ def _match_detail(spec: Repeats) -> Callable:
     def go(table: pa.Table) -> pa.Table:
         sort, blobs = table["sort"][0].as_py(), table["blob"].to_pylist()
         if sort == RUNS:
-            h, second, doc, block, at = _read(blobs, RUN_KEYS)
+            h, second, doc, block, at = columns_of_blobs(blobs, RUN_KEYS)
             order = np.lexsort((at, block, doc, second, h))
             group = _groups(h[order], second[order])
             first = np.concatenate([[True], np.diff(group) > 0]) if len(h) else np.zeros(0, bool)
@@ -413,6 +394,6 @@ def find(docs: DataFrame, spec: Repeats, name: str, schema: str, result: Callabl
     bodies = stored.select("block", "body")
     detail = bodies.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_detail_rows(spec, n_buckets), DETAIL)
     more = detail.groupBy("sort", "bucket").applyInArrow(_match_detail(spec), MARKS)
-    marks = store(marks.unionByName(more), name + "-marks", "uncompressed")
+    marks = marks.unionByName(store(more, name + "-marks", "uncompressed"))
     full = stored.select("block", "body", "carried")
     return full.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_finish(spec, result), schema)

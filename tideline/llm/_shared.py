@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of whole texts go to Python a thousand at a time where the session has Spark's default of ten thousand: less memory beside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    """Rows of whole texts go to Python a thousand and 4 MB at a time where the session has Spark's defaults (ten thousand, 64 MB): less memory beside the heap."""
+    for key, default, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4m")):
+        if spark.conf.get(key := f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(key, small)
+
+
+#: Folders written by `store` in this process and not yet deleted.
+_STORED: set[str] = set()
 
 
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tideline-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tideline_path = path
+    _STORED.add(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STORED.discard(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later result reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._tideline_path)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keeps a small table on the executors' disks while it is read several times; what a lost executor held is made again from its stored sources. Ends with unpersist()."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def stored() -> set[str]:
+    """Folders that `store` has written and nobody has deleted."""
+    return set(_STORED)
+
+
+def release(spark: SparkSession, keep: set[str] | frozenset[str] = frozenset()) -> None:
+    """Deletes what `store` has written, but for the folders in keep. For callers whose results are written: lazy results still read these tables."""
+    for path in stored() - set(keep):
+        _delete(spark, path)
 
 
 def distinct_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,3 +111,30 @@ def from_planes(raw: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, in
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
     return out.view("<u8").ravel(), at + n * width
+
+
+def blobs_by_bucket(columns: list[np.ndarray], n_buckets: int, keys: tuple[int, ...], by: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """Columns of 64-bit values to one blob for each bucket of the first column, a hash (or of `by`). keys: bytes kept of each column; negative: as differences."""
+    bucket = ((columns[0] if by is None else by) >> np.uint64(40)) % np.uint64(n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+    columns = [c[order] for c in columns]
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        if j > i:
+            parts = [np.int64(j - i).tobytes()]
+            for c, width in zip(columns, keys, strict=True):
+                x = c[i:j].astype(np.uint64)
+                parts.append(planes(np.diff(x, prepend=np.uint64(0)) if width < 0 else x, abs(width)))
+            yield int(bucket[order[i]]), squeeze(b"".join(parts))
+
+
+def columns_of_blobs(blobs: list[bytes], keys: tuple[int, ...]) -> list[np.ndarray]:
+    """What `blobs_by_bucket` has put into the blobs of a bucket, as columns."""
+    got: list[list[np.ndarray]] = [[] for _ in keys]
+    for blob in blobs:
+        data = expand(blob)
+        n, at = int(np.frombuffer(data, "<i8", 1)[0]), 8
+        for k, width in enumerate(keys):
+            x, at = from_planes(data, at, n, abs(width))
+            got[k].append(np.cumsum(x, dtype=np.uint64) if width < 0 else x)
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in got]

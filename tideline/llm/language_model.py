@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _text
-from tideline.llm._repeats import _flush, _groups, _read
-from tideline.llm._shared import mix, shared_dir, small_batches, store
+from tideline.llm._repeats import _flush, _groups
+from tideline.llm._shared import columns_of_blobs, mix, shared_dir, small_batches, store
 
 #: Hashes that stand for a text's begin and end.
 BEGIN, END = 0x5851F42D4C957F, 0x14057B7EF767814F >> 8
@@ -234,7 +234,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
         bucket, arrays = key[0].as_py(), Arrays(uri)
-        _, c, w, n = _read(table["blob"].to_pylist(), (0, *BIGRAM_KEYS))
+        _, c, w, n = columns_of_blobs(table["blob"].to_pylist(), (0, *BIGRAM_KEYS))
         (c, w), (n,) = _sum([c, w], [n.astype(np.int64)])
         k = pair(c, w)
         order = np.argsort(k, kind="stable")
@@ -254,7 +254,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     def singles(key: tuple, table: pa.Table) -> pa.Table:
         bucket, arrays = key[0].as_py(), Arrays(uri)
-        _, word, *sums = _read(table["blob"].to_pylist(), (0, *WORD_KEYS))
+        _, word, *sums = columns_of_blobs(table["blob"].to_pylist(), (0, *WORD_KEYS))
         (word,), sums = _sum([word], [s.astype(np.int64) for s in sums])
         counts = np.stack(sums)
         arrays.write(f"word-{bucket}", word)

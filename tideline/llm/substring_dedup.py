@@ -82,7 +82,7 @@ def changed_words(cut: _repeats.Cut) -> pa.Table:
     return out.set_column(3, "kept_text", text)
 
 
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hot: int = 48) -> DataFrame:
     """Removes each word that is covered by a run of `window` words which also starts earlier.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; earlier means a smaller id, or the same document and an
@@ -97,7 +97,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     if window < 1:
         raise ValueError("window must be 1 at least")
     select, gram, density = select_by_cover(window)
-    spec = _repeats.Repeats(window, gram, True, True, select, density)
+    spec = _repeats.Repeats(window, gram, True, True, select, density, hot=hot)
     return _repeats.find(distinct_columns(docs, id_col, text_col), spec, "substrings", "doc_id long, n_words long, n_removed long, kept_text string", kept_words)
 
 

@@ -6,8 +6,8 @@ bytes have an anchor at the same offset, so each repeat is found among the suffi
 hash. Those suffixes are sorted with their common prefixes, a stack scan yields the tree of prefix
 intervals, and in each interval the left extensions are compared: where they reach `window` together
 with the prefix, the interval's members are a repeat group, with all its occurrences. An anchor with
-more than `_repeats.MOST_CONTEXTS` different contexts (or more than `_repeats.HOT` in one block) is
-decided by hashes of single runs instead, which are counted with one row for each block at most.
+more than `most_contexts` different contexts (or more than `hot` in one block) is decided by hashes of
+single runs instead, which are counted with one row for each block at most.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def kept_bytes(cut: _repeats.Cut) -> pa.Table:
     )
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM, hot: int = 48, most_contexts: int = 1024) -> DataFrame:
     """Removes each byte covered by a string of `window` bytes that also starts anywhere else.
 
     Texts are UTF-8; strings never cross documents; overlaps count; all copies go, also the first.
@@ -127,5 +127,5 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
-    spec = _repeats.Repeats(window, gram, False, False, select_least(window, gram), 2 / (window - gram + 2), repeats_of)
+    spec = _repeats.Repeats(window, gram, False, False, select_least(window, gram), 2 / (window - gram + 2), repeats_of, hot, most_contexts)
     return _repeats.find(distinct_columns(docs, id_col, text_col), spec, "suffixes", "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", kept_bytes)
