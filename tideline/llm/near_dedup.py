@@ -10,7 +10,8 @@
 5. A class may be linked to another member of its band than the first. So classes that share bands
    (directly or over others) but are still in different components are compared in blocks: every
    class outside the largest component with all others, by sketch first and, where that leaves
-   doubt, on the full sets. A block sends on one link at most for a class and another component.
+   doubt, on the full sets. A block joins what it links at once, so that pairs which are connected
+   by then aren't compared, and sends on a spanning forest: fewer links than it has classes.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _graph, _text
-from tideline.llm._shared import distinct_columns, mix, store
+from tideline.llm._shared import blobs_by_bucket, columns_of_blobs, distinct_columns, hold, mix, store
 
 SKETCH_BITS = 1024
 #: Candidates whose estimated similarity is this far below the threshold are not confirmed: over 4 standard errors.
 MARGIN = 0.12
 #: Ids that may be sent to every task as a filter (8 bytes each); more are joined by a shuffle.
 SENT_IDS = 1_000_000
-#: Classes on either side of one block of step 5.
-BLOCK = 2048
-_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+#: Classes, and shingles, on either side of one block of step 5.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Band keys in one bucket.
+BUCKET_KEYS = 1_000_000
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +85,7 @@ def signatures(shingles: np.ndarray, first: np.ndarray, bands: int, rows: int) -
 
 def estimate(a: np.ndarray, b: np.ndarray, samples: int) -> np.ndarray:
     """Similarity from rows of two sketches (bytes); very different ones give about 0."""
-    odd = _BITS[(a ^ b).view(np.uint16)].sum(axis=-1, dtype=np.int64)
+    odd = np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
     share = np.minimum(2 * odd / SKETCH_BITS, 0.999999)
     differing = np.log1p(-share) / np.log1p(-2 / SKETCH_BITS)  # elements in one of the two sample sets only
     return 1 - differing / (2 * samples)
@@ -122,32 +124,44 @@ def _sign(size: int, bands: int, rows: int):
     return go
 
 
-def _stars(bands: int):
-    """Classes to (a, b, band): pairs with the first class of a band in this task (band null), and that first class itself (b null)."""
+def _stars(key: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row of each key's first class, and the different pairs (that class, another of the key)."""
+    order = np.lexsort((rep, key))
+    key, rep = key[order], rep[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    lead = rep[new][np.cumsum(new) - 1]
+    far = lead != rep
+    a, b = lead[far], rep[far]
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    other = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    return order[new], a[other], b[other]
+
+
+FIRST_KEYS, PAIR_KEYS = (8, -8), (8, 8)
+
+
+def _deal_bands(bands: int, n_buckets: int):
+    """Classes to blobs by bucket of the band key: what a task has of a band is one row, its first class; pairs with that class are sent as they are."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, reps, size = [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             key, rep = np.concatenate(keys), np.concatenate(reps)
-            order = np.lexsort((rep, key))
-            key, rep = key[order], rep[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            lead = rep[new][np.cumsum(new) - 1]
-            pair = np.unique(np.stack([lead[~new], rep[~new]], axis=1), axis=0) if not new.all() else np.zeros((0, 2), np.int64)
-            for i in range(0, len(pair), 200_000):
-                p = pair[i : i + 200_000]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1]), "band": pa.nulls(len(p), pa.int64())})
-            k, r = key[new].view(np.int64), rep[new]
-            for i in range(0, len(k), 200_000):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(r[i : i + 200_000]), "b": pa.nulls(len(r[i : i + 200_000]), pa.int64()), "band": pa.array(k[i : i + 200_000])})
+            first, a, b = _stars(key, rep)
+            made = [(k, 0, blob) for k, blob in blobs_by_bucket([key[first], rep[first].view(np.uint64)], n_buckets, FIRST_KEYS)]
+            a, b = a.view(np.uint64), b.view(np.uint64)
+            made += [(k, 1, blob) for k, blob in blobs_by_bucket([a, b], n_buckets, PAIR_KEYS, mix(a + mix(b)))]
+            for i in range(0, len(made), 64):
+                part = made[i : i + 64]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in part], pa.int64()), "kind": pa.array([x[1] for x in part], pa.int32()), "blob": pa.array([x[2] for x in part], pa.binary())})
 
         for batch in batches:
             raw, _ = _text.raw(batch.column("bands"))
-            k = raw.view(np.uint64)
-            keys.append(k.copy())
+            keys.append(raw.view(np.uint64).copy())
             reps.append(np.repeat(np.asarray(batch.column("rep")), bands))
-            size += len(k)
+            size += len(keys[-1])
             if size > 4_000_000:
                 yield from out()
                 keys, reps, size = [], [], 0
@@ -157,6 +171,14 @@ def _stars(bands: int):
     return go
 
 
+def _pairs_of_bucket(table: pa.Table) -> pa.Table:
+    kind, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
+    key, rep = columns_of_blobs([b for k, b in zip(kind, blobs, strict=True) if k == 0], FIRST_KEYS)
+    a, b = columns_of_blobs([b for k, b in zip(kind, blobs, strict=True) if k == 1], PAIR_KEYS)
+    _, lead, other = _stars(key, rep.view(np.int64))
+    return pa.table({"a": pa.array(np.concatenate([lead, a.view(np.int64)])), "b": pa.array(np.concatenate([other, b.view(np.int64)]))})
+
+
 def _likely(samples: int, least: float):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,39 +200,35 @@ def _sets(size: int):
     return go
 
 
-def _confirm(percent: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(percent: int):
+    """Of candidates (a, b) with both sets: those that are linked, as a forest."""
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(keep, pa.bool_())})
-
-    return go
-
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
-def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles of the rows with these ids; the ids are sent to the rows if they are few, else joined."""
-    ids = store(ids.distinct(), "ids")
-    chosen = rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
-    return chosen.mapInArrow(_sets(size), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return lambda batches: _graph.forest(confirmed(batches))
 
 
-def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (a, b) with `linked`, from the full sets of the texts of rows (doc_id, text)."""
-    sets = _sets_of(rows, pairs.selectExpr("explode(array(a, b)) AS doc_id"), size)
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "xb"}), "b")
-    return store(both.select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "links")
+def _sets_of(rows: DataFrame, ids: DataFrame, n: int, size: int) -> DataFrame:
+    """doc_id, shingles of the rows with these (at most n) ids; the ids are sent to the rows if they are few, else joined."""
+    ids = ids.distinct()
+    chosen = rows.join(F.broadcast(ids) if n <= SENT_IDS else ids, "doc_id", "left_semi")
+    return chosen.mapInArrow(_sets(size), "doc_id long, shingles binary").distinct()
 
 
 def _across(samples: int, least: float, percent: int):
-    """Links between the x and the y rows of a block that are in different components, one for each x and component."""
+    """Links between the x and the y rows of a block that are in different components, as a spanning forest."""
 
     def go(table: pa.Table) -> pa.Table:
         side = np.asarray(table["side"])
-        rep, comp = np.asarray(table["rep"]), np.asarray(table["component"])
+        rep = np.asarray(table["rep"])
+        label = np.unique(np.asarray(table["component"]), return_inverse=True)[1]
         sketch = _sketches(table["sketch"])
         raw, offsets = _text.raw(table["shingles"])
         sets, first = raw.view("<u8"), offsets // 8
@@ -218,22 +236,28 @@ def _across(samples: int, least: float, percent: int):
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
         for i in x.tolist():
-            other = y[comp[y] != comp[i]]
-            other = other[estimate(sketch[other], sketch[i][None, :], samples) >= least] if len(other) else other
-            own = sets[first[i] : first[i + 1]]
-            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
-            other = other[100 * small >= percent * large]
-            for k in range(0, len(other), 512):
-                part = other[k : k + 512]
+            other = y[label[y] != label[i]]
+            other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+            if not len(other):
+                continue
+            like = estimate(sketch[other], sketch[i][None, :], samples)
+            other = other[np.argsort(-like, kind="stable")[: int((like >= least).sum())]]  # the likeliest first
+            own, k, step = sets[first[i] : first[i + 1]], 0, 32
+            while k < len(other):
+                part = other[k : k + step]
+                part = part[label[part] != label[i]]
+                k, step = k + step, 512
+                if not len(part):
+                    continue
                 n = size[part]
                 at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 theirs = sets[at]
                 hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
                 both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
-                linked = part[100 * both >= percent * (n + len(own) - both)]
-                _, one = np.unique(comp[linked], return_index=True)
-                a += [rep[i]] * len(one)
-                b += rep[linked[one]].tolist()
+                for j in part[100 * both >= percent * (n + len(own) - both)].tolist():
+                    if label[j] != label[i]:
+                        a.append(rep[i]), b.append(rep[j])
+                        label[label == label[j]] = label[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return go
@@ -248,44 +272,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity of exactly 0.8 is missed once in two million; one at 0.85 once in 5 thousand million.
 
     Null, empty or white texts have no shingles and are linked with nothing; a null id has a null
-    component and is kept; rows with equal ids and texts share a component, all kept or none; an
-    empty table gives an empty table; other columns are not read.
+    component and is kept; rows with equal ids and texts share a component, all kept or none; texts
+    that share an id which is the smallest of both their classes count as one document with two
+    texts, linked by either; an empty table gives an empty table; other columns are not read.
     """
     source = distinct_columns(docs, id_col, text_col)
     samples, least = bands * rows, percent / 100 - MARGIN
     signed = store(source.mapInArrow(_sign(shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands binary, sketch binary"), "signatures")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = store(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("k1", "k2", "rep", "s.*"), "classes")
-    # rows with one id and different texts are one node of the graph: its component is theirs
-    sketches = classes.groupBy("rep").agg(F.first("sketch").alias("sketch"))
-    stars = store(classes.select("rep", "bands").mapInArrow(_stars(bands), "a long, b long, band long"), "stars", "uncompressed")
-    firsts = stars.where("band IS NOT NULL").select("band", "a")
-    lead = firsts.groupBy("band").agg(F.min("a").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    between = firsts.join(lead, "band").where("a <> lead").select(F.col("lead").alias("a"), F.col("a").alias("b"))
-    near = store(stars.where("band IS NULL").select("a", "b").where("a <> b").union(between).distinct(), "pairs")
+    classes = store(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("k1", "k2", "rep", "n", "s.*"), "classes")
+    sketches = classes.select("rep", "sketch")
+    n_buckets = max(12, classes.count() * bands // BUCKET_KEYS)
+    dealt = classes.select("rep", "bands").mapInArrow(_deal_bands(bands, n_buckets), "bucket long, kind int, blob binary")
+    near = hold(dealt.groupBy("bucket").applyInArrow(_pairs_of_bucket, "a long, b long").distinct())
     scored = near.join(sketches.withColumnsRenamed({"rep": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"rep": "b", "sketch": "sb"}), "b")
-    likely = store(scored.select("a", "b", "sa", "sb").mapInArrow(_likely(samples, least), "a long, b long"), "likely")
-    tested = _confirmed(source, likely, shingle, percent)
-    coarse = _graph.components(near)
-    members = store(coarse.withColumnRenamed("component", "coarse").join(sketches, F.col("id") == F.col("rep")).select("rep", "coarse", "sketch"), "members")
-    links = tested.where("linked").select("a", "b")
-    found = _graph.components(links)
-    placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    per = placed.groupBy("coarse", "component").agg(F.count("*").alias("n"))
-    most = per.groupBy("coarse").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("most")).where("total > most.n")
-    blocks = {"nx": F.ceil((F.col("total") - F.col("most.n")) / BLOCK).cast("int"), "ny": F.ceil(F.col("total") / BLOCK).cast("int"), "own": F.pmod(F.xxhash64("rep"), F.lit(1 << 30))}
-    open_ = placed.join(most, "coarse").withColumn("x", F.col("component") != F.col("most.component")).withColumns(blocks)
-    open_ = store(open_.select("coarse", "rep", "component", "sketch", "x", "nx", "ny", "own"), "open")
-    if open_.limit(1).count():
-        deal = open_.join(_sets_of(source, open_.selectExpr("rep AS doc_id"), shingle), F.col("rep") == F.col("doc_id"))
+    likely = hold(scored.select("a", "b", "sa", "sb").mapInArrow(_likely(samples, least), "a long, b long"))
+    sets = _sets_of(source, likely.selectExpr("explode(array(a, b)) AS doc_id"), 2 * likely.count(), shingle)
+    both = likely.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "xb"}), "b")
+    links = store(both.select("a", "b", "xa", "xb").mapInArrow(_linked(percent), "a long, b long"), "links")
+    forest = hold(near.mapInArrow(_graph.forest, "a long, b long"))
+    found, coarse = _graph.components(links), _graph.components(forest)
+    placed = coarse.select(F.col("id").alias("rep"), F.col("component").alias("coarse")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    members = hold(placed.withColumn("component", F.coalesce("component", "rep")))
+    sized = members.join(classes.select("rep", "n"), "rep")
+    per = sized.groupBy("coarse", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    # of two classes that share a band, the pair has been looked at
+    most = per.groupBy("coarse").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "component", "n")).alias("most")).where("k > most.k AND k > 2")
+    blocks = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    dealt_to = {"nx": blocks(F.col("k") - F.col("most.k"), F.col("n") - F.col("most.n")), "ny": blocks(F.col("k"), F.col("n")), "own": F.pmod(F.xxhash64("rep"), F.lit(1 << 30))}
+    open_ = members.join(most, "coarse").withColumn("x", F.col("component") != F.col("most.component")).withColumns(dealt_to)
+    open_ = hold(open_.select("coarse", "rep", "component", "x", "nx", "ny", "own").join(sketches, "rep"))
+    n_open = open_.count()
+    if n_open:
+        deal = open_.join(_sets_of(source, open_.selectExpr("rep AS doc_id"), n_open, shingle), F.col("rep") == F.col("doc_id"))
         cols = ["coarse", "rep", "component", "sketch", "shingles"]
         xs = deal.where("x").select(*cols, F.lit(0).alias("side"), F.expr("own % nx").alias("bx"), F.explode(F.expr("sequence(0L, ny - 1L)")).alias("by"))
         ys = deal.select(*cols, F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, nx - 1L)")).alias("bx"), F.expr("own % ny").alias("by"))
         more = store(xs.union(ys).groupBy("coarse", "bx", "by").applyInArrow(_across(samples, least, percent), "a long, b long"), "more")
-        if more.limit(1).count():
-            found = _graph.components(links.union(more))
+        found = _graph.components(links.union(more))
+    for held in (near, forest, likely, members, open_):
+        held.unpersist()
     result = signed.select("doc_id", "n_shingles", "k1", "k2")
     own = classes.select("k1", "k2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = result.join(own, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
