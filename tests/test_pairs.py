@@ -78,3 +78,79 @@ def test_improvement_and_somers(spark):
     table = spark.createDataFrame([(0, 0, 10), (0, 1, 5), (1, 0, 2), (1, 1, 8)], "r int, c int, n long")
     assert A.somers_d(table)["value"] == pytest.approx((10 * 8 - 5 * 2) / (15 * 10))
     assert len(A.CorrelationSuite().results(df, "a", "b")) == 5 and "pearson" in A.CorrelationSuite((A.PEARSON,)).print(df)
+
+
+def mixed(n=3000):
+    """Values with ties, one value in a third of the rows, and gaps."""
+    rng = np.random.RandomState(4)
+    x = np.where(rng.uniform(size=n) < 0.35, 7.0, rng.normal(5, 3, n))
+    y = np.round(0.4 * x + rng.normal(size=n), 1)
+    return x, y, rng.uniform(size=n) < 0.1
+
+
+def test_whole_columns_in_buckets_agree_with_one_group(spark):
+    x, y, _ = mixed()
+    df = frame(spark, x=x, y=y).selectExpr("i", "x", "y", "1 AS g")
+    for metric in (A.SPEARMAN, A.KENDALL, A.STEPANOV, A.XI):
+        whole = A.associate(df, "x", "y", metric, order="i").first()
+        one = A.associate(df, "x", "y", metric, keys=["g"], order="i").first()
+        assert whole["value"] == pytest.approx(one["value"]) and whole["n"] == one["n"] == len(x)
+    assert A.associate(df, "x", "y", A.KENDALL).first()["value"] == pytest.approx(direct_tau(x, y))
+    p = [A.with_p(A.KENDALL, A.KENDALL.compute(A.pairs_of(df, "x", "y", keys), keys))[0]["p_value"] for keys in ([], ["g"])]
+    assert p[0] == pytest.approx(p[1])
+
+
+def test_matrices_with_gaps_rank_each_pair_by_its_own_rows(spark):
+    x, y, gone = mixed(600)
+    rows = [(i, float(a), None if g else float(b), float(-a)) for i, (a, b, g) in enumerate(zip(x, y, gone))]
+    df = spark.createDataFrame(rows, "i long, x double, y double, z double")
+    for metric in (A.SPEARMAN, A.KENDALL, A.XI):
+        got = {(r["row"], r["col"]): (r["value"], r["n"]) for r in A.correlation_matrix(df, ["x", "y", "z"], metric=metric, order="i").collect()}
+        for a, b in (("x", "y"), ("x", "z"), ("y", "z"), ("y", "y")):
+            one = A.associate(df, a, b, metric, order="i").first()
+            assert got[a, b] == (pytest.approx(one["value"]), one["n"])
+    assert got["x", "y"][1] == 600 - gone.sum()
+
+
+def test_p_values_of_matrices_and_lags(spark):
+    rng = np.random.RandomState(3)
+    a = rng.normal(size=100)
+    df = frame(spark, a=a, b=a + rng.normal(size=100), c=rng.normal(size=100))
+    for metric in (A.PEARSON, A.SPEARMAN, A.KENDALL, A.XI, A.STEPANOV):
+        m = A.matrix_test(df, ["a", "b", "c"], metric=metric, order="i")
+        assert (m.name, m.rows, m.columns, m.symmetric) == (metric.name, ["a", "b", "c"], ["a", "b", "c"], metric.symmetric)
+        if metric is A.STEPANOV:
+            assert m.p_value == [[None] * 3] * 3
+            continue
+        assert m.p_value[0][1] < 1e-3 < m.p_value[0][2] and m.hypothesis_test and m.hypothesis_test_description and m.hypothesis_test_notes
+        assert m.p_value[0][1] == pytest.approx(A.test(df, "a", "b", metric, "i")["p_value"])
+        assert (m.p_value[0][1] == m.p_value[1][0]) == metric.symmetric
+    other = A.matrix_test(df, ["a", "b"], ["c"])
+    assert (other.rows, other.columns, other.symmetric) == (["a", "b"], ["c"], False)
+    walk = frame(spark, w=np.cumsum(rng.normal(size=200)))
+    lags = A.auto_test(walk, "w", [3, 1], "i")
+    assert (lags.rows, lags.columns) == ([1, 3], ["w"]) and lags.p_value[0][0] < 1e-6
+    named = A.auto_correlation(walk, "w", 2, "i", p_values=True)
+    assert named.columns == ["column", "lag", "value", "n", "p_value"] and named.count() == 2
+
+
+def test_p_value_of_r_by_the_t_distribution(spark):
+    # r = 0.5 of 6 pairs: t = 1.1547 with 4 degrees of freedom; the distribution function has a closed form there
+    from tideline.functions.tails import correlation_p
+
+    t = 0.5 * (4 / 0.75) ** 0.5
+    z = t / (t * t + 4) ** 0.5
+    assert correlation_p(0.5, 6) == pytest.approx(1 - z * (1 + 2 / (t * t + 4)))
+
+
+def test_somers_by_pairs(spark):
+    rng = np.random.RandomState(2)
+    r, c = rng.randint(0, 4, 150), rng.randint(0, 3, 150)
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(r, c)], "r int, c int")
+    s = np.sign(r[:, None] - r[None, :]) * np.sign(c[:, None] - c[None, :])
+    found = A.somers_d(A.contingency(df, "r", "c"))
+    assert found["value"] == pytest.approx(s.sum() / (r[:, None] != r[None, :]).sum()) and 0 < found["p_value"] <= 1
+    assert A.somers_d(A.contingency(df.limit(0), "r", "c"))["value"] is None
+    many = spark.range(3000).selectExpr("id AS r", "-id AS c", "1 AS n")
+    with pytest.raises(ValueError, match="too many"):
+        A.somers_d(many)

@@ -61,15 +61,17 @@ def kendall_exact(discordant: int, n: int) -> float:
     return min(1.0, 2 * sum(ways[: low + 1]))
 
 
-def kendall_p(con_minus_dis: float, discordant: int, n: int, ties_x: list[int], ties_y: list[int]) -> float | None:
-    """Exact for up to 33 values without ties, else normal with the variance corrected for ties."""
+def kendall_p(con_minus_dis: float, discordant: float, n: int, ties_x: tuple[float, float, float], ties_y: tuple[float, float, float]) -> float | None:
+    """Exact for up to 33 values without ties, else normal with the variance corrected for ties.
+
+    ties_x, ties_y: sums over groups of t equal values of t(t-1), t(t-1)(t-2) and t(t-1)(2t+5).
+    """
     if n < 2:
         return None
-    if not ties_x and not ties_y and n <= 33:
-        return kendall_exact(discordant, n)
-    m = n * (n - 1)
-    s = [(sum(t * (t - 1) for t in ts), sum(t * (t - 1) * (t - 2) for t in ts), sum(t * (t - 1) * (2 * t + 5) for t in ts)) for ts in (ties_x, ties_y)]
-    var = (m * (2 * n + 5) - s[0][2] - s[1][2]) / 18 + s[0][0] * s[1][0] / (2 * m)
+    if not ties_x[0] and not ties_y[0] and n <= 33:
+        return kendall_exact(int(discordant), n)
+    m = float(n) * (n - 1)
+    var = (m * (2 * n + 5) - ties_x[2] - ties_y[2]) / 18 + ties_x[0] * ties_y[0] / (2 * m)
     if n > 2:
-        var += s[0][1] * s[1][1] / (9 * m * (n - 2))
+        var += ties_x[1] * ties_y[1] / (9 * m * (n - 2))
     return normal_two_sided(con_minus_dis / math.sqrt(var)) if var > 0 else None

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import number, ratio
-from tideline.operators.association import PEARSON, Metric, discordant_pairs
+from tideline.operators.association import PEARSON, Metric, discordant, tau_b, tied
 from tideline.operators.series import SeriesFrame, fixed_length
 
 #: Window forms of aggregates that have one.
@@ -84,10 +84,9 @@ def _rank_udaf(metric: Metric):
         if name in ("spearman", "stepanov"):
             rho = np.corrcoef(a.rank(), b.rank())[0, 1] if a.nunique() > 1 and b.nunique() > 1 else float("nan")
         if name in ("kendall", "stepanov"):
-            dis, ta, tb, tab, _, _ = discordant_pairs(a.to_numpy(), b.to_numpy())
-            total = n * (n - 1) // 2
-            below = float(np.sqrt(float(total - ta) * float(total - tb)))
-            tau = (total - ta - tb + tab - 2 * dis) / below if below else float("nan")
+            x, y = a.to_numpy(), b.to_numpy()
+            tau = tau_b(n, discordant(x, y), tied(x)[0], tied(y)[0], tied(x, y)[0])[1]
+            tau = float("nan") if tau is None else tau
         if name == "xi":
             y = b.to_numpy()[np.argsort(a.to_numpy(), kind="stable")]
             r = np.searchsorted(np.sort(y), y, side="right")
