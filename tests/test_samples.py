@@ -103,3 +103,29 @@ def test_tails():
     assert tails.normal_two_sided(1.959964) == pytest.approx(0.05, abs=1e-6)
     assert tails.kendall_exact(0, 3) == pytest.approx(1 / 3)
     assert tails.incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248)
+
+
+def test_selected_quantiles_are_exact(spark, monkeypatch):
+    rng = np.random.RandomState(6)
+    n = 4000
+    rows = [(float(a), None if i % 7 == 0 else float(b), float(i % 3), None) for i, (a, b) in enumerate(zip(rng.normal(size=n), np.round(rng.normal(size=n), 1)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, e double")
+    q = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    for bound in (L.BRACKET_ROWS, 3):  # the second narrows brackets again and again
+        monkeypatch.setattr(L, "BRACKET_ROWS", bound)
+        got = L.selected(df, ["a", "b", "c", "e"], q)
+        for k, c in enumerate("abc"):
+            assert got[c] == pytest.approx(np.quantile([r[k] for r in rows if r[k] is not None], q))
+        assert got["e"] == [None] * len(q)
+
+
+def test_summaries_of_large_tables_select(spark, monkeypatch):
+    from tideline.plans import summaries as S
+
+    df = spark.createDataFrame([(float(i % 17), float(i * i % 101)) for i in range(500)], "a double, b double")
+    small = sorted(map(tuple, S.column_metrics(df, S.LOCATION | S.DISPERSION).collect()))
+    monkeypatch.setattr(L, "SELECT_ROWS", 100)
+    large = sorted(map(tuple, S.column_metrics(df, S.LOCATION | S.DISPERSION).collect()))
+    assert [r[0] for r in large] == ["a", "b"]
+    for x, y in zip(small, large):
+        assert x[1:] == pytest.approx(y[1:])

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.numeric import ratio, sample
+from tideline.functions.numeric import number, ratio, sample
 from tideline.functions.scan import running
 
 Keys = list[str] | tuple[str, ...]
@@ -73,28 +73,62 @@ def quantiles(df: DataFrame, value: str, q: list[float], weight: str | None = No
 
 
 def _selected(rows: DataFrame, q: list[float]) -> DataFrame:
-    """Exact quantiles of a large sample in two passes: brackets from a sketch, then counts below and the rows inside."""
-    n = rows.count()
-    ranks = sorted({r for x in q for r in (math.floor((n - 1) * x), math.ceil((n - 1) * x))})
-    grid = sorted({min(1.0, max(0.0, r / n + d)) for r in ranks for d in (-2e-4, 2e-4)})
-    cuts = rows.agg(F.percentile_approx("x", grid, 20_000)).first()[0]
-    at = dict(zip(grid, cuts, strict=True))
-    brackets = [(r, at[min(1.0, max(0.0, r / n - 2e-4))], at[min(1.0, max(0.0, r / n + 2e-4))]) for r in ranks]
-    below = rows.agg(*[F.count(F.when(F.col("x") < lo, 1)).alias(f"n{i}") for i, (_, lo, _) in enumerate(brackets)]).first()
-    value: dict[int, float] = {}
-    for i, (r, lo, hi) in enumerate(brackets):
-        seen, counts = below[f"n{i}"], rows.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("x").count().orderBy("x")
-        for row in counts.toLocalIterator():  # about n / 2500 rows, read in order until the rank is reached
-            seen += row["count"]
-            if seen > r:
-                value[r] = row["x"]
-                break
-    out = []
-    for x in q:
-        k = (n - 1) * x
-        a, b = value[math.floor(k)], value[math.ceil(k)]
-        out.append(a + (b - a) * (k - math.floor(k)))
-    return rows.sparkSession.range(1).select(F.array(*[F.lit(v) for v in out]).alias("values"))
+    found = selected(rows, ["x"], q)["x"]
+    return rows.sparkSession.range(1).select(F.array(*[F.lit(v) for v in found]).alias("values"))
+
+
+#: Different values of a bracket that the driver reads; wider brackets are narrowed again.
+BRACKET_ROWS = 100_000
+
+
+def selected(df: DataFrame, columns: list[str], q: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of numeric columns of a large table, all columns at once, in a few scans without any sort.
+
+    Each wanted rank gets a bracket from a sketch. Rows below it are counted; a bracket with many
+    different values is narrowed by a sketch of its own rows, and the values of a narrow one, at most
+    BRACKET_ROWS, are read with their counts. An empty column has None.
+    """
+    names = {c: f"v{i}" for i, c in enumerate(columns)}
+    rows = df.select(*[number(c).alias(v) for c, v in names.items()])
+    n = dict(zip(names.values(), rows.agg(*[F.count(v) for v in names.values()]).first(), strict=True))
+    wanted = {(v, r) for v in n if n[v] for x in q for r in (math.floor((n[v] - 1) * x), math.ceil((n[v] - 1) * x))}
+    bracket = {k: (-math.inf, math.inf, 0, n[k[0]]) for k in wanted}  # low, high, rows below low, rows inside
+    value: dict[tuple[str, int], float] = {}
+    while wanted:
+        shares = {k: ((k[1] - bracket[k][2]) / bracket[k][3]) for k in wanted}
+        inside = {k: F.when(F.col(k[0]).between(F.lit(bracket[k][0]), F.lit(bracket[k][1])), F.col(k[0])) for k in wanted}
+        keys = sorted(wanted)
+        cuts = rows.agg(*[F.percentile_approx(inside[k], [max(0.0, shares[k] - 2e-4), min(1.0, shares[k] + 2e-4)], 20_000) for k in keys]).first()
+        for k, (low, high) in zip(keys, cuts, strict=True):
+            if low == high:  # one value fills the bracket
+                value[k] = low
+            bracket[k] = (low, high, 0, 0)
+        wanted -= set(value)
+        if not wanted:
+            break
+        keys = sorted(wanted)
+        counts = rows.agg(*[c for k in keys for c in (F.count(F.when(F.col(k[0]) < bracket[k][0], 1)), F.count(F.when(F.col(k[0]).between(*bracket[k][:2]), 1)))]).first()
+        for i, k in enumerate(keys):
+            bracket[k] = (*bracket[k][:2], counts[2 * i], counts[2 * i + 1])
+        ready = [k for k in keys if bracket[k][3] <= BRACKET_ROWS]
+        if ready:
+            parts = F.array(*[F.when(F.col(k[0]).between(*bracket[k][:2]), F.struct(F.lit(i).alias("i"), F.col(k[0]).alias("x"))) for i, k in enumerate(ready)])
+            held = rows.select(F.explode(F.array_compact(parts)).alias("s")).groupBy("s.i", "s.x").count()
+            seen = {i: bracket[k][2] for i, k in enumerate(ready)}
+            for i, x, m in sorted(map(tuple, held.collect())):
+                seen[i] += m
+                if ready[i] not in value and seen[i] > ready[i][1]:
+                    value[ready[i]] = x
+            wanted -= set(ready)
+
+    def at(v: str, x: float) -> float | None:
+        if not n[v]:
+            return None
+        k = (n[v] - 1) * x
+        a, b = value[v, math.floor(k)], value[v, math.ceil(k)]
+        return a + (b - a) * (k - math.floor(k))
+
+    return {c: [at(v, x) for x in q] for c, v in names.items()}
 
 
 def quantile(df: DataFrame, value: str, q: float, weight: str | None = None, keys: Keys = ()) -> DataFrame:

@@ -132,6 +132,15 @@ def lines_svg(series: dict[str, list[tuple[float, float]]], title: str) -> str:
     return _svg(parts)
 
 
+def scatter_svg(points: list[tuple[float, float]], title: str) -> str:
+    if not points:
+        return _svg([])
+    x = _scale(min(p[0] for p in points), max(p[0] for p in points), 30, 470)
+    y = _scale(min(p[1] for p in points), max(p[1] for p in points), 220, 30)
+    parts = [f'<text x="10" y="18" font-size="14">{html.escape(title)}</text>']
+    return _svg(parts + [f'<circle cx="{x(a):.1f}" cy="{y(b):.1f}" r="2" fill="#1f618d" fill-opacity="0.4"/>' for a, b in points])
+
+
 class EDAReport(ReportRenderer):
     """A page with a section for each summary: its table, then its charts."""
 
@@ -142,7 +151,7 @@ class EDAReport(ReportRenderer):
     def add_summary(self, summary) -> EDAReport:
         if not summary.results_available:
             summary.compute()
-        rows, charts = summary.table().collect(), summary.plot()
+        rows, charts = summary.shown(), summary.plot()
         if not rows and not charts:
             raise ValueError(f"{summary.name}: nothing to render")
         content = table(list(rows[0].asDict()), [list(r) for r in rows]) if rows else ""

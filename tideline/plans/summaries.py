@@ -30,12 +30,20 @@ DISPERSION: dict[str, ColumnMetric] = {"std": F.stddev_samp, "quantile_spread_90
 
 
 def column_metrics(df: DataFrame, metrics: dict[str, ColumnMetric], columns: list[str] | None = None, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """Rows (keys, column, one field for each metric): one aggregate over one scan, then unpivoted."""
+    """Rows (keys, column, one field for each metric): one aggregate over one scan, then unpivoted.
+
+    Quantiles of a large table without keys are selected in a few scans (`location.selected`), as an
+    exact percentile aggregate holds every different value.
+    """
     columns = [c for c in numeric_columns(df) if c not in keys] if columns is None else columns
     shares = sorted({q for m in metrics.values() if isinstance(m, Quantiles) for q in m.shares})
-    aggregates = []
+    large = bool(shares) and not keys and df.count() > location.SELECT_ROWS
+    found = location.selected(df, columns, shares) if large else {}
+    aggregates = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(columns):
-        if shares:
+        if large:
+            aggregates.append(F.first(F.array(*[F.lit(v).cast("double") for v in found[c]])).alias(f"_q{i}"))
+        elif shares:
             aggregates.append(F.percentile(number(c), F.array(*[F.lit(q) for q in shares])).alias(f"_q{i}"))
         aggregates += [m(number(c)).alias(f"_{i}_{n}") for n, m in metrics.items() if not isinstance(m, Quantiles)]
     one = (df.groupBy(*keys) if keys else df).agg(*aggregates)
@@ -92,6 +100,10 @@ class EDASummary:
     def table(self) -> DataFrame:
         raise NotImplementedError
 
+    def shown(self) -> list:
+        """The rows of a report's table."""
+        return self.table().collect()
+
     def plot(self) -> list[str]:
         return []
 
@@ -154,7 +166,14 @@ class EDACorrelationSummary(EDASummary):
             found.setdefault(r["metric"], {})[r["row"], r["col"]] = r["value"]
         for m in self.metrics:
             charts += [f"<h3>{m.name}</h3>", report.matrix_svg(names, names, found.get(m.name, {}))]
-        return charts
+        points = self.scatter()
+        return charts + [report.scatter_svg([(p[x], p[y]) for p in points if p[x] is not None and p[y] is not None], f"{x} > {y}") for i, x in enumerate(names) for y in names[i + 1 :]]
+
+    def scatter(self, points: int = 500) -> list[dict]:
+        """About this many rows, chosen by chance, of the numeric columns: a chart's dots, not a result."""
+        rows = self.df.select(*[number(c).alias(c) for c in numeric_columns(self.df)])
+        share = min(1.0, 1.2 * points / max(1, rows.count()))
+        return [r.asDict() for r in rows.sample(share, seed=0).limit(points).collect()]
 
 
 class EDAAutoCorrelationSummary(EDASummary):
@@ -182,29 +201,56 @@ class EDAAutoCorrelationSummary(EDASummary):
         return [report.lines_svg(s, m) for m, s in series.items()]
 
 
+SeriesMetric = Callable[[SeriesFrame, float], DataFrame]
+
+
+def weighted_mean(frame: SeriesFrame, p: float) -> DataFrame:
+    return ewm.mean(frame, p, propagate=False)
+
+
 class TimeSeriesCentralitySummary(EDASummary):
-    """The exponentially weighted mean (p = 0.9) of each column over a series."""
+    """Exponentially weighted metrics (p = 0.9; the mean if none are named) of each column over a series.
+
+    metrics: functions (frame, p) that give the frame's keys, order and value columns. Results are
+    DataFrames with all rows; only charts thin them, to `points` rows.
+    """
 
     name = "Series location"
 
-    def __init__(self, frame: SeriesFrame, p: float = 0.9, points: int = 2000):
+    def __init__(self, frame: SeriesFrame, metrics: dict[str, SeriesMetric] | None = None, p: float = 0.9, points: int = 2000):
         super().__init__(frame.df)
         self.frame, self.p, self.points = frame, p, points
+        self.metrics = metrics or {"weighted mean": weighted_mean}
+
+    def compute(self) -> dict[str, DataFrame]:
+        self._results = {name: metric(self.frame, self.p) for name, metric in self.metrics.items()}
+        return self._results
 
     def table(self) -> DataFrame:
-        return ewm.mean(self.frame, self.p, propagate=False)
+        """Rows (metric, keys, order, columns) of all metrics."""
+        out = None
+        for name, found in (self._results or self.compute()).items():
+            one = found.select(F.lit(name).alias("metric"), *self.frame.keys, self.frame.order, *self.frame.values)
+            out = one if out is None else out.union(one)
+        return out
 
-    def compute(self):
-        """Keeps evenly spaced rows, at most `points`: a chart's resolution."""
-        n = len(self.frame)
-        every = max(1, -(-n // self.points))
-        rows = self.table().withColumn("_k", F.row_number().over(self.frame.window) - 1)
-        self._results = rows.where(F.col("_k") % every == 0).drop("_k").orderBy(self.frame.order).collect()
-        return self._results
+    def shown(self) -> list:
+        """Thinned rows: a page has no room for a series."""
+        rows = []
+        for name, df in self.get_results().items():
+            rows += self._thinned(df.select(F.lit(name).alias("metric"), *self.frame.keys, self.frame.order, *self.frame.values))
+        return rows
+
+    def _thinned(self, df: DataFrame) -> list:
+        """Evenly spaced rows, at most `points`: a chart's resolution."""
+        every = max(1, -(-len(self.frame) // self.points))
+        rows = df.withColumn("_k", F.row_number().over(self.frame.window) - 1)
+        return rows.where(F.col("_k") % every == 0).drop("_k").orderBy(self.frame.order).collect()
 
     def plot(self) -> list[str]:
-        rows = self.get_results()
-        return [report.lines_svg({c: [(i, r[c]) for i, r in enumerate(rows)]}, f"{c}, weighted mean") for c in self.frame.values]
+        """A chart for each column: its own values and each metric's."""
+        lines = {"original": self._thinned(self.frame.df)} | {name: self._thinned(df) for name, df in self.get_results().items()}
+        return [report.lines_svg({name: [(i, r[c]) for i, r in enumerate(rows)] for name, rows in lines.items()}, c) for c in self.frame.values]
 
 
 def centre_lines(df: DataFrame, value: str) -> dict[str, float]:
