@@ -189,3 +189,142 @@ def test_report(spark, tmp_path):
     assert "&lt;b&gt;" in ReportRenderer().add_paragraph("<b>").render_html()
     with pytest.raises(ValueError):
         summaries.EDACentralitySummary(df).get_results()
+
+
+def test_games_are_played_step_by_step():
+    xs, ys = np.arange(10.0)[:, None], np.arange(10.0) * 2
+    game = online.DatasetGame(xs, ys, lambda p, y: float(online.squared(p, y)), shuffle=False)
+    learner, seen = online.Gradient(1, rate=0.01), []
+    for _ in game.step_numbers():
+        seen.append(game.step(learner)[0])
+    assert game.t == 10 and seen == game.results()["predictions"] and learner.t == 10
+    again = online.DatasetGame(xs, ys, lambda p, y: float(online.squared(p, y)), rounds=2, shuffle=True, seed=3)
+    found = again.play(online.Gradient(1, rate=0.01))
+    assert found["n_steps"] == 20 and found["mean_loss"] == pytest.approx(np.mean(found["losses"]))
+    again.reset()
+    assert again.t == 0 and again.losses == [] and again.results()["mean_loss"] == 0
+    with pytest.raises(ValueError):
+        online.DatasetGame(xs, ys[:3], online.squared)
+
+
+def test_fit_partial_fit_and_predict():
+    xs, ys = np.ones((20, 1)), np.full(20, 3.0)
+    with pytest.raises(ValueError, match="fitted"):
+        online.predictions(online.Gradient(1, rate=0.1), xs)
+    loss = lambda p, y: float(online.squared(p, y))
+    one = online.fit(online.Gradient(1, rate=0.1), xs, ys, loss)
+    two = online.partial_fit(online.fit(online.Gradient(1, rate=0.1), xs, ys, loss), xs, ys, loss)
+    assert two.t == 40 and abs(online.predictions(two, xs[:1])[0] - 3) < abs(online.predictions(one, xs[:1])[0] - 3) < 1
+    averaged = online.fit(online.Averaged(online.Gradient(1, rate=0.1)), xs, ys, loss)
+    assert averaged.inner.fitted and online.predictions(averaged, xs[:1])[0] < online.predictions(one, xs[:1])[0]
+
+
+class Stump:
+    def __init__(self, slope):
+        self.slope = slope
+
+    def predict(self, x):
+        return self.slope * x[:, 0]
+
+
+class Boosted:
+    """What a fitted boosting model of two parameters looks like."""
+
+    init_params = np.array([1.0, 0.5])
+    base_models = [[Stump(1.0), Stump(0.0)], [Stump(-0.5), Stump(0.2)]]
+    scalings = [1.0, 0.5]
+    col_idxs = [[1], [0]]
+    learning_rate = 0.1
+
+    def predict(self, x):
+        out = np.tile(self.init_params, (len(x), 1))
+        for models, k, cols in zip(self.base_models, self.scalings, self.col_idxs):
+            out -= self.learning_rate * k * np.array([m.predict(x[:, cols]) for m in models]).T
+        return out
+
+
+def test_stages_of_a_boosted_model_are_its_parts_and_can_be_reweighed():
+    x = np.random.RandomState(0).normal(size=(30, 2))
+    parts = online.stages_of(Boosted())
+    assert len(parts) == 3
+    whole = np.array([np.mean([np.squeeze(f(r)) for f in parts], axis=0) for r in x])
+    assert whole == pytest.approx(Boosted().predict(x))
+    model = online.StageReweigher(parts, lambda experts: online.Hedge(experts, rate=0.0), lambda p, y: (np.squeeze(p)[0] - y) ** 2)
+    with pytest.raises(ValueError, match="fitted"):
+        model.predict(x)
+    assert model.fit(x, x[:, 0]).predict(x) == pytest.approx(whole)
+    y = 3 * np.ones(30)  # the first part alone is three times the start
+    model = online.StageReweigher(parts, lambda experts: online.Hedge(experts, rate=1.0), lambda p, t: (np.squeeze(p)[0] - t) ** 2).fit(x, y)
+    assert model.experts.weights.argmax() == 0 and model.predict(x)[:, 0] == pytest.approx(y, abs=0.1)
+
+
+def days(spark, n=60, gap=()):
+    from datetime import datetime, timedelta
+
+    rows = [(datetime(2020, 1, 1) + timedelta(days=i), float(i)) for i in range(n) if i not in gap]
+    return spark.createDataFrame(rows, "ts timestamp, close double")
+
+
+@pytest.mark.parametrize("offset", ["7D", "90min", "MS", "2ME", "QS", "QE", "YS", "YE", "W", "2W-MON", "B", "3B"])
+def test_moves_by_offsets_are_those_of_pandas(spark, offset):
+    import pandas as pd
+
+    from tideline.operators.backtest import moved
+
+    df = spark.sql("SELECT explode(sequence(TIMESTAMP'2020-01-01 06:30:00', TIMESTAMP'2021-01-05 06:30:00', INTERVAL 1 DAY)) AS t")
+    step = pd.tseries.frequencies.to_offset(offset)
+    for t, to in df.select("t", moved(F.col("t"), offset)).collect():
+        assert pd.Timestamp(t) + step == pd.Timestamp(to), t
+
+
+def test_calendar_cadence_goes_to_the_first_row_at_or_after(spark):
+    game = B.BacktestGame(SeriesFrame(days(spark, 100, gap=(31, 32)), "ts", ["close"]), cadence="MS", horizon="W-MON", target="close")
+    got = [(r["ts"].month, r["ts"].day, r["prediction_at"].weekday()) for r in game.targets().orderBy("ts").collect()]
+    assert got == [(1, 1, 0), (2, 3, 0), (3, 1, 0), (4, 1, 0)]
+    with pytest.raises(ValueError, match="offset"):
+        B.BacktestGame(game.frame, cadence="soon").steps()
+
+
+def test_sessions_step_through_a_game(spark):
+    game = B.BacktestGame(SeriesFrame(days(spark, 30), "ts", ["close"]), window_length=5, cadence=4, horizon="2D", target="close")
+    s = B.BacktestSession(game)
+    assert s.available_steps() == s.remaining_steps() == 7 and s.current_date == s.step_date(0) and s.step_date(7) is None
+    assert s.state()["close"].tolist() == [0.0, 1, 2, 3, 4]
+
+    class Last(online.Learner):
+        def predict(self, x):
+            return float(x["close"].iloc[-1])
+
+        def learn(self, x, prediction, loss, y):
+            self.t += 1
+
+    p, v = s.step(Last())
+    assert v == pytest.approx(2.0) and s.prediction_at > s.current_date and s.truth() == p + 2
+    assert s.advance() and s.remaining_steps() == 6
+    s.reset()
+    found = s.play(Last())
+    assert found["n_steps"] == 7 and found["losses"] == [2.0] * 6 + [0.0]
+    last = s.window(s.step_date(1)).collect()
+    assert len(last) == 5 and last[-1]["ts"] == s.step_date(1)
+    absolute = B.BacktestSession(game, loss=lambda y, p: abs(y - p))
+    assert absolute.step(Last())[1] == 2.0
+    run = B.Backtester(B.BacktestGame(game.frame, 5, 4, "2D", "close", loss=lambda y, p: F.abs(y - p))).run(F.col("close")).predictions.orderBy("ts").collect()
+    assert [r["loss"] for r in run] == [2.0] * 6 + [0.0]
+
+
+def test_text_axes_are_read_as_instants(spark):
+    df = days(spark, 20).selectExpr("date_format(ts, 'yyyy-MM-dd') AS ts", "close")
+    steps = B.BacktestGame(SeriesFrame(df, "ts", ["close"]), cadence="7D").steps().collect()
+    assert sorted(r["ts"].day for r in steps) == [1, 8, 15]
+
+
+def test_series_metrics_keep_all_rows(spark):
+    from tideline.operators import ewm
+    from tideline.plans import summaries as S
+
+    frame = SeriesFrame(days(spark, 50), "ts", ["close"], freq="D")
+    s = S.TimeSeriesCentralitySummary(frame, {"mean": S.weighted_mean, "std": lambda f, p: ewm.std(f, p)}, points=10)
+    with pytest.raises(ValueError):
+        s.get_results()
+    assert set(s.compute()) == {"mean", "std"} and s.get_results()["mean"].count() == 50
+    assert s.table().count() == 100 and len(s.shown()) == 20 and s.plot()[0].count("<polyline") == 3

@@ -1,8 +1,9 @@
 """Back-testing: steps at a cadence, windows of history, targets at a horizon, runs of strategies.
 
 Steps, windows and targets are DataFrames. A stateless strategy is a Column over its window; a
-learner (operators.online) is run in order, one task for each series. Integers are rows, durations
-('7D', '3h') are time.
+learner (operators.online) is run in order, one task for each series; BacktestSession plays one
+series step by step on the driver. Integers are rows, durations ('7D', '3h') and calendar offsets
+('MS', 'W-MON', '2B') are time.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.operators.online import Learner
-from tideline.operators.series import SeriesFrame, fixed_length
+from tideline.operators.online import Game, Learner
+from tideline.operators.series import SeriesFrame
+
+DAY = 86_400_000_000
 
 
 def as_of(left: DataFrame, right: DataFrame, left_on: str, right_on: str, columns: list[str], direction: str = "backward", keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -41,6 +45,51 @@ def as_of(left: DataFrame, right: DataFrame, left_on: str, right_on: str, column
     return out.select(*[F.col(f"l_{i}").alias(c) for i, c in enumerate(names)], *[F.col(f"r.r_{i}").alias(c) for i, c in enumerate(columns)], F.col("r.r_at").alias("matched_at"))
 
 
+def micros_of(offset: str) -> int | None:
+    """Microseconds of an offset of fixed length ('7D', '90min'), None for calendar ones ('MS', 'W', 'B'); others raise."""
+    try:
+        step = pd.tseries.frequencies.to_offset(offset)
+    except ValueError as e:
+        raise ValueError(f"not a duration or calendar offset: {offset}") from e
+    try:
+        return pd.Timedelta(step) // pd.Timedelta(microseconds=1)
+    except (ValueError, TypeError):
+        return step.n * DAY if type(step).__name__ == "Day" else None
+
+
+def moved(c: Column, offset: str) -> Column:
+    """An instant moved on by an offset, at the same time of day.
+
+    Calendar offsets go to the next place of their kind: month, quarter and year starts and ends (MS,
+    ME, QS, QE, YS, YE), the next such weekday (W, W-MON), the next weekday that isn't Saturday or
+    Sunday (B); a number before them goes on as often.
+    """
+    micros, c = micros_of(offset), c.cast("timestamp")
+    if micros is not None:
+        return F.timestamp_micros(F.unix_micros(c) + F.lit(micros))
+    step = pd.tseries.frequencies.to_offset(offset)
+    n, unit = step.n, step.rule_code.split("-")[0]
+    day = F.to_date(c)
+    if unit in ("MS", "ME", "QS", "QE", "YS", "YE"):
+        if unit[0] != "M" and step.rule_code not in (unit, "QS-JAN", "QE-DEC", "YS-JAN", "YE-DEC"):
+            raise ValueError(f"only calendar quarters and years are known: {offset}")
+        span, width = {"M": ("month", 1), "Q": ("quarter", 3), "Y": ("year", 12)}[unit[0]]
+        start = F.to_date(F.date_trunc(span, c))
+        if unit[1] == "S":
+            to = F.add_months(start, n * width)
+        else:
+            end = F.last_day(F.add_months(start, width - 1))
+            to = F.last_day(F.add_months(start, F.when(day == end, n * width).otherwise((n - 1) * width) + (width - 1)))
+    elif unit == "W":
+        to = F.date_add(F.next_day(day, (step.rule_code.split("-") + ["SUN"])[1]), 7 * (n - 1))
+    elif unit == "B":
+        late = F.greatest(F.weekday(day) - 4, F.lit(0))  # a Saturday or Sunday counts as Friday
+        to = F.date_add(day, (n + 2 * F.floor((F.weekday(day) - late + n) / 5) - late).cast("int"))
+    else:
+        raise ValueError(f"can't move by {offset}")
+    return F.timestamp_micros(F.unix_micros(to.cast("timestamp")) + F.unix_micros(c) - F.unix_micros(day.cast("timestamp")))
+
+
 @dataclass
 class BacktestResult:
     """predictions (keys, prediction_at, prediction, loss, is_warmup), no trades, a pnl of zeros, and small dicts."""
@@ -54,7 +103,11 @@ class BacktestResult:
 
 @dataclass
 class BacktestGame:
-    """When to predict, from what, and what for. window_overlap is accepted and has no influence."""
+    """When to predict, from what, and what for. window_overlap is accepted and has no influence.
+
+    loss(y, prediction): a Column of two, half the squared error if none is given. An order column of
+    text is read as instants.
+    """
 
     frame: SeriesFrame
     window_length: int | str = 1
@@ -64,10 +117,15 @@ class BacktestGame:
     align: str = "front"
     warmup_periods: int = 0
     window_overlap: bool = True
+    loss: Callable[[Column, Column], Column] | None = None
 
     def __post_init__(self):
         if self.align not in ("front", "back"):
             raise ValueError("align must be front or back")
+        frame = self.frame
+        if isinstance(frame.df.schema[frame.order].dataType, T.StringType):
+            df = frame.df.withColumn(frame.order, F.to_timestamp(f"`{frame.order}`"))
+            self.frame = SeriesFrame(df, frame.order, frame.values, frame.keys)
 
     @property
     def keys(self) -> list[str]:
@@ -81,13 +139,20 @@ class BacktestGame:
     def _least(self) -> int:
         return self.window_length if isinstance(self.window_length, int) else 1
 
+    def _duration(self) -> int:
+        micros = micros_of(self.window_length)
+        if micros is None:
+            raise ValueError(f"a window needs a fixed length: {self.window_length}")
+        return micros
+
     def steps(self) -> DataFrame:
         """Rows at which a step ends: all columns, with step_no (from 1) and is_warmup.
 
-        Integer cadence: every cadence-th row from the front or back. Duration: from a step, the first
-        row at or after the step plus (or minus) the cadence. Steps need a full window of rows.
+        Integer cadence: every cadence-th row from the front or back. Duration or calendar offset: from a
+        step, the first row at or after the step plus (or minus) the cadence. Steps need a full window
+        of rows.
         """
-        order, w = self.frame.order, self.frame.window
+        w = self.frame.window
         if isinstance(self.cadence, int):
             c = max(1, self.cadence)
             walk = (F.col("_rn") - 1) % c if self.align == "front" else (F.col("_n") - F.col("_rn")) % c
@@ -95,14 +160,13 @@ class BacktestGame:
         else:
             chosen = self._walk().where(F.col("_rn") >= self._least())
         out = chosen.withColumn("step_no", F.row_number().over(w))
-        return out.withColumn("is_warmup", F.col("step_no") <= self.warmup_periods).drop("_n").withColumnRenamed("_rn", "position").orderBy(*self.keys, order)
+        return out.withColumn("is_warmup", F.col("step_no") <= self.warmup_periods).drop("_n").withColumnRenamed("_rn", "position")
 
     def _walk(self) -> DataFrame:
         """Rows on a walk by duration. The next step depends on the last, so each series is walked in one task over its sorted times."""
-        micros = fixed_length(str(self.cadence))
-        if micros is None:
-            raise ValueError(f"not a duration: {self.cadence}")
-        keys, front = self.keys, self.align == "front"
+        micros = micros_of(str(self.cadence))
+        calendar = pd.tseries.frequencies.to_offset(self.cadence) if micros is None else None
+        keys, front, cadence = self.keys, self.align == "front", self.cadence
         times = self.placed().withColumn("_p", self.frame.position().cast("long"))
 
         def go(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,12 +175,16 @@ class BacktestGame:
             at, taken = (0 if front else len(p) - 1), []
             while True:
                 taken.append(at)
-                goal = p[at] + (micros if front else -micros)
+                if calendar is None:
+                    goal = p[at] + (micros if front else -micros)
+                else:
+                    here = pd.Timestamp(int(p[at]), unit="us")
+                    goal = (here + calendar if front else here - calendar).value // 1000
                 if goal > p[-1] or goal < p[0]:
                     break
                 new = int(np.searchsorted(p, goal, side="left"))
                 if new == at:
-                    raise ValueError(f"a walk back by {micros} microseconds stays at a row: the gap before it is longer")
+                    raise ValueError(f"a walk by {cadence} stays at a row: the gap before it is longer")
                 at = new
             return pdf.iloc[sorted(set(taken))][[*keys, "_rn"]]
 
@@ -131,7 +199,7 @@ class BacktestGame:
         if isinstance(self.window_length, int):
             w = self.frame.window.rowsBetween(1 - self.window_length, 0)
         else:
-            w = Window.partitionBy(*self.keys).orderBy(self.frame.position().cast("long")).rangeBetween(-fixed_length(self.window_length), 0)
+            w = Window.partitionBy(*self.keys).orderBy(self.frame.position().cast("long")).rangeBetween(-self._duration(), 0)
         held = self.frame.df.withColumn("window", F.collect_list(item).over(w)).select(*self.keys, self.frame.order, "window")
         return self.steps().join(held, [*self.keys, self.frame.order])
 
@@ -142,8 +210,7 @@ class BacktestGame:
             w = self.frame.window
             ahead = self.frame.df.select(*self.keys, order, F.lead(order, self.horizon).over(w).alias("prediction_at"), (F.lead(self.target, self.horizon).over(w) if self.target else F.lit(None).cast("double")).alias("y"))
             return steps.join(ahead, [*self.keys, order])
-        micros = fixed_length(self.horizon)
-        goal = F.timestamp_micros(F.unix_micros(F.col(order).cast("timestamp")) + micros).cast(self.frame.df.schema[order].dataType)
+        goal = moved(F.col(order), self.horizon).cast(self.frame.df.schema[order].dataType)
         steps = steps.withColumn("prediction_at", goal)
         if not self.target:
             return steps.withColumn("y", F.lit(None).cast("double"))
@@ -160,8 +227,8 @@ class Backtester:
     def run(self, strategy: Column | Learner | Callable, features: str | None = None, end=None) -> BacktestResult:
         """strategy: a Column over the frame (with windows of its own, looking back only), or a learner over an array column.
 
-        The loss is half the squared error, 0 where there is no target; a missing target value gives a
-        missing loss. Steps stop after the first whose prediction_at reaches `end`.
+        The loss is the game's, 0 where there is no target; a missing target value gives a missing
+        loss. Steps stop after the first whose prediction_at reaches `end`.
         """
         game, keys, order = self.game, self.game.keys, self.game.frame.order
         steps = game.targets()
@@ -174,9 +241,10 @@ class Backtester:
             stop = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
             reached = F.max((F.col("prediction_at") >= F.lit(end)).cast("int")).over(stop)
             steps = steps.withColumn("_stop", F.coalesce(reached, F.lit(0))).where("_stop = 0").drop("_stop")
-        error = F.col("y").cast("double") - F.col("prediction")
+        y, made = F.col("y").cast("double"), F.col("prediction")
+        cost = 0.5 * (y - made) * (y - made) if game.loss is None else game.loss(y, made)
         no_target = F.lit(0.0) if not game.target else F.when(F.col("prediction_at").isNull() | F.col("y").isNull(), 0.0)
-        steps = steps.withColumn("loss", F.coalesce(0.5 * error * error, no_target))
+        steps = steps.withColumn("loss", F.coalesce(cost, no_target))
         out = steps.select(*keys, order, "step_no", "is_warmup", "prediction_at", "prediction", "y", "loss")
         row = out.agg(F.avg("loss").alias("m"), F.count(F.lit(1)).alias("n")).first()
         spark = out.sparkSession
@@ -201,3 +269,79 @@ class Backtester:
         rows = steps.select(*keys, order, F.col("y").cast("double").alias("y"), *([features] if features else []))
         schema = "".join(f"`{k}` {types[k]}, " for k in keys) + f"`{order}` {types[order]}, prediction double"
         return steps.join(rows.groupBy(*keys).applyInPandas(go, schema), [*keys, order])
+
+
+class BacktestSession(Game):
+    """One series of a game, played step by step on the driver: a row for each step is held there.
+
+    A learner sees the current window as a pandas frame (its window_length rows). loss(y, prediction)
+    of numbers; half the squared error if none is given, 0 without a target or beyond its end.
+    """
+
+    def __init__(self, game: BacktestGame, loss: Callable[[float, float], float] | None = None):
+        super().__init__()
+        if game.keys:
+            raise ValueError("a session plays one series: filter the frame to it and leave out the keys")
+        self.game, self.loss, self.at, self.prediction_at = game, loss, 0, None
+        order = game.frame.order
+        rows = game.targets().select(F.col(f"`{order}`").alias("step"), "position", "is_warmup", "prediction_at", F.col("y").cast("double").alias("y"))
+        self._steps = sorted(rows.collect(), key=lambda r: r["position"])
+
+    def available_steps(self) -> int:
+        return len(self._steps)
+
+    def remaining_steps(self) -> int:
+        return len(self._steps) - self.at
+
+    def step_date(self, i: int):
+        """The i-th step's place on the axis (from 0), None where there is none."""
+        return self._steps[i]["step"] if 0 <= i < len(self._steps) else None
+
+    @property
+    def current_date(self):
+        return self.step_date(self.at)
+
+    def step_numbers(self):
+        for self.at in range(len(self._steps)):
+            yield self.at
+
+    def advance(self) -> bool:
+        """Goes to the next step; whether there is one."""
+        self.at = min(self.at + 1, len(self._steps))
+        return self.at < len(self._steps)
+
+    def reset(self) -> None:
+        super().reset()
+        self.at, self.prediction_at = 0, None
+
+    def window(self, at) -> DataFrame:
+        """The rows that end at a position (an int, from 1) or at the last row not after an instant; none before the first row."""
+        order, rows = self.game.frame.order, self.game.placed()
+        if not isinstance(at, int):
+            at = rows.where(F.col(f"`{order}`") <= F.lit(at)).agg(F.max("_rn")).first()[0] or 0
+        if isinstance(self.game.window_length, int):
+            held = rows.where(F.col("_rn").between(at - self.game.window_length + 1, at))
+        else:
+            end = rows.where(F.col("_rn") == at).select(self.game.frame.position().cast("long")).first()
+            place = self.game.frame.position().cast("long")
+            held = rows.where(F.col("_rn") <= at).where(place >= end[0] - self.game._duration()) if end else rows.where(F.lit(False))
+        return held.drop("_rn", "_n").orderBy(order)
+
+    def state(self) -> pd.DataFrame:
+        if self.at >= len(self._steps):
+            raise StopIteration("no more steps")
+        return self.window(int(self._steps[self.at]["position"])).toPandas()
+
+    def truth(self) -> float | None:
+        return self._steps[self.at]["y"] if self.game.target and self.at < len(self._steps) else None
+
+    def cost(self, prediction, state=None) -> float:
+        y = self.truth()
+        if y is None:
+            return 0.0
+        return 0.5 * (y - prediction) ** 2 if self.loss is None else self.loss(y, prediction)
+
+    def step(self, learner: Learner):
+        out = super().step(learner)
+        self.prediction_at = self._steps[self.at]["prediction_at"]
+        return out

@@ -634,14 +634,107 @@ def run_online(df: DataFrame, learner: Learner, order: str, target: str, feature
     return rows.groupBy(*keys).applyInPandas(go, schema)
 
 
+class Game:
+    """Steps in order: a state is shown, a learner predicts, the loss is told and learned from.
+
+    Subclasses say what is shown (`state`), what a prediction costs (`cost`), the truth if there is one
+    (`truth`) and which steps there are (`step_numbers`). `step` plays the current step, so that a caller
+    can look in between; `play` plays them all. Games run on the driver, over data that fit there;
+    `run_online` and `operators.backtest` are the same steps over tables.
+    """
+
+    def __init__(self):
+        self.t, self.losses, self.predictions = 0, [], []
+
+    def state(self):
+        raise NotImplementedError
+
+    def cost(self, prediction, state):
+        raise NotImplementedError
+
+    def truth(self):
+        return None
+
+    def step_numbers(self):
+        raise NotImplementedError
+
+    def step(self, learner: Learner):
+        """(prediction, loss) of the current step."""
+        x = self.state()
+        p = learner.predict(x)
+        v = self.cost(p, x)
+        learner.learn(x, p, v, self.truth())
+        self.predictions.append(p), self.losses.append(v)
+        self.t += 1
+        return p, v
+
+    def play(self, learner: Learner) -> dict:
+        for _ in self.step_numbers():
+            self.step(learner)
+        return self.results()
+
+    def results(self) -> dict:
+        """Steps played, their predictions and losses, and the mean loss (of numbers; 0 without any)."""
+        numbers = [float(np.mean(v)) for v in self.losses if v is not None]
+        return {"n_steps": self.t, "predictions": self.predictions, "losses": self.losses, "mean_loss": float(np.mean(numbers)) if numbers else 0.0}
+
+    def reset(self) -> None:
+        self.t, self.losses, self.predictions = 0, [], []
+
+
+class DatasetGame(Game):
+    """The rows of a matrix with their targets, `rounds` times, shuffled anew for each round if asked; loss(prediction, y)."""
+
+    def __init__(self, xs, ys, loss: Loss, rounds: int = 1, shuffle: bool = True, seed: int | None = None):
+        super().__init__()
+        if len(xs) != len(ys):
+            raise ValueError("a target is needed for each row")
+        self.xs, self.ys, self.loss, self.rounds, self.shuffle, self.seed = xs, ys, loss, rounds, shuffle, seed
+        self.at = 0
+
+    def state(self):
+        return self.xs[self.at]
+
+    def truth(self):
+        return self.ys[self.at]
+
+    def cost(self, prediction, state):
+        return self.loss(prediction, self.ys[self.at])
+
+    def step_numbers(self):
+        rng = np.random.RandomState(self.seed)
+        for _ in range(self.rounds):
+            for self.at in rng.permutation(len(self.ys)) if self.shuffle else range(len(self.ys)):
+                yield self.at
+
+    def reset(self) -> None:
+        super().reset()
+        self.at = 0
+
+
+def _mark_fitted(learner: Learner) -> Learner:
+    learner.fitted = True
+    if isinstance(learner, Averaged):
+        learner.inner.fitted = True
+    return learner
+
+
 def fit(learner: Learner, xs, ys, loss: Loss) -> Learner:
     """A fresh learner after one ordered pass, marked as fitted."""
-    own = learner.fresh()
-    play(own, xs, ys, loss)
-    own.fitted = True
-    if isinstance(own, Averaged):
-        own.inner.fitted = True
-    return own
+    return partial_fit(learner.fresh(), xs, ys, loss)
+
+
+def partial_fit(learner: Learner, xs, ys, loss: Loss) -> Learner:
+    """The learner itself after one more ordered pass, marked as fitted."""
+    DatasetGame(xs, ys, loss, shuffle=False).play(learner)
+    return _mark_fitted(learner)
+
+
+def predictions(learner: Learner, xs) -> np.ndarray:
+    """Predictions of a fitted learner, which learns nothing from them; one that isn't fitted raises."""
+    if not learner.fitted:
+        raise ValueError("the learner must be fitted before it predicts")
+    return np.array([learner.predict(x) for x in xs])
 
 
 def additive_stages(initial: np.ndarray, stages: list[Callable], rate: float, scales: list[float]) -> list[Callable]:
@@ -652,6 +745,61 @@ def additive_stages(initial: np.ndarray, stages: list[Callable], rate: float, sc
     return parts
 
 
+def stages_of(model) -> list[Callable]:
+    """The additive parts of a fitted natural-gradient boosting model (see `additive_stages`), for rows of features.
+
+    model: anything with init_params, base_models (a list of estimators for each stage, one for each
+    parameter), scalings, col_idxs and learning_rate, as such models have once fitted.
+    """
+
+    def stage(estimators, columns) -> Callable:
+        return lambda x: np.array([e.predict(np.atleast_2d(np.asarray(x, float))[:, columns]) for e in estimators]).T
+
+    stages = [stage(e, c) for e, c in zip(model.base_models, model.col_idxs, strict=True)]
+    return additive_stages(np.asarray(model.init_params, float), stages, model.learning_rate, list(model.scalings))
+
+
+@dataclass
+class Part(Learner):
+    """An expert that is a fixed function and learns nothing."""
+
+    function: Callable | None = None
+
+    def predict(self, x):
+        return self.function(x)
+
+    def learn(self, x, prediction, loss, y) -> None:
+        self.t += 1
+
+
+@dataclass
+class StageReweigher:
+    """An additive model whose parts are weighed by an expert algorithm.
+
+    parts: functions of a row (from `stages_of` or `additive_stages`). algorithm: makes the expert
+    algorithm from a list of experts. loss(prediction, y) of one part's prediction. `fit` learns the
+    weights over rows in order, `predict` gives each row's weighted sum of the parts, with equal
+    weights as the model itself.
+    """
+
+    parts: list[Callable]
+    algorithm: Callable[[list], Experts]
+    loss: Callable
+
+    def fit(self, xs, ys) -> StageReweigher:
+        self.experts = self.algorithm([Part(f) for f in self.parts])
+        for x, y in zip(xs, ys, strict=True):
+            made = [f(x) for f in self.parts]
+            self.experts.learn(x, made, np.array([float(np.mean(self.loss(p, y))) for p in made]), y)
+        _mark_fitted(self.experts)
+        return self
+
+    def predict(self, xs) -> np.ndarray:
+        if getattr(self, "experts", None) is None:
+            raise ValueError("the weights must be fitted before they are used")
+        return np.array([sum(w * np.squeeze(np.asarray(f(x), float)) for w, f in zip(self.experts.weights, self.parts, strict=True)) for x in xs])
+
+
 def weigh_stages(df: DataFrame, stages: str, weights: str) -> DataFrame:
     """Adds `combined`: the sum of stage predictions times weights, of two array columns."""
     return df.withColumn("combined", F.aggregate(F.zip_with(stages, weights, lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v))

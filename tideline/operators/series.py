@@ -154,6 +154,24 @@ class SeriesFrame:
     def mean(self) -> dict:
         return self._stat(F.avg)
 
+    def min(self) -> dict:
+        return self._stat(F.min)
+
+    def max(self) -> dict:
+        return self._stat(F.max)
+
+    def std(self) -> dict:
+        return self._stat(F.stddev_samp)
+
+    def count_values(self) -> dict:
+        """Values that aren't missing, by column (`count` is the table's)."""
+        return self._stat(F.count)
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        """Rows and value columns; one job."""
+        return self.df.count(), len(self.values)
+
     def between(self, low, high) -> SeriesFrame:
         """Rows from low to high, both included."""
         return self._with(self.df.where(F.col(f"`{self.order}`").between(F.lit(low), F.lit(high))))
