@@ -19,6 +19,7 @@ from tideline.operators import dispersion as V
 from tideline.operators import ewm, experts, online, rolling
 from tideline.operators import location as L
 from tideline.operators.series import SeriesFrame
+from tideline.plans import recursions as R
 from tideline.plans import summaries as S
 from tideline.sources.tables import table
 
@@ -361,7 +362,12 @@ _PAIR = "CASE WHEN count(*) OVER w >= 20 THEN covar_pop({x}, {y}) OVER w / nulli
 register("rolling_corr", f"SELECT day, round(CASE WHEN count(*) OVER w >= 20 THEN 1.0 END, 5) AS \"total>total\", round({_PAIR.format(x='total', y='n')}, 5) AS \"total>n\", round({_PAIR.format(x='n', y='total')}, 5) AS \"n>total\", round(CASE WHEN count(*) OVER w >= 20 THEN 1.0 END, 5) AS \"n>n\" FROM {_D} WINDOW w AS (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")(
     lambda spark, d: rounded(rolling.correlation(SeriesFrame(daily(spark, d), "day", ["total", "n"]), window=20), 5)
 )
-register("rolling_corr_spearman")(lambda spark, d: rounded(rolling.correlation(users(spark, d), A.SPEARMAN, 10), 6))
+register("rolling_corr_spearman", f"SELECT user_id, rn, CASE WHEN rn >= 10 AND max(value) OVER w > min(value) OVER w THEN 1.0 END AS \"value>value\" FROM {_E} WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")(lambda spark, d: rounded(rolling.correlation(users(spark, d), A.SPEARMAN, 10), 6))
+_FRAMES = f"(SELECT a.user_id, a.rn, b.value AS x, (b.event_id * 7919 % 1009)::DOUBLE AS y FROM {_E} a JOIN {_E} b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 9 AND a.rn WHERE a.rn >= 10)"
+_FRAME_RANKS = f"(SELECT user_id, rn, rank() OVER (PARTITION BY user_id, rn ORDER BY x) + (count(*) OVER (PARTITION BY user_id, rn, x) - 1) / 2.0 AS x, rank() OVER (PARTITION BY user_id, rn ORDER BY y) + (count(*) OVER (PARTITION BY user_id, rn, y) - 1) / 2.0 AS y FROM {_FRAMES})"
+register("rolling_rank_pair", f"SELECT e.user_id, e.rn, round(c, 6) + 0.0 AS value FROM {_E} e LEFT JOIN (SELECT user_id, rn, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS c FROM {_FRAME_RANKS} GROUP BY user_id, rn) r USING (user_id, rn)")(
+    lambda spark, d: rounded(rolling.correlation(SeriesFrame(by_user(spark, d).withColumn("seq", (F.col("event_id") * 7919 % 1009).cast("double")), "rn", ["value", "seq"], ["user_id"], freq=1), A.SPEARMAN, 10).select("user_id", "rn", F.col("`value>seq`").alias("value")))
+)
 register("rolling_autocorr", f"SELECT day, " + ", ".join(f"round(CASE WHEN count(l{k}) OVER w >= 20 THEN covar_pop(l{k}, CASE WHEN l{k} IS NOT NULL THEN total END) OVER w / nullif(stddev_pop(l{k}) OVER w * stddev_pop(CASE WHEN l{k} IS NOT NULL THEN total END) OVER w, 0) END, 5) AS \"total_lag({k})>total\"" for k in (1, 2)) + f" FROM (SELECT day, total, lag(total, 1) OVER (ORDER BY day) AS l1, lag(total, 2) OVER (ORDER BY day) AS l2 FROM {_D}) WINDOW w AS (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")(
     lambda spark, d: rounded(rolling.auto_correlation(SeriesFrame(daily(spark, d), "day", ["total"]), lags=[1, 2], window=20), 5)
 )
@@ -369,8 +375,9 @@ register("rolling_autocorr", f"SELECT day, " + ", ".join(f"round(CASE WHEN count
 # back-testing
 
 
-def game(spark: SparkSession, d: str, **more) -> B.BacktestGame:
-    return B.BacktestGame(SeriesFrame(daily(spark, d).withColumn("day", F.col("day").cast("timestamp")), "day", ["total"], freq="D"), target="total", **more)
+def game(spark: SparkSession, d: str, unit: float = 1.0, **more) -> B.BacktestGame:
+    rows = daily(spark, d).withColumns({"day": F.col("day").cast("timestamp"), "total": F.col("total") / unit})
+    return B.BacktestGame(SeriesFrame(rows, "day", ["total"], freq="D"), target="total", **more)
 
 
 def _days(df: DataFrame) -> DataFrame:
@@ -396,7 +403,16 @@ register("backtest_targets", f"SELECT day, prediction_at, round(y, 4) AS y FROM
 register("backtest_persistence", f"SELECT day, prediction_at, round(total, 4) AS prediction, round(coalesce(0.5 * (y / 1000 - total / 1000) * (y / 1000 - total / 1000), 0), 3) AS scaled_loss FROM {_TARGET}")(
     lambda spark, d: rounded(_days(B.Backtester(game(spark, d, window_length=10, cadence=7, horizon="5D")).run(F.col("total")).predictions.select("day", "prediction_at", "prediction", F.round(F.col("loss") / 1e6, 3).alias("scaled_loss"))), 4)
 )
-register("backtest_learner")(lambda spark, d: rounded(B.Backtester(game(spark, d, window_length=10, cadence=7, horizon="5D")).run(online.Gradient(1, rate=0.1)).predictions, 4))
+_LEARNED = f"""WITH RECURSIVE t AS (SELECT day, prediction_at, y / 1000000 AS y, row_number() OVER (ORDER BY day) AS step_no FROM {_TARGET}),
+g AS (SELECT 0::BIGINT AS k, 0.0::DOUBLE AS p, 0.0::DOUBLE AS theta UNION ALL SELECT step_no, theta, CASE WHEN y IS NULL THEN theta ELSE theta - 0.1::DOUBLE * (theta - y) END FROM g JOIN t ON t.step_no = g.k + 1)
+SELECT day, CAST(step_no AS INTEGER) AS step_no, false AS is_warmup, prediction_at, round(p, 4) AS prediction, round(y, 4) AS y, round(coalesce(0.5 * (y - p) * (y - p), 0), 4) AS loss FROM g JOIN t ON t.step_no = g.k"""
+register("backtest_learner", _LEARNED)(lambda spark, d: rounded(_days(B.Backtester(game(spark, d, window_length=10, cadence=7, horizon="5D", unit=1e6)).run(online.Gradient(1, rate=0.1)).predictions), 4))
+register("backtest_monthly", f"""WITH RECURSIVE p AS (SELECT * FROM {_P}), s AS (SELECT min(day) AS day FROM p
+UNION ALL SELECT (SELECT min(p.day) FROM p WHERE p.day >= date_trunc('month', s.day) + INTERVAL 1 MONTH) FROM s WHERE date_trunc('month', s.day) + INTERVAL 1 MONTH <= (SELECT max(day) FROM p)),
+t AS (SELECT s.day, p.total, CAST(s.day + CAST(8 - isodow(s.day) AS INTEGER) AS DATE) AS prediction_at, rn FROM s JOIN p USING (day) WHERE rn >= 10)
+SELECT t.day, CAST(rn AS INTEGER) AS position, CAST(row_number() OVER (ORDER BY t.day) AS INTEGER) AS step_no, prediction_at, round(d.total, 4) AS y FROM t ASOF LEFT JOIN {_D} d ON t.prediction_at <= d.day""")(
+    lambda spark, d: rounded(_days(game(spark, d, window_length=10, cadence="MS", horizon="W-MON").targets().select("day", "position", "step_no", "prediction_at", "y")), 4)
+)
 
 # experts and online learning
 
@@ -454,17 +470,18 @@ g AS (SELECT day, rn, 0.0::DOUBLE AS p, y, -0.1::DOUBLE * y AS m, 0.001::DOUBLE
 UNION ALL SELECT day, rn, theta, y, m, v, theta - 0.1::DOUBLE * (m / (1 - pow(0.9::DOUBLE, rn))) / (sqrt(v / (1 - pow(0.999::DOUBLE, rn))) + 1e-8) FROM
 (SELECT y.day, y.rn, g.theta, y.y, 0.9::DOUBLE * g.m + 0.1::DOUBLE * (g.theta - y.y) AS m, 0.999::DOUBLE * g.v + 0.001::DOUBLE * (g.theta - y.y) * (g.theta - y.y) AS v FROM g JOIN y ON y.rn = g.rn + 1))
 SELECT day, round(p, 5) AS prediction, round(0.5 * (p - y) * (p - y), 5) AS loss, round(sum(0.5 * (p - y) * (p - y)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 5) AS regret FROM g""")(_online(lambda: online.Adam(1, rate=0.1), 5))
-register("newton_step")(_online(lambda: online.NewtonStep(1, rate=0.1, epsilon=1.0)))
-register("forgetful_newton_step")(_online(lambda: online.ForgetfulNewtonStep(1, rate=0.1, epsilon=1.0)))
-register("mirror_descent")(_online(lambda: online.MirrorDescent(1, rate=0.1)))
-register("exponential_gradient")(_online(lambda: online.ExponentialGradient(np.ones(1), rate=0.1)))
-register("fkm")(_online(lambda: online.FKM(1, rate=0.001, delta=0.1)))
-register("averaged_iterates")(_online(lambda: online.Averaged(online.Gradient(1, rate=0.1))))
-register("sign_linear")(_online(lambda: online.SignLinear(1)))
+register("newton_step", R.newton(_D))(_online(lambda: online.NewtonStep(1, rate=0.1, epsilon=1.0)))
+register("forgetful_newton_step", R.forgetful_newton(_D))(_online(lambda: online.ForgetfulNewtonStep(1, rate=0.1, epsilon=1.0)))
+register("mirror_descent", R.gradient(_D, "0.0", {}, "(2 * theta - 0.1::DOUBLE * s) / 2"))(_online(lambda: online.MirrorDescent(1, rate=0.1)))
+register("exponential_gradient", R.gradient(_D, "1.0", {}, "theta * exp(-0.1::DOUBLE * s)"))(_online(lambda: online.ExponentialGradient(np.ones(1), rate=0.1)))
+register("fkm", R.bandit_descent(_D))(_online(lambda: online.FKM(1, rate=0.001, delta=0.1)))
+register("averaged_iterates", R.gradient(_D, "0.0", {}, "theta - 0.1::DOUBLE * s"))(_online(lambda: online.Averaged(online.Gradient(1, rate=0.1))))
+register("sign_linear", R.sign_linear(_D))(_online(lambda: online.SignLinear(1)))
 register("exp3")(_online(lambda: online.Exp3(_constants(), rate=0.1, seed=1)))
-register("ucb")(_online(lambda: online.UCB(_constants())))
-register("fixed_share")(_online(lambda: online.FixedShare(_constants())))
-register("time_fixed_share")(_online(lambda: online.TimeFixedShare(_constants(), features=_time_features)))
+register("exp3_median", R.exp3_median(_D))(_online(lambda: online.Exp3(_constants(), rate=0.1, strategy="median")))
+register("ucb", R.upper_bounds(_D))(_online(lambda: online.UCB(_constants())))
+register("fixed_share", R.fixed_share(_D))(_online(lambda: online.FixedShare(_constants())))
+register("time_fixed_share", R.time_fixed_share(_D))(_online(lambda: online.TimeFixedShare(_constants(), features=_time_features)))
 
 
 def _time_features(t: int) -> np.ndarray:
@@ -513,9 +530,21 @@ register("kmeans_score_all", f"WITH {_WHOLE} SELECT round(-sum(d2), 4) AS score
 register("kmeans_transform_all", f"WITH {_WHOLE} SELECT vec_id AS seq, k AS cluster, round(d, 6) AS distance FROM dist")(
     lambda spark, d: rounded(C.WeightedKMeans(5, centers=seeds(spark, d)).transform(whole_vectors(spark, d)).select("seq", F.posexplode("distances").alias("cluster", "distance")))
 )
-register("kmeans_weighted")(lambda spark, d: centre_rows(spark, C.WeightedKMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
-register("kmeans_online")(lambda spark, d: centre_rows(spark, C.OnlineKMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
-register("kmeans_iw_v1")(lambda spark, d: centre_rows(spark, C.InverseWeightedOnlineKMeansV1(5, n=3).fit(whole_vectors(spark, d), seeds(spark, d) + 0.01).centers))
-register("kmeans_iw_v2")(lambda spark, d: centre_rows(spark, C.InverseWeightedOnlineKMeansV2(5, learning_rate=0.001).fit(whole_vectors(spark, d), seeds(spark, d) + 0.01).centers))
-register("kharmonic")(lambda spark, d: centre_rows(spark, C.KHarmonicMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
-register("association_summary")(lambda spark, d: rounded(S.EDACorrelationSummary(daily(spark, d), order="day").table()))
+register("kmeans_weighted", R.weighted_means())(lambda spark, d: centre_rows(spark, C.WeightedKMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
+register("kmeans_online", R.winner_means())(lambda spark, d: centre_rows(spark, C.OnlineKMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
+register("kmeans_iw_v1", R.inverse_mass_means())(lambda spark, d: centre_rows(spark, C.InverseWeightedOnlineKMeansV1(5, n=3).fit(whole_vectors(spark, d), seeds(spark, d) + 0.01).centers))
+register("kmeans_iw_v2", R.inverse_gradient_means())(lambda spark, d: centre_rows(spark, C.InverseWeightedOnlineKMeansV2(5, learning_rate=0.001).fit(whole_vectors(spark, d), seeds(spark, d) + 0.01).centers))
+register("kharmonic", R.harmonic_means())(lambda spark, d: centre_rows(spark, C.KHarmonicMeans(5).fit(whole_vectors(spark, d), seeds(spark, d)).centers))
+_XI_DAY = """SELECT 1 - n * sum(abs(nr - r)) / (2 * sum(l * (n - l))) AS value FROM (
+SELECT r, l, n, lead(r) OVER (ORDER BY a, day) AS nr FROM (SELECT {x} AS a, day, CAST(count(*) OVER (ORDER BY {y} RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS r,
+CAST(count(*) OVER (ORDER BY {y} DESC RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS l, CAST(count(*) OVER () AS DOUBLE) AS n FROM d)) GROUP BY n"""
+_ASSOCIATION = f"""WITH {_TAU}, r AS (SELECT rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS x, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS y FROM d),
+a AS (SELECT 'pearson' AS metric, 'total > n' AS pair, (SELECT corr(total, n) FROM d) AS value UNION ALL SELECT 'spearman', 'total > n', (SELECT corr(x, y) FROM r) UNION ALL SELECT 'kendall', 'total > n', (SELECT tau FROM t)
+UNION ALL SELECT 'xi', 'total > n', ({_XI_DAY.format(x="total", y="n")}) UNION ALL SELECT 'xi', 'n > total', ({_XI_DAY.format(x="n", y="total")}))
+SELECT metric, pair, round(value, 6) AS value FROM a"""
+register("association_summary", _ASSOCIATION)(lambda spark, d: rounded(S.EDACorrelationSummary(daily(spark, d), order="day").table()))
+_AUTO_RANK = " UNION ALL ".join(f"SELECT 'spearman' AS metric, '{c}' AS \"column\", {k} AS lag, round(corr(x, y), 6) AS value FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS y FROM (SELECT {c} AS a, lead({c}, {k}) OVER (ORDER BY day) AS b FROM {_D}) WHERE b IS NOT NULL)" for c in ("total", "n") for k in (1, 2, 3))
+register("autocorrelation_summary", "SELECT 'pearson' AS metric, \"column\", lag, value FROM (" + _auto_sql(("total", "n"), range(1, 4)) + ") UNION ALL " + _AUTO_RANK)(lambda spark, d: rounded(S.EDAAutoCorrelationSummary(daily(spark, d), "day", 3).table()))
+register("as_of_backward", f"SELECT user_id, event_id, round(total, 4) AS total, CAST(matched AS DATE) AS matched_at FROM (SELECT e.user_id, e.event_id, CAST(e.ts AS DATE) AS day FROM events e) e ASOF LEFT JOIN (SELECT day + 2 AS matched, total FROM {_D}) d ON e.day >= d.matched")(
+    lambda spark, d: rounded(B.as_of(table(spark, d, "events").select("user_id", "event_id", F.to_date("ts").alias("day")), daily(spark, d).select(F.date_add("day", 2).alias("at"), "total"), "day", "at", ["total"]).drop("day"), 4)
+)
