@@ -5,23 +5,23 @@ n-gram and so returns all languages that contain it at once. A text's hits are c
 counts are corrected for the share of false positives that the filter's fill implies; the language
 with the most corrected hits wins.
 
-An n-gram belongs to a language if at least `least_share` of its training documents hold it and no
-other language has it `contrast` times as often. The first condition bounds the filter whatever the
-corpus: documents hold a bounded mean number of different n-grams, so at most that number divided by
-least_share n-grams pass.
+An n-gram belongs to a language if at least `least_share` of its training documents hold it. This
+bounds the filter whatever the corpus: documents hold a bounded mean number of different n-grams, so
+at most that number divided by least_share n-grams pass for each language.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm import _text
-from tideline.llm._shared import MIX_1, mix, small_batches
+from tideline.llm._shared import MIX_1, blobs_by_bucket, columns_of_blobs, mix, per_bucket, small_batches
 
 GRAM_BYTES = 4
 PROBES = 4
@@ -108,56 +108,97 @@ def build(names: list[str], pairs_language: np.ndarray, pairs_gram: np.ndarray)
     return Languages(names, planes)
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", least_share: float = 0.002, contrast: float = 2.0) -> Languages:
-    """Counts, over all rows of train, the documents of each language that hold each n-gram; builds the filter.
+GRAM_KEYS = (0, 4, 2, 5)  # hash (not sent), n-gram, language, documents
+HELD = 2_000_000
 
-    Rows with a null text or language teach nothing; no rows give a model without languages.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and offsets of the texts in lower case; a null is an empty text."""
+    return _text.raw(pc.utf8_lower(column))
+
 
-        def fold(lang: str) -> None:
-            keys, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            if lang in counts:
-                k, m = counts[lang]
-                keys, inverse = np.unique(np.concatenate([k, keys]), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([m, n])).astype(np.int64)
-            counts[lang] = keys, n
+def _count(number: dict[str, int], n_buckets: int):
+    """Texts with their languages to blobs of (n-gram, language, documents that hold it) by bucket of the n-gram."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def fold() -> None:
+            nonlocal keys, counts, held, size
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+            held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            gram = keys & np.uint64(0xFFFFFFFF)
+            key = mix(gram + np.uint64(MIX_1))
+            for bucket, blob in blobs_by_bucket([key, gram, keys >> np.uint64(32), counts.astype(np.uint64)], n_buckets, GRAM_KEYS):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            buf, offsets = _text.raw(batch.column("text"))
+            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.uint64)
+            buf, offsets = lowered(batch.column("text"))
             for i, j in _text.cut(offsets):
                 g, first = grams(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                key = np.unique(np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(first)) << np.uint64(32) | g)
-                row = (key >> np.uint64(32)).astype(np.int64)
-                edge = np.searchsorted(row, np.arange(j - i + 1))
-                own = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                for k in range(j - i):
-                    held.setdefault(langs[i + k], []).append(own[edge[k] : edge[k + 1]])
-                for lang in [x for x, parts in held.items() if sum(map(len, parts)) > 2_000_000]:
-                    fold(lang)
-        for lang in list(held):
-            fold(lang)
-        for lang, (keys, n) in counts.items():
-            for k in range(0, len(keys), 100_000):
-                m = len(keys[k : k + 100_000])
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * m, pa.string()), "gram": pa.array(keys[k : k + m]), "n": pa.array(n[k : k + m], pa.int64())})
+                row = np.unique(np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(first)) << np.uint64(32) | g)
+                held.append(lang[i:j][(row >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | row & np.uint64(0xFFFFFFFF))
+                size += len(row)
+                if size > HELD:
+                    fold()
+                    if len(keys) > HELD:
+                        yield from out()
+                        keys, counts = keys[:0], counts[:0]
+        if held:
+            fold()
+        if len(keys):
+            yield from out()
+
+    return go
 
+
+def _choose(docs: np.ndarray, least_share: float):
+    """Of one bucket's sums: (language, n-gram) pairs of which the language's documents hold a share of least_share at least."""
+
+    def go(table: pa.Table) -> pa.Table:
+        _, gram, lang, n = columns_of_blobs(table["blob"].to_pylist(), GRAM_KEYS)
+        key, at = np.unique(lang << np.uint64(32) | gram, return_inverse=True)
+        share = np.bincount(at, n) / docs[(key >> np.uint64(32)).astype(np.int64)]
+        key = key[share >= least_share]
+        return pa.table({"lang": pa.array((key >> np.uint64(32)).astype(np.int64)), "gram": pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64))})
+
+    return go
+
+
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", least_share: float = 0.002) -> Languages:
+    """Counts, over all rows of train, the documents of each language that hold each n-gram; builds the filter.
+
+    Rows with a null text or language teach nothing; no rows give a model without languages.
+    """
     small_batches(train.sparkSession)
-    rows = train.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select(F.lower("text").alias("text"), "lang")
-    total = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_lang = rows.groupBy("lang").agg(F.count("*").alias("docs"))
-    names = sorted(r["lang"] for r in by_lang.select("lang").collect())
-    shares = total.join(F.broadcast(by_lang), "lang").withColumn("share", F.col("n") / F.col("docs"))
-    chosen = shares.where(F.col("share") >= least_share).withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") * contrast > F.col("most"))
-    table = chosen.select("lang", "gram").toArrow()
-    place = {x: i for i, x in enumerate(names)}
-    language = np.array([place[x] for x in table["lang"].to_pylist()], np.int64)
-    return build(names, language, table["gram"].to_numpy().astype(np.uint32))
+    rows = train.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    by_lang = sorted(map(tuple, rows.groupBy("lang").count().collect()))  # a row for each language
+    names = [x for x, _ in by_lang]
+    n_buckets = max(12, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = rows.mapInArrow(_count({x: i for i, x in enumerate(names)}, n_buckets), "bucket long, blob binary")
+    chosen = _choose(np.array([n for _, n in by_lang], float), least_share)
+    table = per_bucket(sent, "bucket", n_buckets, chosen, "lang long, gram long").toArrow()
+    return build(names, table["lang"].to_numpy(), table["gram"].to_numpy().astype(np.uint32))
+
+
+def _predicted(batch: pa.RecordBatch, place: int, model: Languages) -> tuple[pa.Array, np.ndarray]:
+    """lang_pred and score of each row."""
+    text = batch.column(place)
+    buf, offsets = lowered(text)
+    best, share = np.zeros(len(text), np.int64), np.zeros(len(text))
+    if model.names:
+        for i, j in _text.cut(offsets):
+            best[i:j], share[i:j] = model.predict(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    letter = np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False)) & bool(model.names)
+    names = pa.array([*model.names, UNKNOWN], pa.string())
+    return names.take(pa.array(np.where(letter, best, len(model.names)))), np.where(letter, share, 0.0)
 
 
 def predict(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
@@ -170,28 +211,31 @@ def predict(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFr
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    place = [f.name for f in kept].index(text_col)
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        m = sent.value
-        buf, offsets = _text.raw(pa.array(texts, pa.large_string(), from_pandas=True))
-        best, share = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for i, j in _text.cut(offsets):
-            best[i:j], share[i:j] = m.predict(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        return pd.DataFrame({"lang_pred": np.array(m.names, object)[best], "score": share})
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, share = _predicted(batch, place, sent.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lang, pa.array(share)], [f.name for f in schema.fields])
 
-    text = F.col(f"`{text_col}`").cast("string")
-    has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(go, schema)
+
+
+def drop_unidentified(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
+    """docs without the rows that `predict` gives `und`, all columns kept. A model without languages rejects nothing."""
+    spark = docs.sparkSession
     if not model.names:
-        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    found = score(F.lower(F.coalesce(text, F.lit(""))))
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], has_letter.alias("__letter"), found.alias("__found"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.when(F.col("__letter"), F.col("__found.lang_pred")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
-        F.when(F.col("__letter"), F.col("__found.score")).otherwise(F.lit(0.0)).alias("score"),
-    )
+        return docs
+    small_batches(spark)
+    sent, place = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.not_equal(_predicted(batch, place, sent.value)[0], UNKNOWN))
+
+    return docs.mapInArrow(go, docs.schema)
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2):
@@ -202,9 +246,17 @@ def held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2):
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, remainder: int = 2) -> DataFrame:
     """Fits on the documents that are not held out and predicts all; returns doc_id, held_out, lang_pred, score.
 
-    A null id is held out of learning (its remainder is null) and reported as held_out false.
+    A null id is held out of learning (its remainder is null) and reported as held_out false. Repeated
+    rows teach and are predicted each; an empty table gives an empty table; other columns are not read.
     """
-    out = F.coalesce(held_out(id_col, modulus, remainder), F.lit(False))
     model = fit(docs.where(~held_out(id_col, modulus, remainder)), text_col, lang_col)
-    found = predict(docs.select(F.col(f"`{id_col}`").alias("doc_id"), out.alias("held_out"), F.col(f"`{text_col}`").alias("text")), model)
-    return found.drop("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    out = F.coalesce(held_out(id_col, modulus, remainder), F.lit(False))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), out.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, share = _predicted(batch, 2, sent.value)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": lang, "score": pa.array(share)})
+
+    return rows.mapInArrow(go, "doc_id long, held_out boolean, lang_pred string, score double")
