@@ -72,6 +72,31 @@ def test_copies_of_hot_documents_in_another_partition(spark, seed):
     assert got == want and want[0][1] == want[0][0]
 
 
+def longest_by_hand(rows, least, most):
+    """Whether a text has a string of `least` bytes that also starts elsewhere, and of `most`."""
+    texts = {d: (t or "").encode() for d, t in rows}
+    out = {d: 0 for d in texts}
+    for size in (least, most):
+        count = Counter(b[i : i + size] for b in texts.values() for i in range(len(b) - size + 1))
+        for d, b in texts.items():
+            if any(count[b[i : i + size]] > 1 for i in range(len(b) - size + 1)):
+                out[d] = size
+    return out
+
+
+def test_shorter_repeats_are_seen_and_not_removed(spark, corpus):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("ABCDEFGHIJ ") for _ in range(n))
+    middle, short = noise(50), noise(45)
+    rows = [*corpus, (900, noise(70) + middle + noise(90)), (901, noise(10) + middle + noise(30)), (902, short), (903, noise(3) + short), (904, noise(39)), (905, noise(300))]
+    got = {r["doc_id"]: r for r in remove_repeated_bytes(table(spark, rows).repartition(3), window=60, gram=16, least=40).collect()}
+    assert {d: (*tuple(r)[1:4], bytes(r[4])) for d, r in got.items()} == bytes_by_hand(rows, 60)
+    for d, size in longest_by_hand(rows, 40, 60).items():
+        found = got[d]["longest_repeat"]
+        assert found >= size and (size or not found), d
+    assert (got[900]["longest_repeat"], got[901]["longest_repeat"], got[902]["longest_repeat"], got[904]["longest_repeat"]) == (50, 50, 45, 0)
+
+
 def test_pipeline_form_keeps_columns_and_untouched_texts(spark, corpus):
     docs = table(spark, corpus)
     out = cut_repeated_windows(docs, window=50)

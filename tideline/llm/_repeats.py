@@ -1,6 +1,7 @@
 """Runs of `window` units (words or bytes) that occur more than once anywhere in a corpus.
 
-Documents are packed into blocks of about a megabyte, written once. Four passes follow, each over
+Documents are packed into blocks of about half a megabyte, written once (rows of over half a megabyte
+are costly for the JVM). Four passes follow, each over
 blocks or buckets of bounded size:
 
 1. each block hashes its anchors (sparse places that two equal runs always share) with the context
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _text
-from tideline.llm._shared import MIX_1, blobs_by_bucket, columns_of_blobs, expand, mix, squeeze, store
+from tideline.llm._shared import MIX_1, MOST_PARTITIONS, blobs_by_bucket, columns_of_blobs, expand, mix, per_bucket, squeeze, store
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 BUCKET_ROWS = 500_000
 DECIDED, SUFFIXES, RUNS = 1, 2, 4
 _SIGN = np.uint64(1 << 63)
@@ -40,6 +41,7 @@ class Repeats:
 
     hot: different contexts of one anchor in one block beyond which the anchor counts as hot.
     most_contexts: different contexts of one anchor that are compared as suffixes; beyond it single runs are hashed.
+    least: units from which on a shorter repeat is reported too (found at anchors that are not hot); the window if 0.
     """
 
     window: int
@@ -51,6 +53,11 @@ class Repeats:
     contexts: Callable[[Iterator[tuple]], Iterator[tuple]] | None = None
     hot: int = 48
     most_contexts: int = 1024
+    least: int = 0
+
+    @property
+    def shortest(self) -> int:
+        return self.least or self.window
 
 
 class Block:
@@ -70,7 +77,7 @@ class Block:
         else:
             self.values, self.bounds = _text.BYTE_KEYS[self.buf], self.offsets
         self.rolling = _text.Rolling(self.values)
-        long = np.diff(self.bounds) >= spec.window
+        long = np.diff(self.bounds) >= spec.shortest
         self.row_of = np.repeat(np.arange(n), np.diff(self.bounds))
         self.long = long
 
@@ -81,15 +88,17 @@ class Block:
         return key[rows]
 
     def anchors(self) -> None:
-        """Anchors: at, lo..hi (the runs through each begin there), hash, context, and the first of each context."""
+        """Anchors: at, lo..hi (the runs through each begin there; none in a shorter row), hash, context lo..end, and the first of each context."""
         s = self.spec
         self.at = s.select(self)
         row = self.row_of[self.at]
         self.lo = np.maximum(self.at - (s.window - s.gram), self.bounds[row])
-        self.hi = np.minimum(self.at, self.bounds[row + 1] - s.window)
+        self.end = np.minimum(self.at + s.window, self.bounds[row + 1])
+        self.hi = np.maximum(self.end - s.window, self.lo - 1)
+        self.runs_there = self.end - self.lo >= s.window
         self.anchor_row = row
         self.h = self.rolling.of(self.at, self.at + s.gram)
-        self.ctx = mix(self.rolling.of(self.lo, self.hi + s.window) + (self.at - self.lo).astype(np.uint64) * np.uint64(MIX_1))
+        self.ctx = mix(self.rolling.of(self.lo, self.end) + (self.at - self.lo).astype(np.uint64) * np.uint64(MIX_1))
         _, first, self.kind, self.copies = np.unique(self.ctx, return_index=True, return_inverse=True, return_counts=True)
         self.first = first
         _, inverse, count = np.unique(self.h[first], return_inverse=True, return_counts=True)
@@ -97,7 +106,7 @@ class Block:
         self.hot[first[count[inverse] > s.hot]] = True
 
     def decided(self, marks: np.ndarray) -> np.ndarray:
-        """Which anchors' runs are all repeats. marks: anchor * 8 + bits."""
+        """Which anchors' contexts, and so all runs in them, are repeats. marks: anchor * 8 + bits."""
         if self.spec.keep_first:
             out = np.ones(len(self.at), bool)
             out[self.first] = False
@@ -116,6 +125,8 @@ class Block:
         """Single runs to look up: first place of each different one in the block, its two hashes; repeats inside the block."""
         chosen = self.hot.copy()
         chosen[(marks[(marks & RUNS) > 0] >> 3).astype(np.int64)] = True
+        chosen &= self.runs_there
+        decided = decided & self.runs_there
         s, n = self.spec, len(self.values)
         want = spread(self.lo[chosen], self.hi[chosen] + 1, n)
         if s.keep_first:  # an earliest run is never decided; without keep_first a decided run may be another's only partner
@@ -268,53 +279,90 @@ def _match_anchors(spec: Repeats) -> Callable:
 MARKS = "block long, kind int, blob binary"
 
 
-def _marks(table: pa.Table, kind: int) -> np.ndarray:
-    blobs = [b for k, b in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == kind]
+def _of_kind(marks: list[tuple[int, bytes]], kind: int) -> np.ndarray:
+    blobs = [b for k, b in marks if k == kind]
     return np.concatenate([np.frombuffer(expand(b), "<u8") for b in blobs]) if blobs else np.zeros(0, np.uint64)
 
 
-def _open(left: pa.Table, right: pa.Table, spec: Repeats) -> Iterator[tuple[int, Block, np.ndarray, np.ndarray]]:
-    for number, body in zip(left["block"].to_pylist(), left["body"].to_pylist(), strict=True):
-        b = Block(body, spec)
-        b.anchors()
-        marks = _marks(right, 0)
-        yield number, b, marks, b.decided(marks)
+Marks = list[tuple[int, bytes]]
+#: Bytes of text in the blocks of one partition.
+PART_BYTES = 16 << 20
+
+
+def _per_block(stored: DataFrame, size: int, marks: DataFrame, function: Callable[[int, bytes, bytes | None, Marks], Iterator[pa.Table]], schema: str, carried: bool = False) -> DataFrame:
+    """function(number, body, carried, marks) for every block, in one exchange of blocks and marks.
+
+    Partitions hold some dozen blocks, whose bodies (compressed) wait in the worker until all marks are
+    there; beyond MOST_PARTITIONS such partitions, their rows are sorted and blocks handled one by one.
+    """
+    parts = max(12, min(MOST_PARTITIONS, size // PART_BYTES))
+    ordered = size > 2 * parts * PART_BYTES
+    left = stored.select("block", "body", "carried" if carried else F.lit(None).cast("binary").alias("carried"), F.lit(-1).alias("kind"), F.lit(None).cast("binary").alias("blob"))
+    right = marks.select("block", F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("carried"), "kind", "blob")
+    dealt = left.union(right).repartitionById(parts, F.pmod(F.hash("block"), F.lit(parts)))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies: dict[int, tuple] = {}
+        found: dict[int, Marks] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for number in list(bodies):
+                body, more = bodies.pop(number)
+                for table in function(number, body, more, found.pop(number, [])):
+                    yield from table.to_batches()
+
+        for batch in batches:
+            columns = [batch.column(i) for i in range(5)]
+            for number, body, more, kind, blob in zip(columns[0].to_pylist(), columns[1], columns[2], columns[3].to_pylist(), columns[4], strict=True):
+                if ordered and bodies and number not in bodies:
+                    yield from out()
+                if kind < 0:
+                    bodies[number] = body.as_py(), more.as_py()
+                else:
+                    found.setdefault(number, []).append((kind, blob.as_py()))
+        yield from out()
 
+    return (dealt.sortWithinPartitions("block", "kind") if ordered else dealt).mapInArrow(go, schema)
 
-DETAIL = "sort int, bucket long, blob binary"
+
+DETAIL = "bucket long, blob binary"
 
 
 def _detail_rows(spec: Repeats, n_buckets: int) -> Callable:
-    def go(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, bytes]] = []
-        for number, b, marks, decided in _open(left, right, spec):
-            if not len(b.at):
-                continue
-            b.runs(marks, decided)
-            at = np.sort(b.run_first)
-            if len(at):
-                start = b.run_at[at]
-                second = _text.Rolling(b.values, 0xA0761D6478BD642F).of(start, start + spec.window)
-                rows += [(RUNS, k, blob) for k, blob in _flush([(b.run_hash[at], second, b.order(b.row_of[start]), np.full(len(at), number, np.uint64), start.astype(np.uint64))], n_buckets, RUN_KEYS)]
-            chosen = (marks[(marks & SUFFIXES) > 0] >> 3).astype(np.int64)
-            if len(chosen):
-                bucket = (b.h[chosen] >> np.uint64(40)) % np.uint64(n_buckets)
-                order = np.argsort(bucket, kind="stable")
-                for k in np.unique(bucket):
-                    a = chosen[order[np.searchsorted(bucket[order], k) : np.searchsorted(bucket[order], k, "right")]]
-                    lo, hi = b.lo[a], b.hi[a] + spec.window
-                    head = np.stack([b.h[a].astype(np.uint64), lo.astype(np.uint64), b.at[a].astype(np.uint64), hi.astype(np.uint64)])
-                    text = b"".join(b.buf[i:j].tobytes() for i, j in zip(lo, hi, strict=True))
-                    rows.append((SUFFIXES, int(k), squeeze(np.array([number, len(a)], "<u8").tobytes() + head.tobytes() + text, 3)))
-        return pa.table({"sort": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+    """Rows of even bucket numbers are of runs, of odd ones of contexts."""
+
+    def go(number: int, body: bytes, carried: bytes | None, marked: Marks) -> Iterator[pa.Table]:
+        b = Block(body, spec)
+        b.anchors()
+        if not len(b.at):
+            return
+        rows: list[tuple[int, bytes]] = []
+        marks = _of_kind(marked, 0)
+        b.runs(marks, b.decided(marks))
+        at = np.sort(b.run_first)
+        if len(at):
+            start = b.run_at[at]
+            second = _text.Rolling(b.values, 0xA0761D6478BD642F).of(start, start + spec.window)
+            rows += [(2 * k, blob) for k, blob in _flush([(b.run_hash[at], second, b.order(b.row_of[start]), np.full(len(at), number, np.uint64), start.astype(np.uint64))], n_buckets, RUN_KEYS)]
+        chosen = (marks[(marks & SUFFIXES) > 0] >> 3).astype(np.int64)
+        if len(chosen):
+            bucket = (b.h[chosen] >> np.uint64(40)) % np.uint64(n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            for k in np.unique(bucket):
+                a = chosen[order[np.searchsorted(bucket[order], k) : np.searchsorted(bucket[order], k, "right")]]
+                lo, hi = b.lo[a], b.end[a]
+                head = np.stack([b.h[a].astype(np.uint64), lo.astype(np.uint64), b.at[a].astype(np.uint64), hi.astype(np.uint64)])
+                text = b"".join(b.buf[i:j].tobytes() for i, j in zip(lo, hi, strict=True))
+                rows.append((2 * int(k) + 1, squeeze(np.array([number, len(a)], "<u8").tobytes() + head.tobytes() + text, 3)))
+        yield pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return go
 
 
 def _match_detail(spec: Repeats) -> Callable:
     def go(table: pa.Table) -> pa.Table:
-        sort, blobs = table["sort"][0].as_py(), table["blob"].to_pylist()
-        if sort == RUNS:
+        blobs = table["blob"].to_pylist()
+        if table["bucket"][0].as_py() % 2 == 0:
             h, second, doc, block, at = columns_of_blobs(blobs, RUN_KEYS)
             order = np.lexsort((at, block, doc, second, h))
             group = _groups(h[order], second[order])
@@ -337,7 +385,7 @@ def _match_detail(spec: Repeats) -> Callable:
         edge = np.concatenate([[0], np.flatnonzero(np.diff(place[order])) + 1, [len(order)]])
         for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             members = order[i:j].tolist()
-            for m, left, right in spec.contexts([(text[k], int(at[k] - lo[k])) for k in members], spec.window):
+            for m, left, right in spec.contexts([(text[k], int(at[k] - lo[k])) for k in members], spec.shortest):
                 k = members[m]
                 spans_of.append(number[k])
                 spans.append((int(at[k]) - left) << 32 | (int(at[k]) + right))
@@ -348,39 +396,49 @@ def _match_detail(spec: Repeats) -> Callable:
 
 @dataclass
 class Cut:
-    """A block's documents and which of its units repeat."""
+    """A block's documents, which of its units repeat, and each document's longest repeat of at least `shortest` units that was seen (0: none)."""
 
     block: Block
     gone: np.ndarray
+    longest: np.ndarray
 
 
 def _finish(spec: Repeats, result: Callable[[Cut], pa.Table]) -> Callable:
-    def go(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for carried, (_, b, marks, decided) in zip(left["carried"].to_pylist(), _open(left, right, spec), strict=True):
-            n = len(b.values)
-            gone = spread(b.lo[decided], b.hi[decided] + spec.window, n)
-            if len(b.at):
-                b.runs(marks, decided)
-                again = b.run_again.copy()
-                hit = np.searchsorted(b.run_at, _marks(right, RUNS).astype(np.int64))
-                if spec.keep_first:
-                    again[hit] = True
-                else:
-                    by_kind = np.zeros(len(b.run_first), bool)
-                    by_kind[b.run_kind[hit]] = True
-                    again |= by_kind[b.run_kind]
-                start = b.run_at[again]
-                gone |= spread(start, start + spec.window, n)
-            spans = _marks(right, SUFFIXES)
-            gone |= spread((spans >> np.uint64(32)).astype(np.int64), (spans & np.uint64(0xFFFFFFFF)).astype(np.int64), n)
-            made = result(Cut(b, gone))
-            if carried is not None:
-                more = pa.ipc.open_stream(expand(carried)).read_all()
-                for name, column in zip(more.column_names, more.columns, strict=True):
-                    made = made.append_column(name, column)
-            out.append(made)
-        return pa.concat_tables(out) if out else pa.table({})
+    def go(number: int, body: bytes, carried: bytes | None, marked: Marks) -> Iterator[pa.Table]:
+        b = Block(body, spec)
+        b.anchors()
+        marks = _of_kind(marked, 0)
+        decided = b.decided(marks)
+        n = len(b.values)
+        whole = decided & b.runs_there
+        gone = spread(b.lo[whole], b.end[whole], n)
+        longest = np.zeros(len(b.ids), np.int64)
+        np.maximum.at(longest, b.anchor_row[decided], (b.end - b.lo)[decided])
+        if len(b.at):
+            b.runs(marks, decided)
+            again = b.run_again.copy()
+            hit = np.searchsorted(b.run_at, _of_kind(marked, RUNS).astype(np.int64))
+            if spec.keep_first:
+                again[hit] = True
+            else:
+                by_kind = np.zeros(len(b.run_first), bool)
+                by_kind[b.run_kind[hit]] = True
+                again |= by_kind[b.run_kind]
+            start = b.run_at[again]
+            gone |= spread(start, start + spec.window, n)
+            np.maximum.at(longest, b.row_of[start], spec.window)
+        spans = _of_kind(marked, SUFFIXES)
+        begin, stop = (spans >> np.uint64(32)).astype(np.int64), (spans & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        np.maximum.at(longest, b.row_of[begin], stop - begin)
+        full = stop - begin >= spec.window
+        gone |= spread(begin[full], stop[full], n)
+        longest[longest < spec.shortest] = 0
+        made = result(Cut(b, gone, longest))
+        if carried is not None:
+            more = pa.ipc.open_stream(expand(carried)).read_all()
+            for name, column in zip(more.column_names, more.columns, strict=True):
+                made = made.append_column(name, column)
+        yield made
 
     return go
 
@@ -390,10 +448,8 @@ def find(docs: DataFrame, spec: Repeats, name: str, schema: str, result: Callabl
     stored, size = blocks(docs, name)
     n_buckets = max(12, int(size / (6.5 if spec.by_word else 1) * spec.density / BUCKET_ROWS))
     sent = stored.select("block", "body").mapInArrow(_anchor_rows(spec, n_buckets), "bucket long, blob binary")
-    marks = store(sent.groupBy("bucket").applyInArrow(_match_anchors(spec), MARKS), name + "-anchors", "uncompressed")
-    bodies = stored.select("block", "body")
-    detail = bodies.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_detail_rows(spec, n_buckets), DETAIL)
-    more = detail.groupBy("sort", "bucket").applyInArrow(_match_detail(spec), MARKS)
-    marks = marks.unionByName(store(more, name + "-marks", "uncompressed"))
-    full = stored.select("block", "body", "carried")
-    return full.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_finish(spec, result), schema)
+    marks = store(per_bucket(sent, "bucket", n_buckets, _match_anchors(spec), MARKS), name + "-anchors", "uncompressed")
+    detail = _per_block(stored, size, marks, _detail_rows(spec, n_buckets), DETAIL)
+    more = per_bucket(detail, "bucket", 2 * n_buckets, _match_detail(spec), MARKS)
+    marks = marks.union(store(more, name + "-marks", "uncompressed"))
+    return _per_block(stored, size, marks, _finish(spec, result), schema, carried=True)

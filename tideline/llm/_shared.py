@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Settings for rows of whole texts, where the session has Spark's defaults: name, default, value.
+TEXT_SETTINGS = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"),
+    ("spark.sql.parquet.columnarReaderBatchSize", "4096", "32"),
+)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Rows of whole texts go to Python a thousand and 4 MB at a time where the session has Spark's defaults (ten thousand, 64 MB): less memory beside the heap."""
-    for key, default, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4m")):
-        if spark.conf.get(key := f"spark.sql.execution.arrow.{key}") == default:
+    """Rows of whole texts are read 32 at a time and go to Python a thousand and 4 MB at a time: the defaults fit numbers, and make arrays of a hundred MB of texts."""
+    for key, default, small in TEXT_SETTINGS:
+        if spark.conf.get(key) == default:
             spark.conf.set(key, small)
 
 
@@ -39,11 +48,15 @@ def small_batches(spark: SparkSession) -> None:
 _STORED: set[str] = set()
 
 
+#: Bytes of a page of stored tables: a writer holds one for each column.
+PAGE_BYTES = 1 << 17
+
+
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.page.size", PAGE_BYTES).option("parquet.dictionary.page.size", PAGE_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tideline_path = path
     _STORED.add(path)
@@ -67,6 +80,39 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+#: Partitions of one exchange by number; more buckets than that share partitions, and are then sorted.
+MOST_PARTITIONS = 8192
+
+
+def per_bucket(rows: DataFrame, bucket: str, n: int, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """function over all rows of each bucket (numbers 0 .. n - 1), in one exchange.
+
+    A bucket has a partition of its own, so nothing is sorted; beyond MOST_PARTITIONS buckets, those that
+    share a partition are put in order and still handled one by one.
+    """
+    parts = min(n, MOST_PARTITIONS)
+    place = rows.columns.index(bucket)
+    dealt = rows.repartitionById(parts, F.pmod(F.col(bucket), F.lit(parts)).cast("int"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.asarray(batch.column(place))
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if j > i:
+                    if held and keys[i] != key:
+                        yield from function(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    key = keys[i]
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield from function(pa.Table.from_batches(held)).to_batches()
+
+    return (dealt.sortWithinPartitions(bucket) if n > parts else dealt).mapInArrow(go, schema)
+
+
 def stored() -> set[str]:
     """Folders that `store` has written and nobody has deleted."""
     return set(_STORED)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import _text
 from tideline.llm._repeats import _flush, _groups
-from tideline.llm._shared import columns_of_blobs, mix, shared_dir, small_batches, store
+from tideline.llm._shared import columns_of_blobs, drop, mix, per_bucket, shared_dir, small_batches, store
 
 #: Hashes that stand for a text's begin and end.
 BEGIN, END = 0x5851F42D4C957F, 0x14057B7EF767814F >> 8
@@ -56,9 +56,12 @@ class Arrays:
         system.move(part, path)
 
     def get(self, name: str) -> np.ndarray:
+        """The array; an empty one if there is none: buckets without rows write nothing."""
         if name not in self.open:
             system, path = self._at(name)
-            if isinstance(system, fs.LocalFileSystem):
+            if system.get_file_info(path).type == fs.FileType.NotFound:
+                self.open[name] = np.zeros(0, np.uint64)
+            elif isinstance(system, fs.LocalFileSystem):
                 self.open[name] = np.load(path, mmap_mode="r")
             else:  # a store that can't be mapped: a copy that is gone as soon as it is mapped
                 with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(path) as source:
@@ -232,8 +235,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         if held:
             yield from out()
 
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        bucket, arrays = key[0].as_py(), Arrays(uri)
+    def pairs(table: pa.Table) -> pa.Table:
+        bucket, arrays = table["bucket"][0].as_py(), Arrays(uri)
         _, c, w, n = columns_of_blobs(table["blob"].to_pylist(), (0, *BIGRAM_KEYS))
         (c, w), (n,) = _sum([c, w], [n.astype(np.int64)])
         k = pair(c, w)
@@ -249,11 +252,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         )
         sent = list(_flush([(mix(word), word, *(s.astype(np.uint64) for s in sums))], buckets, (0, *WORD_KEYS)))
         of = np.bincount(np.minimum(n, 5), minlength=6)
-        sent.append((-1, np.array([*of[1:5], 0, 0], "<i8").tobytes()))
-        return pa.table({"bucket": pa.array([s[0] for s in sent], pa.int64()), "blob": pa.array([s[1] for s in sent], pa.binary())})
+        once = {f"n{i}": pa.array([int(of[i]), *[0] * (len(sent) - 1)], pa.int64()) for i in range(1, 5)}  # with the first of the bucket's rows
+        return pa.table({"bucket": pa.array([s[0] for s in sent], pa.int64()), "blob": pa.array([s[1] for s in sent], pa.binary())} | once)
 
-    def singles(key: tuple, table: pa.Table) -> pa.Table:
-        bucket, arrays = key[0].as_py(), Arrays(uri)
+    def singles(table: pa.Table) -> pa.Table:
+        bucket, arrays = table["bucket"][0].as_py(), Arrays(uri)
         _, word, *sums = columns_of_blobs(table["blob"].to_pylist(), (0, *WORD_KEYS))
         (word,), sums = _sum([word], [s.astype(np.int64) for s in sums])
         counts = np.stack(sums)
@@ -264,29 +267,17 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         stats = [*of[1:5].tolist(), int(of[5:].sum()), int(counts[0].sum()), int(seen.sum()), int(counts[1].sum())]
         return pa.table({f"s{i}": pa.array([x], pa.int64()) for i, x in enumerate(stats)})
 
-    sent = rows.mapInArrow(count, "bucket long, blob binary").groupBy("bucket").applyInArrow(pairs, "bucket long, blob binary")
+    counted = ", ".join(f"n{i} long" for i in range(1, 5))
+    sent = per_bucket(rows.mapInArrow(count, "bucket long, blob binary"), "bucket", buckets, pairs, "bucket long, blob binary, " + counted)
     sent = store(sent, "model-words", "uncompressed")
-    of_pairs = [np.frombuffer(r["blob"], "<i8") for r in sent.where("bucket = -1").collect()]
-    of_pairs = np.sum(of_pairs, axis=0)[:4].tolist() if of_pairs else [0] * 4
+    of_pairs = [x or 0 for x in sent.agg(*[F.sum(f"n{i}") for i in range(1, 5)]).first()]
     schema = ", ".join(f"s{i} long" for i in range(8))
-    done = store(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(singles, schema), "model-totals")
+    done = store(per_bucket(sent.select("bucket", "blob"), "bucket", buckets, singles, schema), "model-totals")
     s = [x or 0 for x in done.agg(*[F.sum(f"s{i}") for i in range(8)]).first()]
-    empty = Arrays(uri)
-    made = {r["bucket"] for r in sent.select("bucket").distinct().collect()}
-    if len(made - {-1}) < buckets or not of_pairs[0]:
-        _fill(empty, buckets)
+    drop(sent, done)
     return Model(uri, int(buckets), hot, s[5], s[6], s[7], discounts(of_pairs), discounts(s[:4]), np.array([s[0], s[1], s[2] + s[3] + s[4]]))
 
 
-def _fill(arrays: Arrays, buckets: int) -> None:
-    """Empty arrays for buckets that got no rows (small inputs)."""
-    for b in range(buckets):
-        for name, shape in (("pair", np.zeros(0, np.uint64)), ("word", np.zeros(0, np.uint64))):
-            system, path = arrays._at(f"{name}-{b}")
-            if system.get_file_info(path).type == fs.FileType.NotFound:
-                arrays.write(f"{name}-{b}", shape)
-
-
 _OPEN: dict[str, Arrays] = {}
 
 

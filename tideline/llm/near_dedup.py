@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _graph, _text
-from tideline.llm._shared import blobs_by_bucket, columns_of_blobs, distinct_columns, hold, mix, store
+from tideline.llm._shared import blobs_by_bucket, columns_of_blobs, distinct_columns, hold, mix, per_bucket, store
 
 SKETCH_BITS = 1024
 #: Candidates whose estimated similarity is this far below the threshold are not confirmed: over 4 standard errors.
@@ -138,7 +138,7 @@ def _stars(key: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order[new], a[other], b[other]
 
 
-FIRST_KEYS, PAIR_KEYS = (8, -8), (8, 8)
+FIRST_KEYS, PAIR_KEYS = (-8, 8), (8, 8)  # first ones come sorted by key
 
 
 def _deal_bands(bands: int, n_buckets: int):
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = classes.select("rep", "sketch")
     n_buckets = max(12, classes.count() * bands // BUCKET_KEYS)
     dealt = classes.select("rep", "bands").mapInArrow(_deal_bands(bands, n_buckets), "bucket long, kind int, blob binary")
-    near = hold(dealt.groupBy("bucket").applyInArrow(_pairs_of_bucket, "a long, b long").distinct())
+    near = hold(per_bucket(dealt, "bucket", n_buckets, _pairs_of_bucket, "a long, b long").distinct())
     scored = near.join(sketches.withColumnsRenamed({"rep": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"rep": "b", "sketch": "sb"}), "b")
     likely = hold(scored.select("a", "b", "sa", "sb").mapInArrow(_likely(samples, least), "a long, b long"))
     sets = _sets_of(source, likely.selectExpr("explode(array(a, b)) AS doc_id"), 2 * likely.count(), shingle)

@@ -41,3 +41,21 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.m AS component_id, d.doc_id = m.m AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON m.a = d.doc_id
 """
+
+ORACLES["op10_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+small AS (SELECT doc_id, md5(substr(h, 2 * i + 1, 512)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 255, 0))) AS i FROM d)),
+shared AS (SELECT DISTINCT doc_id FROM small SEMI JOIN (SELECT g FROM small GROUP BY g HAVING count(*) > 1) USING (g)),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 399, 0))) AS i FROM d)),
+again AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+dup AS (SELECT doc_id, i FROM w SEMI JOIN again USING (g)),
+cut AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS fresh FROM dup),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM cut),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM runs GROUP BY doc_id, k),
+lost AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+parts AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS a, s AS b FROM spans UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT p.doc_id, string_agg(CASE WHEN b IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS h FROM parts p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256,
+       CAST(CASE WHEN shared.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS repeats_256
+FROM d LEFT JOIN lost ON lost.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN shared ON shared.doc_id = d.doc_id
+"""

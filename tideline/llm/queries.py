@@ -68,8 +68,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeated_bytes(_documents(spark, sf_dir), window=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeated_bytes(_documents(spark, sf_dir), window=400, least=256)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("longest_repeat") > 0).cast("long").alias("repeats_256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

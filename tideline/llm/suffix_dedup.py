@@ -110,22 +110,27 @@ def kept_bytes(cut: _repeats.Cut) -> pa.Table:
             "n_removed": pa.array((lost[b.offsets[1:]] - lost[b.offsets[:-1]]).astype(np.int64)),
             "n_spans": pa.array((spans[b.offsets[1:]] - spans[b.offsets[:-1]]).astype(np.int64)),
             "kept": text,
+            "longest_repeat": pa.array(cut.longest),
         }
     )
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM, hot: int = 48, most_contexts: int = 1024) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM, hot: int = 48, most_contexts: int = 1024, least: int = 0) -> DataFrame:
     """Removes each byte covered by a string of `window` bytes that also starts anywhere else.
 
     Texts are UTF-8; strings never cross documents; overlaps count; all copies go, also the first.
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: a cut may fall
-    inside a character).
+    inside a character), longest_repeat (bytes of the longest string that was seen to occur elsewhere
+    too, at least: strings are followed up to `window` bytes to either side of an anchor). least: also
+    look for shorter strings of at least so many bytes; they count for longest_repeat only, nothing of
+    them is removed, and those all of whose anchors are hot are not seen.
 
     A null text is an empty one; texts shorter than the window are kept; a null id stays null; rows
     with equal ids stay separate rows and count as different documents; an empty table gives an empty
     table; other columns are not read.
     """
-    if not 1 <= gram <= window:
-        raise ValueError("gram must be between 1 and window")
-    spec = _repeats.Repeats(window, gram, False, False, select_least(window, gram), 2 / (window - gram + 2), repeats_of, hot, most_contexts)
-    return _repeats.find(distinct_columns(docs, id_col, text_col), spec, "suffixes", "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", kept_bytes)
+    shortest = least or window
+    if not 1 <= gram <= shortest <= window:
+        raise ValueError("gram must be between 1 and least, and least at most window")
+    spec = _repeats.Repeats(window, gram, False, False, select_least(shortest, gram), 2 / (shortest - gram + 2), repeats_of, hot, most_contexts, least)
+    return _repeats.find(distinct_columns(docs, id_col, text_col), spec, "suffixes", "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, longest_repeat long", kept_bytes)
