@@ -9,7 +9,7 @@ from tests.llm.conftest import table
 from tideline.llm import licenses
 from tideline.llm.decontaminate import contained, drop_contaminated
 from tideline.llm.near_dedup import near_duplicates
-from tideline.llm.spot_signatures import fingerprint_report, similar_fingerprints
+from tideline.llm.spot_signatures import COMMON_WORDS, fingerprint_report, similar_fingerprints
 
 
 def words(t):
@@ -67,13 +67,52 @@ def test_fingerprints(spark, corpus):
         edited = t[: len(t) - q] + after[1][:q]
         r = got[d]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        own, other, near = (set(re.findall("........", x)) for x in (r["fingerprint"], got[after[0]]["fingerprint"], r["edited_fingerprint"]))
+        own, other, near = (set(re.findall("." * 16, x)) for x in (r["fingerprint"], got[after[0]]["fingerprint"], r["edited_fingerprint"]))
         likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
         assert r["near_next"] == pytest.approx(likeness(own, other)) and r["near_edited"] == pytest.approx(likeness(own, near))
     same = [r["fingerprint"] for d, r in got.items() if dict(rows)[d] == dict(rows)[min(d for d, t in rows if t.startswith("One"))]]
     assert len(set(same)) == 1
 
 
+def spots_by_hand(text):
+    """Spot signatures: the next two content words after each common word, with the common words between them."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    common, found = set(COMMON_WORDS), set()
+    spots = 0
+    for i, w in enumerate(words):
+        content = [k for k in range(i + 1, len(words)) if words[k] not in common][:2] if w in common else []
+        if len(content) == 2:
+            spots += 1
+            found.add(" ".join(words[i + 1 : content[1] + 1]) + " ")
+    return found | set(words) if 8 * spots < len(words) or len(words) < 3 else found
+
+
+def test_fingerprints_are_the_spot_signatures(spark):
+    texts = ["The cat sat on the warm mat and the dog slept in a big red box by the door of the house", "x y", "", None, "12 34 the 56", "el niño y la niña van al parque con su perro", "rows of a table 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", "the the the end of it all comes in the end to a stop"]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint_report(table(spark, list(enumerate(texts)))).collect()}
+    for d, t in enumerate(texts):
+        spots = spark.createDataFrame([(x,) for x in spots_by_hand(t)] or [("",)], "s string").selectExpr("xxhash64(s) AS h")
+        want = sorted(r["h"] for r in spots.collect()) if spots_by_hand(t) else []
+        assert got[d] == "".join(f"{h % (1 << 64):016x}" for h in want), t
+    assert len(got[0]) > 16 * 5
+
+
+def test_neighbours_by_id_where_a_few_ids_lie_far_off(spark, monkeypatch):
+    from tideline.llm import spot_signatures
+
+    monkeypatch.setattr(spot_signatures, "BIN_ROWS", 4)
+    ids = [*range(300), 2**62, -(2**62), 2**62 + 5, *range(10**6, 10**6 + 80)]
+    rows = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    most = spot_signatures.binned(rows).groupBy("bin").count().agg({"count": "max"}).first()[0]
+    assert most <= 64
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint_report(rows).collect()}
+    order = sorted(ids)
+    for i, d in enumerate(order):
+        t, after = f"text {d}", f"text {order[(i + 1) % len(order)]}"
+        q = len(t) // 4
+        assert got[d] == hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()
+
+
 def test_fingerprints_of_few_rows(spark):
     (r,) = fingerprint_report(table(spark, [(1, "The cat sat on the warm mat")])).collect()
     assert r["near_next"] == 1
@@ -84,7 +123,7 @@ def test_fingerprints_of_few_rows(spark):
 
 def test_similar_fingerprints(spark, corpus):
     pairs, members = similar_fingerprints(table(spark, corpus), threshold=0.6)
-    prints = {r["doc_id"]: frozenset(re.findall("........", r["fingerprint"])) for r in fingerprint_report(table(spark, corpus)).collect()}
+    prints = {r["doc_id"]: frozenset(re.findall("." * 16, r["fingerprint"])) for r in fingerprint_report(table(spark, corpus)).collect()}
     reps = {r["doc_id"]: r["rep"] for r in members.collect()}
     assert set(reps) == {d for d, p in prints.items() if p} and all(prints[d] == prints[m] for d, m in reps.items())
     kinds = sorted(set(reps.values()))

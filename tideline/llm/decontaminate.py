@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _text
-from tideline.llm._shared import mix, small_batches
+from tideline.llm._shared import mix, small_batches, store
 
 #: Bytes of item texts in one block.
 ITEM_BYTES = 8 << 20
+#: Blocks that one pass over the documents looks up; what it leaves is written before the next pass.
+PASS_BLOCKS = 4
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +155,15 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """docs without the rows that contain an item, all columns kept; cases as in `contained`."""
     small_batches(docs.sparkSession)
     spark, schema, place = docs.sparkSession, docs.schema, docs.columns.index(text_col)
+    in_pass = []
     for block in item_blocks(items, item_id_col, item_text_col, size, samples):
+        if len(in_pass) == PASS_BLOCKS:
+            docs = store(docs, "clean")
+            for old in in_pass:
+                old.unpersist()
+            in_pass = []
         sent = spark.sparkContext.broadcast(block)
+        in_pass.append(sent)
 
         def go(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

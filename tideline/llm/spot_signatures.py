@@ -31,7 +31,7 @@ BIN_ROWS, MOST_BINS, BUCKET_ROWS = 256, 1 << 20, 512
 
 
 def signatures(text: Column) -> Column:
-    """The distinct spot signatures of a text as sorted 32-bit numbers; null counts as empty, a text without words has none."""
+    """The distinct spot signatures of a text as sorted 64-bit numbers; null counts as empty, a text without words has none."""
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     return F.transform(F.array(plain), _of_plain)[0]
 
@@ -46,12 +46,12 @@ def _of_parts(parts: Column) -> Column:
     rare = F.size(parts["spots"]) * RARE < F.size(parts["words"])
     short = F.size(parts["words"]) < 3
     chosen = F.when(rare | short, F.concat(parts["spots"], words)).otherwise(parts["spots"])
-    return F.array_sort(F.array_distinct(F.transform(chosen, lambda s: F.pmod(F.xxhash64(s), F.lit(1 << 32)))))
+    return F.array_sort(F.array_distinct(F.transform(chosen, lambda s: F.xxhash64(s))))
 
 
 def as_text(signature: Column) -> Column:
-    """A set of signatures as text: 8 hex digits each."""
-    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """A set of signatures as text: 16 hex digits each."""
+    return F.lower(F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -61,26 +61,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (total - both))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and next_text: the text of the next row by ascending id (ties: by text; null ids last; after the last row the first).
+def binned(rows: DataFrame) -> DataFrame:
+    """Adds bin: the smallest id that belongs to the row's bin of neighbouring ids, some BIN_ROWS rows (more in tables beyond MOST_BINS bins).
 
-    Ids are cut into bins of one width, bins are put together to buckets of some hundred rows, and the
-    first row of each bucket is also sent to the bucket before: one shuffle, no global sort.
+    Bins have one width at first; those that hold far more rows than others, as where a few ids lie far
+    from the rest, are cut again between their own first and last id. A null id is in the last bin.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     lo, hi = lo or 0, hi or 0
     bins = max(1, min(MOST_BINS, n // BIN_ROWS))
-    own_bin = F.floor((F.coalesce("doc_id", F.lit(hi)).cast("double") - float(lo)) / float(hi - lo + 1) * bins).cast("long")
-    own_bin = F.least(own_bin, F.lit(bins - 1))
-    rows = rows.withColumn("bin", own_bin)
+    held = max(BIN_ROWS, n // bins)
+    width = -(-(hi - lo + 1) // bins)
+    own = F.coalesce("doc_id", F.lit(hi))
+    if bins == 1:
+        return rows.withColumn("bin", F.lit(lo).cast("long"))
+    rows = rows.withColumn("bin", own - F.pmod(F.pmod(own, F.lit(width)) - lo % width, F.lit(width)))
+    for _ in range(4):
+        filled = rows.groupBy("bin").agg(F.count("*").alias("n"), F.min(own).alias("a"), F.max(own).alias("b")).where(f"n > {16 * held} AND b > a")
+        step = F.ceil((F.col("b").cast("double") - F.col("a").cast("double") + 1) / (F.col("n") / held)).cast("long")
+        heavy = filled.select("bin", "a", F.greatest(step, F.lit(1)).alias("step"))
+        if not heavy.limit(1).count():
+            break
+        # at most MOST_BINS / 16 bins hold 16 times the mean
+        cut = F.when(F.col("a").isNotNull(), own - F.pmod(own - F.col("a"), F.col("step"))).otherwise(F.col("bin"))
+        rows = rows.join(F.broadcast(heavy), "bin", "left").withColumn("bin", cut).drop("a", "step")
+    return rows
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and next_text: the text of the next row by ascending id (ties: by text; null ids last; after the last row the first).
+
+    Bins of neighbouring ids are put together to buckets of some hundred rows, and the first row of
+    each bucket is also sent to the bucket before: one shuffle, no global sort.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = binned(rows)
+    hi = rows.agg(F.max("doc_id")).first()[0] or 0
     filled = rows.groupBy("bin").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(hi))).alias("head"))
     before = F.sum("n").over(Window.orderBy("bin")) - F.col("n")
     to_bucket = filled.select("bin", "head", F.floor(before / BUCKET_ROWS).alias("bucket"))
     heads = to_bucket.groupBy("bucket").agg(F.min("head").alias("head"))
     order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(F.col("head").alias("head_id"), F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(order)).alias("also"))
-    # bins are at most MOST_BINS rows, whatever the table's size
+    # bins are at most some MOST_BINS rows, whatever the table's size
     dealt = rows.join(F.broadcast(to_bucket.select("bin", "bucket")), "bin").join(F.broadcast(heads), F.col("doc_id") == F.col("head_id"), "left")
     places = F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct(F.col("also").alias("bucket"), F.lit(1).alias("guest")))
     dealt = dealt.select("doc_id", "text", F.explode(F.filter(places, lambda p: p["bucket"].isNotNull())).alias("p"))
