@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import store
+from tideline.llm._shared import release, store, stored
 from tideline.llm.decontaminate import drop_contaminated
-from tideline.llm.language_id import UNKNOWN, fit, held_out, predict
+from tideline.llm.language_id import drop_unidentified, fit, held_out
 from tideline.llm.near_dedup import SENT_IDS, near_duplicates
 from tideline.llm.packing import pack_documents
 from tideline.llm.substring_dedup import cut_repeated_windows
@@ -25,13 +25,22 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns the languages from the documents' labels (three folds of four); drops documents of no language (no letters)."""
+    """Learns the languages from the documents' labels (three folds of four); drops documents of no language (no letters).
+
+    Null and empty texts have no letters and go; null labels teach nothing, and without any labelled
+    row nothing is rejected. Repeated rows are judged alike, ties go to the first language by name;
+    other columns are kept as they are, an empty table stays one.
+    """
     model = fit(docs.where(~held_out("doc_id")), "text", "lang")
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return drop_unidentified(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays.
+
+    Null, empty and white texts are alike nothing and stay, rows with a null id too; of repeated rows
+    (one id, one text) all stay or all go; other columns are kept as they are, an empty table stays one.
+    """
     gone = store(near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     if gone.count() <= SENT_IDS:  # 8 bytes each; more are joined by a shuffle
         gone = F.broadcast(gone)
@@ -39,18 +48,33 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that also start earlier; n_chars of the texts that change is counted again."""
+    """Removes passages that also start earlier; n_chars, where there is such a column, is counted again.
+
+    Null texts stay null (their n_chars too), empty ones empty; a null id counts as the largest, rows
+    with one id are taken in the order in which they are met, so that of repeated rows the first keeps its
+    passages; no row is dropped, other columns are kept as they are, an empty table stays one.
+    """
     out = cut_repeated_windows(docs, window=PASSAGE_WORDS)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain an item of the benchmark (0.8 of its five-word shingles)."""
+    """Drops documents that contain an item of the benchmark (0.8 of its five-word shingles).
+
+    Null and empty texts contain nothing and stay, null and empty items are contained nowhere; each
+    repeated row is judged alike; columns are kept as they are, empty tables give what was there.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenizes and packs what is left into sequences."""
+    """Tokenizes and packs what is left into sequences.
+
+    A null or empty text is a piece of one id (the 0 at its end); null ids stay null, repeated rows are
+    packed each; the result has the columns of the packing only, an empty table gives none.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path(TOKENIZER), size=SEQUENCE_TOKENS)
@@ -69,8 +93,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage is written and read again."""
+    """Applies STAGES to documents; each stage is written and read again, and what it had stored on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = stored()
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, before | {docs._tideline_path})
     return docs
