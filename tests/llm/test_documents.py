@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -201,3 +202,115 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     out = C.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} <= set(texts) and out.count() > 20
     assert [name for name, _ in C.STAGES] == ["language_id", "near_dedup", "substring_dedup", "decontamination", "packing"]
+
+
+def test_contained_of_repeated_rows_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    item = " ".join(f"w{i}" for i in range(5, 25))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, "x y z")], "item_id long, text string")
+    docs = table(spark, [(5, text), (5, text), (None, text), (6, "w1"), (6, None)])
+    got = Counter((r["doc_id"], r["item_id"]) for r in contained(docs, bench).collect())
+    assert got == {(5, 1): 4, (5, None): 2, (None, 1): 2, (None, None): 1}
+    assert sorted((r["doc_id"], r["text"]) for r in drop_contaminated(docs, bench).collect() if r["text"]) == [(6, "w1")]
+
+
+def test_many_blocks_of_items_are_looked_up_in_several_passes(spark, monkeypatch):
+    from tideline.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    words = [f"w{i}" for i in range(400)]
+    bench = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 10])) for i in range(20)], "item_id long, text string")
+    docs = table(spark, [(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(20)])
+    assert sorted(r["doc_id"] for r in drop_contaminated(docs, bench).collect()) == list(range(10, 20))
+    assert contained(docs, bench).count() == 20
+
+
+def test_licenses_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "Released under the MIT License."), (None, None)]
+    got = [(r["doc_id"], r["license"]) for r in licenses.scan(table(spark, rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "MIT"), (1, "MIT"), (None, "MIT")]))
+
+
+def test_near_duplicates_under_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, text), (3, other), (8, text + " x"), (9, other + " x"), (4, None), (4, None)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(table(spark, rows), shingle=2).collect())
+    assert got == [(3, 3, True), (3, 3, True), (4, 4, True), (4, 4, True), (8, 3, False), (9, 3, False)]
+
+
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch):
+    import random
+
+    from tideline.llm import _graph
+
+    rng = random.Random(5)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)] + [(i, i + 1) for i in range(300, 420)] + [(500, i) for i in range(501, 560)]
+    df = spark.createDataFrame(links, "a long, b long").where("a <> b").repartition(3)
+    one = sorted(map(tuple, _graph.components(df).collect()))
+    monkeypatch.setattr(_graph, "ONE_TASK", 3)
+    assert sorted(map(tuple, _graph.components(df).collect())) == one
+    monkeypatch.setattr(_graph, "HELD", 10)
+    forest = df.mapInArrow(_graph.forest, "a long, b long")
+    assert sorted(map(tuple, _graph.components(forest).collect())) == one and forest.count() <= df.count()
+
+
+def test_large_groups_of_near_copies_are_compared_in_blocks(spark, monkeypatch):
+    import random
+
+    from tideline.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for _ in range(rng.randint(0, 16)):
+            w[rng.randrange(80)] = f"e{d}_{rng.randrange(99)}"
+        rows.append((d, " ".join(w)))
+    rng.shuffle(rows)
+    got = {r[0]: tuple(r)[1:] for r in near_duplicates(table(spark, rows).repartition(4), shingle=2).collect()}
+    want = components_by_hand(rows, 2)
+    assert got == want and 1 < len({v[1] for v in want.values()}) < 100
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_without_rows_labels_or_lengths(spark, tmp_path):
+    import corpus_pipeline as C
+
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    empty = spark.createDataFrame([], COLUMNS)
+    for name, stage in C.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    rows = [(1, "some text here", None, "a", 14), (2, "12 34", None, None, 5), (None, "another text there", None, "b", 18), (None, None, None, None, None), (3, "", None, None, 0), (1, "some text here", None, "a", 14)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    assert C.identify_language(spark, docs, str(tmp_path)).count() == len(rows)  # no labels: nothing is rejected
+    for name, stage in C.STAGES[1:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect())) and out.columns == docs.columns, name
+    bare = docs.drop("n_chars")
+    assert C.cut_passages(spark, bare, str(tmp_path)).columns == bare.columns
+    labelled = spark.createDataFrame([(d, t, "en" if t and d else None, s, n) for d, t, _, s, n in rows], COLUMNS)
+    assert sorted(str(r["doc_id"]) for r in C.identify_language(spark, labelled, str(tmp_path)).collect()) == ["1", "1", "None"]
+
+
+def test_pipeline_with_clashing_columns_and_repeated_rows(spark, corpus, tmp_path):
+    import corpus_pipeline as C
+    from tideline.llm._shared import stored
+
+    rows = [(d, t, "en", "s", len(t) if t is not None else None, 1, "k", 2) for d, t in corpus] + [(9000, "a row that is there two times " * 3, "en", "s", 90, 1, "k", 2)] * 2
+    docs = spark.createDataFrame(rows, COLUMNS + ", n_removed int, kept_text string, component_id long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in C.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.where("n_removed <> 1 OR kept_text <> 'k' OR component_id <> 2").count() == 0, name
+    before = stored()
+    out = C.run(spark, str(tmp_path))
+    assert out.where("doc_id = 9000").count() == 2
+    assert stored() - before == {out._tideline_path}

@@ -81,6 +81,65 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_languages_as_with_plain_sets_of_ngrams(spark):
+    """The filter decides as the languages' sets themselves do, apart from near ties."""
+    import numpy as np
+
+    rows = languages(400)
+    docs = spark.createDataFrame([(d, t, lang) for d, t, lang, _ in rows], "doc_id long, text string, lang string")
+
+    def grams_of(text):
+        b = " " + " ".join(re.findall(r"[a-z\x80-\xff]+", text.lower().encode().decode("latin-1").translate({i: i + 32 for i in range(65, 91)}))) + " "
+        return [b[i : i + 4] for i in range(len(b) - 3)]
+
+    train = [(t, lang) for d, t, lang, _ in rows if lang and zlib.crc32(str(d).encode()) % 4 != 2]
+    docs_of, held = Counter(lang for _, lang in train), defaultdict(Counter)
+    for t, lang in train:
+        held[lang].update(set(grams_of(t)))
+    sets = {lang: {g for g, n in c.items() if n >= 0.002 * docs_of[lang]} for lang, c in held.items()}
+    model = language_id.fit(docs.where(~language_id.held_out("doc_id")))
+    assert model.names == sorted(sets)
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    close = 0
+    for d, t, _, _ in rows:
+        hits = {lang: sum(g in s for g in grams_of(t)) for lang, s in sets.items()}
+        best, second = sorted(hits.values())[-1:-3:-1]
+        if best - second <= 0.03 * len(grams_of(t)):
+            close += 1
+            continue
+        assert hits[got[d]["lang_pred"]] == best
+        assert got[d]["score"] == pytest.approx(best / sum(hits.values()), abs=0.03)
+    assert close < 20
+    # every language that holds an n-gram has its bit
+    shared = sorted(set.intersection(*sets.values()))
+    for g in shared[:50]:
+        number = np.frombuffer(g.encode("latin-1"), "<u4")
+        mask = ~np.uint8(0)
+        for at in language_id.slots_of(number, len(model.table[0])):
+            mask &= model.table[0][at][0]
+        assert mask & 7 == 7
+
+
+def test_languages_of_repeated_rows_and_very_long_texts(spark):
+    rows = languages()
+    long = " ".join(t for _, t, _, true in rows if true == "bb") * 60
+    assert len(long) > 500_000
+    more = [(2000, long, None), (2001, "", None), (2001, "", None), (2002, rows[0][1], None), (2002, rows[0][1], None)]
+    docs = spark.createDataFrame([(d, t, lang) for d, t, lang, _ in rows] + more, "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(docs).where("doc_id >= 2000").collect()]
+    assert len(got) == 5 and {x[1] for x in got if x[0] == 2000} == {"bb"} and {x[1:] for x in got if x[0] == 2001} == {("und", 0.0)}
+    assert {x[1] for x in got if x[0] == 2002} == {rows[0][3]} and len({x for x in got if x[0] == 2002}) == 1
+
+
+def test_scores_of_repeated_rows(spark, corpus):
+    rows = [*corpus[:30], (7000, "a b a"), (7000, "a b a"), (None, "a b"), (None, "a b")]
+    want = model_by_hand(rows)
+    got = [tuple(r) for r in LM.held_out_scores(table(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    for r in got:
+        assert r[2:5] == want[r[0]][:3] and r[5:] == pytest.approx(want[r[0]][3:])
+
+
 def test_languages_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language_id.identify(docs).first()["lang_pred"] == "und"

@@ -78,3 +78,16 @@ def test_packing_nothing_and_repeated_rows(spark):
     rows = pack(pieces, 10).collect()
     assert len(rows) == 3 and len({r["sequence_id"] for r in rows}) == 2
     assert pack(pieces.limit(0), 10).count() == 0
+
+
+def test_counts_of_repeated_rows_and_null_ids(spark):
+    encode = encoder("byte_bpe_50k.json")
+    rows = [(1, "some words"), (1, "some words"), (None, "more of them"), (None, None), (2, "")]
+    got = sorted((str(r[0]), r[1], r[2]) for r in count_tokens(table(spark, rows), P.path("byte_bpe_50k.json")).collect())
+    assert got == sorted((str(d), len((t or "").encode()), len(encode(t))) for d, t in rows)
+
+
+def test_pieces_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "one two"), (1, "one two"), (None, "three"), (None, None)]
+    got = pack_documents(table(spark, rows), P.path("word_bpe_49k.json"), size=8).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None", "None"] and sorted(r["length"] for r in got) == [1, 2, 3, 3]
