@@ -29,7 +29,7 @@ def test_whole_license_files_in_usual_layouts(spark):
     bullets = [[f"{m} {c}" for m, c in zip(marks, CONDITIONS, strict=True)] for marks in (("1.", "2.", "3."), "***")]
     files = [("BSD-2-Clause", t) for b in bullets for t in layouts([copyright, REDISTRIBUTION, *b[:2], DISCLAIMER])]
     files += [("BSD-3-Clause", t) for b in bullets for t in layouts([copyright, REDISTRIBUTION, *b, DISCLAIMER])]
-    for name in ("MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"):
+    for name in ("MIT", "ISC", "Apache-2.0", "Artistic-1.0", "BSL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "Unlicense", "Zlib"):
         whole = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
         files += [(name, t) for t in layouts([copyright, *(p for p in whole.split("\n\n") if p.strip())])]
     got = licenses.scan(table(spark, list(enumerate(t for _, t in files)))).collect()
@@ -45,3 +45,10 @@ def test_license_paragraphs_inside_other_text(spark):
     middle = "\n\n".join([prose, textwrap.fill(" ".join([REDISTRIBUTION, *CONDITIONS]), 76), textwrap.fill(DISCLAIMER, 76), prose])
     got = {(r["level"], r["license"]) for r in licenses.scan(table(spark, [(1, middle)])).collect()}
     assert got == {("paragraph", "BSD-3-Clause"), ("paragraph", "BSD-2-Clause")}
+
+
+def test_affero_and_lesser_notices_have_their_own_names(spark):
+    names = ("AGPL-3.0", "GPL-3.0", "LGPL-2.1", "EPL-2.0")
+    notices = [textwrap.fill(min((t for n, t in licenses.TEMPLATES if n == name and len(t) > 120), key=len), 70) for name in names]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(table(spark, list(enumerate(notices)))).where("level = 'paragraph'").collect()}
+    assert got == dict(enumerate(names))

@@ -14,6 +14,13 @@ from tideline.llm._shared import distinct_columns
 
 #: Licence identifiers and notices of public licences.
 _NOTICES: tuple[tuple[str, str], ...] = (
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Affero General Public License for more details.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -31,6 +38,13 @@ _NOTICES: tuple[tuple[str, str], ...] = (
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution.",
     ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+        "this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the "
+        "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -38,6 +52,11 @@ _NOTICES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/",
+    ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
@@ -52,6 +71,13 @@ _NOTICES: tuple[tuple[str, str], ...] = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies.",
     ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Lesser General Public License for more details.",
+    ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     (
@@ -67,6 +93,11 @@ _NOTICES: tuple[tuple[str, str], ...] = (
         "You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software.",
+    ),
 )
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -94,6 +125,22 @@ _ISC_DISCLAIMER = (
 )
 
 
+_BSL = (
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the "
+    "Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a "
+    "source language processor.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, "
+    "TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+_ZLIB = (
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+    "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This "
+    "notice may not be removed or altered from any source distribution.",
+)
+
+
 def _notice(name: str) -> str:
     """The longest notice of a licence."""
     return max((t for n, t in _NOTICES if n == name), key=len)
@@ -104,8 +151,10 @@ _TEXTS: tuple[tuple[str, str], ...] = (
     *(("BSD-2-Clause", t) for t in (*_BSD, _BSD_DISCLAIMER, " ".join((*_BSD, _BSD_DISCLAIMER)))),
     *(("BSD-3-Clause", t) for t in (_BSD_THIRD, " ".join((*_BSD, _BSD_THIRD)), " ".join((*_BSD, _BSD_THIRD, _BSD_DISCLAIMER)))),
     *(("MIT", t) for t in (_MIT_DISCLAIMER, f"{_notice('MIT')} {_MIT_DISCLAIMER}")),
+    *(("BSL-1.0", t) for t in (*_BSL, " ".join((_notice("BSL-1.0"), *_BSL)))),
+    *(("Zlib", t) for t in (*_ZLIB, " ".join((_notice("Zlib"), *_ZLIB)))),
     *(("ISC", t) for t in (_ISC_DISCLAIMER, f"{_notice('ISC')} {_ISC_DISCLAIMER}")),
-    *((name, pkgutil.get_data("tideline.llm", f"license_texts/{name}.txt").decode()) for name in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense")),
+    *((name, pkgutil.get_data("tideline.llm", f"license_texts/{name}.txt").decode()) for name in ("Apache-2.0", "Artistic-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense")),
 )
 TEMPLATES: tuple[tuple[str, str], ...] = _NOTICES + _TEXTS
 LEVELS = ("line", "paragraph", "document")
