@@ -211,18 +211,41 @@ class SeriesFrame:
         """
         if method == "spline":
             return self._per_series(lambda x, y: fill_spline(x, y, order, limit))
+        if method in ("mean", "median"):
+            return self._with(self._centred(method, limit))
         made = {c: self._filled(number(c), method, limit) for c in self.values}
         return self._with(self.df.withColumns(made))
 
+    def _centred(self, method: str, limit: int | None) -> DataFrame:
+        """Gaps filled by each series' mean or median: one aggregate, whose row for each series is joined; only a limit needs an order."""
+        from tideline.operators import location
+
+        df, keys = self.df, self.keys
+        if not keys and method == "median" and df.count() > location.SELECT_ROWS:
+            found = location.selected(df, self.values, [0.5])
+            centre = df.sparkSession.range(1).select(*[F.lit(found[c][0]).cast("double").alias(f"_m{i}") for i, c in enumerate(self.values)])
+        else:
+            build = F.avg if method == "mean" else lambda x: F.percentile(x, F.lit(0.5))
+            centre = df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[build(number(c)).alias(f"_m{i}") for i, c in enumerate(self.values)])
+        if keys:
+            same = F.lit(True)
+            for i, k in enumerate(keys):
+                same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+            df = df.join(centre, same)
+        else:
+            df = df.crossJoin(F.broadcast(centre))  # one row
+        behind = self.window.rowsBetween(Unbounded, 0)
+
+        def fill(i: int, c: str) -> Column:
+            x = number(c)
+            m = F.col(f"_m{i}")
+            return F.coalesce(x, m if limit is None else F.when(F.sum(x.isNull().cast("int")).over(behind) <= limit, m))
+
+        return df.withColumns({c: fill(i, c) for i, c in enumerate(self.values)}).select(*[F.col(f"`{c}`") for c in self.df.columns])
+
     def _filled(self, x: Column, method: str, limit: int | None) -> Column:
         w = self.window
         behind, ahead = w.rowsBetween(Unbounded, 0), w.rowsBetween(0, Window.unboundedFollowing)
-        if method in ("mean", "median"):
-            all_ = Window.partitionBy(*self.keys)
-            fill = F.avg(x).over(all_) if method == "mean" else F.percentile(x, F.lit(0.5)).over(all_)
-            if limit is not None:
-                fill = F.when(F.sum(x.isNull().cast("int")).over(behind) <= limit, fill)
-            return F.coalesce(x, fill)
         if method == "ffill":
             return F.last(x, True).over(behind if limit is None else w.rowsBetween(-limit, 0))
         if method == "bfill":

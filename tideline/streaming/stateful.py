@@ -38,7 +38,7 @@ def keyed(df: DataFrame, keys: list[str], ts: str, start: Callable[[], object],
         if held is not None:
             rows = rows[rows[ts].astype("int64") >= held]
         made = []
-        for _, row in rows.iterrows():
+        for row in rows.to_dict("records"):
             last, values = step(last, row)
             made.append((*key, row[ts], *values))
         if len(rows):
