@@ -59,16 +59,18 @@ def _bucket(rows: DataFrame, name: str) -> list[str]:
     return [name] if name in rows.columns else []
 
 
-def average_ranks(rows: DataFrame, column: str, out: str, keys: list[str], bucket: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """Adds the mean rank of equal values: counts by value first, so that ties and hot values are summed before any order is made."""
+def rank_table(rows: DataFrame, column: str, out: str, keys: list[str], bucket: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """keys, bucket, column and the mean rank of each value: counts by value first, so that ties and hot values are summed before any order is made."""
     group = [*keys, *bucket, column]
     by_value = rows.groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias("_k"))
     ranked = running(by_value, [column], {"_upto": "_k"}, keys, bucket=bucket[0] if bucket else None)
-    return rows.join(ranked.select(*group, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(out)), group)
+    return ranked.select(*group, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
 
 
 def _spearman(rows: DataFrame, keys: list[str]) -> DataFrame:
-    ranked = average_ranks(average_ranks(rows, "a", "_ra", keys, _bucket(rows, "_p")), "b", "_rb", keys, _bucket(rows, "_c"))
+    ranked = rows
+    for c, bucket in (("a", _bucket(rows, "_p")), ("b", _bucket(rows, "_c"))):
+        ranked = ranked.join(rank_table(rows, c, f"_r{c}", keys, bucket), [*keys, *bucket, c])
     return _grouped(ranked, keys).agg(pearson_column(F.col("_ra"), F.col("_rb")).alias("value"), F.count("a").alias("n"))
 
 
@@ -320,17 +322,27 @@ def _moments(df: DataFrame, pairs: list[tuple[str, str]], column: Callable[[str]
     return one.select(F.explode(F.array(*[f"p{k}" for k in range(len(pairs))])).alias("s")).select("s.*")
 
 
+#: Different values of a column whose ranks are sent to all rows instead of being joined by a shuffle.
+FEW_VALUES = 10_000
+
+
 def _rank_matrix(df: DataFrame, pairs: list[tuple[str, str]], order: str | None) -> DataFrame:
     """Spearman's rho. A column without missing values is ranked once for all its pairs; a pair with one that has some is ranked by its own rows."""
     names = sorted({c for p in pairs for c in p})
-    missing = df.agg(*[F.count(F.when(number(c).isNull(), 1)) for c in names]).first()
-    whole = [c for c, n in zip(names, missing, strict=True) if not n]
+    looked = df.agg(*[F.count(F.when(number(c).isNull(), 1)) for c in names], *[F.approx_count_distinct(number(c)) for c in names]).first()
+    whole = [c for c, n in zip(names, looked, strict=False) if not n]
+    values = dict(zip(names, looked[len(names) :], strict=True))
     clean = [p for p in pairs if p[0] in whole and p[1] in whole]
     out = None
     if clean:
-        ranked, cuts = _numbered(df, whole, None)
-        for k in range(len(whole)):
-            ranked = average_ranks(ranked.withColumn(f"b{k}", bucket_of(f"v{k}", cuts[f"v{k}"])), f"v{k}", f"r{k}", [], [f"b{k}"]).drop(f"v{k}", f"b{k}")
+        base, cuts = _numbered(df, whole, None)
+        base = base.withColumns({f"b{k}": bucket_of(f"v{k}", cuts[f"v{k}"]) for k in range(len(whole))}).drop("i")
+        ranked = base
+        for k, c in enumerate(whole):
+            ranks = rank_table(base, f"v{k}", f"r{k}", [], [f"b{k}"])
+            if values[c] < FEW_VALUES / 2 and base.select(f"v{k}").distinct().limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+                ranks = F.broadcast(ranks)  # FEW_VALUES rows at most
+            ranked = ranked.join(ranks, [f"b{k}", f"v{k}"]).drop(f"v{k}", f"b{k}")
         out = _moments(ranked, clean, lambda c: F.col(f"r{whole.index(c)}"), pearson_column)
     if rest := [p for p in pairs if p not in clean]:
         more = _spearman(_long_pairs(df, rest, order), ["row", "col"]).select("row", "col", "value", "n")
