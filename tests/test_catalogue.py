@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 CHECKED = (
     "location_summary location_by_group weighted_quantile mode_weighted trimmed_mean winsorized_mean weighted_std median_abs_dev gini_coefficient hodges_lehmann histogram_30 "
     "spearman_matrix kendall_pair xi_pair somers_d autocorrelation_matrix frequency_inference fill_linear fill_mean_limit rolling_std rolling_time_window kalman_smooth ewm_std ewm_corr "
-    "rolling_autocorr backtest_steps_calendar backtest_targets backtest_persistence hedge_weights time_hedge adam kmeans_weighted_step kmeans_assign"
+    "rolling_rank_pair rolling_corr_spearman association_summary autocorrelation_summary as_of_backward backtest_learner backtest_monthly newton_step fkm sign_linear exp3_median ucb fixed_share "
+    "time_fixed_share kmeans_weighted kmeans_iw_v1 kharmonic rolling_autocorr backtest_steps_calendar backtest_targets backtest_persistence hedge_weights time_hedge adam kmeans_weighted_step kmeans_assign"
 ).split()
 
 

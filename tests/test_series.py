@@ -157,3 +157,26 @@ def test_sources(spark):
     assert from_arrays(spark, np.eye(2), [1, 2]).count() == 2
     with pytest.raises(ValueError):
         from_arrays(spark, np.eye(2), [1])
+
+
+def test_rank_windows_agree_with_single_frames(spark):
+    import numpy as np
+
+    from tideline.operators import association as A
+    from tideline.operators import rolling
+
+    rng = np.random.RandomState(8)
+    rows = [(k, i, float(rng.randint(0, 6)), None if rng.uniform() < 0.05 else float(rng.normal())) for k in range(3) for i in range(40 if k else 4)]
+    frame = SeriesFrame(spark.createDataFrame(rows, "g long, i long, a double, b double"), "i", ["a", "b"], ["g"])
+    for metric in (A.SPEARMAN, A.KENDALL, A.XI, A.STEPANOV):
+        whole = {(r["g"], r["i"]): tuple(r)[2:] for r in rolling.correlation(frame, metric, 7).collect()}
+        one = {(r["g"], r["i"]): tuple(r)[2:] for r in rolling.correlation(frame, metric, 7, min_periods=6).collect()}
+        known = {(k, i): [x[2:] for x in rows if x[0] == k and i - 7 < x[1] <= i] for k, i, _, _ in rows}
+        assert len(whole) == len(rows)
+        for at, held in known.items():
+            full = len(held) == 7
+            for c, (x, y) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+                if full and all(h[x] is not None and h[y] is not None for h in held):
+                    assert whole[at][c] == (None if one[at][c] is None else pytest.approx(one[at][c])), (metric.name, at, c)
+                else:
+                    assert whole[at][c] is None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,8 +74,6 @@ def _rank_udaf(metric: Metric):
     name = metric.name
 
     def over(a: pd.Series, b: pd.Series) -> float:
-        import numpy as np
-
         ok = a.notna() & b.notna()
         a, b = a[ok], b[ok]
         n = len(a)
@@ -108,11 +107,77 @@ def _pair(metric: Metric, a: Column, b: Column, w, least: int) -> Column:
     return F.when(F.count(x).over(w) >= least, v)
 
 
+#: Comparisons of two values of a window that are held at once.
+HELD = 4_000_000
+
+
+def _window_values(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A rank metric of each row of x and y (windows by values, none missing), by comparing all values of a window; NaN where one is constant."""
+    out = np.empty(len(x))
+    step = max(1, HELD // (x.shape[1] ** 2 if len(x) else 1))
+    for i in range(0, len(x), step):
+        out[i : i + step] = _compared(name, x[i : i + step], y[i : i + step])
+    return out
+
+
+def _compared(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    n = x.shape[1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if name == "xi":
+            order = np.argsort(x, axis=1, kind="stable")
+            y = np.take_along_axis(y, order, axis=1)
+            upto, from_ = (y[:, None, :] <= y[:, :, None]).sum(axis=2), (y[:, None, :] >= y[:, :, None]).sum(axis=2)
+            below = 2.0 * (from_ * (n - from_)).sum(axis=1)
+            return np.where(below > 0, 1 - n * np.abs(np.diff(upto, axis=1)).sum(axis=1) / below, np.nan)
+        sx, sy = (np.sign(v[:, :, None] - v[:, None, :]) for v in (x, y))
+        # mean ranks less their mean are half the sums of the signs
+        rx, ry = sx.sum(axis=2), sy.sum(axis=2)
+        rho = (rx * ry).sum(axis=1) / np.sqrt((rx**2).sum(axis=1) * (ry**2).sum(axis=1))
+        tau = (sx * sy).sum(axis=(1, 2)) / np.sqrt((sx**2).sum(axis=(1, 2)) * (sy**2).sum(axis=(1, 2)))
+    return {"spearman": rho, "kendall": tau, "stepanov": (3 * tau - rho) / 2}[name]
+
+
+def _rank_windows(frame: SeriesFrame, pairs: dict[str, tuple[str, str]], metric: Metric, window: int) -> DataFrame:
+    """keys, order and for each name the metric of a pair of columns over full windows without missing values, else NULL: a series at a time, all its windows at once."""
+    keys, order, name = frame.keys, frame.order, metric.name
+    columns = sorted({c for p in pairs.values() for c in p})
+    rows = frame.df.select(*keys, order, *[number(c).alias(c) for c in columns])
+    types = dict(rows.dtypes)
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        out = pdf[[*keys, order]].copy()
+        views = {}
+        for c in columns:
+            values = pdf[c].to_numpy(float)
+            views[c] = np.lib.stride_tricks.sliding_window_view(values, window) if len(values) >= window else np.empty((0, window))
+        for made, (a, b) in pairs.items():
+            found = np.full(len(pdf), np.nan)
+            x, y = views[a], views[b]
+            whole = np.flatnonzero(~(np.isnan(x) | np.isnan(y)).any(axis=1))
+            found[window - 1 + whole] = _window_values(name, x[whole], y[whole])
+            out[made] = found
+        return out
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in [*keys, order]), *(f"`{m}` double" for m in pairs)])
+    out = rows.groupBy(*keys).applyInPandas(go, schema)
+    return out.withColumns({m: F.nanvl(F.col(f"`{m}`"), F.lit(None).cast("double")) for m in pairs})
+
+
 def correlation(frame: SeriesFrame, metric: Metric = PEARSON, window: int | str = 10, min_periods: int | None = None) -> DataFrame:
-    """Columns {a}>{b} for all ordered pairs, each with itself too; symmetric metrics are computed once a pair."""
+    """Columns {a}>{b} for all ordered pairs, each with itself too; symmetric metrics are computed once a pair.
+
+    Rank metrics over full windows of rows are computed a series at a time; over durations, or with
+    fewer values than the window, by a pandas function for each frame.
+    """
     w, least = _frame(frame, window)
     least = least if min_periods is None else min_periods
     v = frame.values
+    if metric is not PEARSON and isinstance(window, int) and least == window and metric.name in ("spearman", "kendall", "stepanov", "xi"):
+        wanted = {f"_r{i}_{j}": (a, b) for i, a in enumerate(v) for j, b in enumerate(v) if j >= i or not metric.symmetric}
+        out = _rank_windows(frame, wanted, metric, window)
+        own = lambda i, j: f"_r{i}_{j}" if f"_r{i}_{j}" in wanted else f"_r{j}_{i}"
+        return out.select(*frame.keys, frame.order, *[F.col(own(i, j)).alias(f"{a}>{b}") for i, a in enumerate(v) for j, b in enumerate(v)])
     made = {}
     for i, a in enumerate(v):
         for j, b in enumerate(v):
