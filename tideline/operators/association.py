@@ -60,17 +60,17 @@ def _bucket(rows: DataFrame, name: str) -> list[str]:
 
 
 def rank_table(rows: DataFrame, column: str, out: str, keys: list[str], bucket: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """keys, bucket, column and the mean rank of each value: counts by value first, so that ties and hot values are summed before any order is made."""
+    """keys, column and the mean rank of each value: counts by value first, so that ties and hot values are summed before any order is made."""
     group = [*keys, *bucket, column]
     by_value = rows.groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias("_k"))
     ranked = running(by_value, [column], {"_upto": "_k"}, keys, bucket=bucket[0] if bucket else None)
-    return ranked.select(*group, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
+    return ranked.select(*keys, column, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
 
 
 def _spearman(rows: DataFrame, keys: list[str]) -> DataFrame:
     ranked = rows
     for c, bucket in (("a", _bucket(rows, "_p")), ("b", _bucket(rows, "_c"))):
-        ranked = ranked.join(rank_table(rows, c, f"_r{c}", keys, bucket), [*keys, *bucket, c])
+        ranked = ranked.join(rank_table(rows, c, f"_r{c}", keys, bucket), [*keys, c])
     return _grouped(ranked, keys).agg(pearson_column(F.col("_ra"), F.col("_rb")).alias("value"), F.count("a").alias("n"))
 
 
@@ -336,13 +336,12 @@ def _rank_matrix(df: DataFrame, pairs: list[tuple[str, str]], order: str | None)
     out = None
     if clean:
         base, cuts = _numbered(df, whole, None)
-        base = base.withColumns({f"b{k}": bucket_of(f"v{k}", cuts[f"v{k}"]) for k in range(len(whole))}).drop("i")
-        ranked = base
+        ranked = base = base.drop("i")
         for k, c in enumerate(whole):
-            ranks = rank_table(base, f"v{k}", f"r{k}", [], [f"b{k}"])
+            ranks = rank_table(base.select(f"v{k}", bucket_of(f"v{k}", cuts[f"v{k}"]).alias("b")), f"v{k}", f"r{k}", [], ["b"])
             if values[c] < FEW_VALUES / 2 and base.select(f"v{k}").distinct().limit(FEW_VALUES + 1).count() <= FEW_VALUES:
                 ranks = F.broadcast(ranks)  # FEW_VALUES rows at most
-            ranked = ranked.join(ranks, [f"b{k}", f"v{k}"]).drop(f"v{k}", f"b{k}")
+            ranked = ranked.join(ranks, f"v{k}").drop(f"v{k}")
         out = _moments(ranked, clean, lambda c: F.col(f"r{whole.index(c)}"), pearson_column)
     if rest := [p for p in pairs if p not in clean]:
         more = _spearman(_long_pairs(df, rest, order), ["row", "col"]).select("row", "col", "value", "n")
