@@ -31,8 +31,8 @@ from tideline.llm._shared import columns_of_blobs, drop, mix, per_bucket, shared
 #: Hashes that stand for a text's begin and end.
 BEGIN, END = 0x5851F42D4C957F, 0x14057B7EF767814F >> 8
 WORD = np.uint64((1 << 56) - 1)
-BUCKET_ROWS = 800_000
-HELD = 3_000_000
+BUCKET_ROWS = 400_000
+HELD = 2_000_000
 BIGRAM_KEYS = (-7, 7, 4)  # context, word, count
 WORD_KEYS = (-7, 5, 5, 5, 5, 5)  # word, count, types before it, types after it seen once, twice, more often
 
