@@ -33,6 +33,8 @@ MARGIN = 0.12
 SENT_IDS = 1_000_000
 #: Classes, and shingles, on either side of one block of step 5.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Rows of one file of the classes' components (24 bytes each).
+FILE_ROWS = 1_000_000
 #: Band keys in one bucket.
 BUCKET_KEYS = 1_000_000
 
@@ -280,9 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     samples, least = bands * rows, percent / 100 - MARGIN
     signed = store(source.mapInArrow(_sign(shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands binary, sketch binary"), "signatures")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = store(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("k1", "k2", "rep", "n", "s.*"), "classes")
+    classes = hold(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("k1", "k2", "rep", "n", "s.*"))
     sketches = classes.select("rep", "sketch")
-    n_buckets = max(12, classes.count() * bands // BUCKET_KEYS)
+    n_classes = classes.count()
+    n_buckets = max(12, n_classes * bands // BUCKET_KEYS)
     dealt = classes.select("rep", "bands").mapInArrow(_deal_bands(bands, n_buckets), "bucket long, kind int, blob binary")
     near = hold(per_bucket(dealt, "bucket", n_buckets, _pairs_of_bucket, "a long, b long").distinct())
     scored = near.join(sketches.withColumnsRenamed({"rep": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"rep": "b", "sketch": "sb"}), "b")
@@ -310,9 +313,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ys = deal.select(*cols, F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, nx - 1L)")).alias("bx"), F.expr("own % ny").alias("by"))
         more = store(xs.union(ys).groupBy("coarse", "bx", "by").applyInArrow(_across(samples, least, percent), "a long, b long"), "more")
         found = _graph.components(links.union(more))
-    for held in (near, forest, likely, members, open_):
+    own = classes.select("k1", "k2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    own = store(own.coalesce(1 + n_classes // FILE_ROWS), "components")
+    for held in (near, forest, likely, members, open_, classes):
         held.unpersist()
     result = signed.select("doc_id", "n_shingles", "k1", "k2")
-    own = classes.select("k1", "k2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = result.join(own, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
