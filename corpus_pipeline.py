@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import release, store, stored
+from tideline.llm._shared import hold, release, store, stored
 from tideline.llm.decontaminate import drop_contaminated
 from tideline.llm.language_id import drop_unidentified, fit, held_out
 from tideline.llm.near_dedup import SENT_IDS, near_duplicates
@@ -41,10 +41,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null, empty and white texts are alike nothing and stay, rows with a null id too; of repeated rows
     (one id, one text) all stay or all go; other columns are kept as they are, an empty table stays one.
     """
-    gone = store(near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    if gone.count() <= SENT_IDS:  # 8 bytes each; more are joined by a shuffle
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = hold(near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct())
+    n = found.count()
+    gone = store(found.coalesce(1 + n // SENT_IDS), "gone")
+    found.unpersist()
+    # 8 bytes each; more are joined by a shuffle
+    return docs.join(F.broadcast(gone) if n <= SENT_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
