@@ -129,3 +129,15 @@ def test_summaries_of_large_tables_select(spark, monkeypatch):
     assert [r[0] for r in large] == ["a", "b"]
     for x, y in zip(small, large):
         assert x[1:] == pytest.approx(y[1:])
+
+
+@pytest.mark.parametrize("last", [100_000, 50])
+def test_pair_medians_by_buckets(spark, monkeypatch, last):
+    rng = np.random.RandomState(9)
+    for x in (rng.normal(size=301), np.where(rng.uniform(size=400) < 0.4, 2.0, np.round(rng.normal(size=400), 1)), np.array([3.0]), np.full(50, 1.5)):
+        i, j = np.triu_indices(len(x))
+        monkeypatch.setattr(L, "SELECT_ROWS", 0)
+        monkeypatch.setattr(L, "LAST_SUMS", last)
+        got = L.hodges_lehmann(spark.createDataFrame([(float(v),) for v in x], "v double"), "v").first()["value"]
+        assert got == pytest.approx(np.median((x[i] + x[j]) / 2), abs=1e-12)
+    assert L._walsh_median(spark.createDataFrame([], "x double")) is None

@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import number, ratio, sample
-from tideline.functions.scan import running
+from tideline.functions.scan import bucketed, running
 
 Keys = list[str] | tuple[str, ...]
 #: Rows from which on a quantile of a whole table is selected in two passes instead of a map of all values.
@@ -252,15 +254,16 @@ def hodges_lehmann(df: DataFrame, value: str, weight: str | None = None, keys: K
 
     No pairs are made: for a candidate value c, the pairs with a sum of at most 2c are counted by
     merging the sorted values with their mirror image 2c - x, a sort each; candidates are bisected
-    until two neighbouring pair sums are left. Groups are processed apart, each in one task.
+    until two neighbouring pair sums are left. Groups are processed apart, each in one task; a large
+    table without groups is counted by pairs of buckets (`_walsh_median`).
     """
     keys = list(keys)
     rows = sample(df, value, None, keys)
+    if not keys and rows.count() > SELECT_ROWS:
+        found = _walsh_median(rows)
+        return df.sparkSession.range(1).select(F.lit(found).cast("double").alias("value"))
 
     def of(pdf):
-        import numpy as np
-        import pandas as pd
-
         x = np.sort(pdf["x"].to_numpy())
         n = len(x)
         total = n * (n + 1) // 2
@@ -288,3 +291,92 @@ def hodges_lehmann(df: DataFrame, value: str, weight: str | None = None, keys: K
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "value double"])
     return rows.groupBy(*keys).applyInPandas(of, schema)
+
+
+#: Candidates that one pass counts, and pair sums that the driver reads at the end.
+CANDIDATES, LAST_SUMS = 64, 100_000
+
+
+def _walsh_median(rows: DataFrame) -> float | None:
+    """The median of all (x_i + x_j) / 2, i <= j, without a task that holds the column.
+
+    Different values with their counts are put into buckets. The buckets' bounds alone enclose the wanted
+    sum; only pairs of buckets that can hold sums inside the enclosure are counted, for CANDIDATES
+    sums in a pass, until so few are left inside that they are read.
+    """
+    values = rows.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
+    values = bucketed(values, "x")
+    stats = sorted(map(tuple, values.groupBy("_bucket").agg(F.min("x"), F.max("x"), F.sum("w"), F.sum(F.col("w").cast("double") * F.col("w"))).collect()))
+    if not stats:
+        return None
+    number, low, high, w = (np.array([r[k] for r in stats]) for k in range(4))
+    p, q = np.triu_indices(len(stats))
+    weight = np.where(p == q, w[p].astype(float) * (w[p] + 1) / 2, w[p].astype(float) * w[q])
+    least, most = low[p] + low[q], high[p] + high[q]
+    total = float(weight.sum())
+
+    def held(first: float, last: float) -> DataFrame:
+        """Rows (pair, side, x, w) of the pairs of buckets with sums between first and last, and not all of them below or above."""
+        open_ = np.flatnonzero((least <= last) & (most > first))
+        places = [(int(number[b[k]]), int(k), side) for k in open_ for side, b in enumerate((p, q)) if side == 0 or p[k] != q[k]]
+        table = rows.sparkSession.createDataFrame(places, "_bucket int, pair int, side int")
+        return values.join(F.broadcast(table), "_bucket")  # bucket pairs: a few for each bucket
+
+    def inside(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+        k = int(pdf["pair"].iloc[0])
+        pdf = pdf.sort_values("x")
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == (0 if p[k] == q[k] else 1)]
+        return a["x"].to_numpy(), a["w"].to_numpy(float), b["x"].to_numpy(), np.concatenate([[0.0], np.cumsum(b["w"].to_numpy(float))]), bool(p[k] == q[k])
+
+    def counts(candidates: np.ndarray) -> np.ndarray:
+        """Pairs with a sum of at most each candidate."""
+
+        def of(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, wx, y, upto, same = inside(pdf)
+            found = [float((wx * upto[np.searchsorted(y, c - x, side="right")]).sum()) for c in candidates]
+            if same:  # each pair was met from both sides, a value with itself once
+                found = [(f + float(wx[2 * x <= c].sum())) / 2 for f, c in zip(found, candidates, strict=True)]
+            return pd.DataFrame({"n": [found]})
+
+        below = float(weight[most <= candidates[0]].sum())
+        parts = held(candidates[0], candidates[-1]).groupBy("pair").applyInPandas(of, "n array<double>")
+        row = parts.agg(*[F.sum(F.col("n")[i]) for i in range(len(candidates))]).first()
+        return below + np.array([v or 0.0 for v in row])
+
+    def select(rank: float) -> float:
+        order = np.argsort(most, kind="stable")
+        hi = float(most[order][np.searchsorted(np.cumsum(weight[order]), rank)])
+        order = np.argsort(least, kind="stable")
+        lo = math.nextafter(float(least[order][np.searchsorted(np.cumsum(weight[order]), rank)]), -math.inf)
+        n_lo, n_hi = counts(np.array([lo, hi]))
+        while n_hi - n_lo > LAST_SUMS:
+            inner = np.unique(np.linspace(lo, hi, CANDIDATES + 2)[1:-1])
+            inner = inner[(inner > lo) & (inner < hi)]
+            if not len(inner):
+                return hi
+            n = counts(inner)
+            k = int(np.searchsorted(n, rank))
+            if k < len(inner):
+                hi, n_hi = float(inner[k]), float(n[k])
+            if k:
+                lo, n_lo = float(inner[k - 1]), float(n[k - 1])
+
+        def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, wx, y, upto, same = inside(pdf)
+            a, b = np.searchsorted(y, lo - x, side="right"), np.searchsorted(y, hi - x, side="right")
+            i = np.repeat(np.arange(len(x)), b - a)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+            n = wx[i] * np.diff(upto)[j]
+            if same:
+                n, keep = np.where(i == j, wx[i] * (wx[i] + 1) / 2, n), i <= j
+                i, j, n = i[keep], j[keep], n[keep]
+            return pd.DataFrame({"s": x[i] + y[j], "n": n})
+
+        found = held(lo, hi).groupBy("pair").applyInPandas(sums, "s double, n double").groupBy("s").agg(F.sum("n")).collect()
+        for v, n in sorted(map(tuple, found)):
+            n_lo += n
+            if n_lo >= rank:
+                return float(v)
+        return hi
+
+    return (select(math.floor((total + 1) / 2)) + select(math.floor(total / 2) + 1)) / 4
