@@ -33,6 +33,8 @@ BEGIN, END = 0x5851F42D4C957F, 0x14057B7EF767814F >> 8
 WORD = np.uint64((1 << 56) - 1)
 BUCKET_ROWS = 400_000
 HELD = 2_000_000
+#: Bytes of text whose pairs are looked up together: fewer visits to each bucket.
+SCORED = 1 << 21
 BIGRAM_KEYS = (-7, 7, 4)  # context, word, count
 WORD_KEYS = (-7, 5, 5, 5, 5, 5)  # word, count, types before it, types after it seen once, twice, more often
 
@@ -290,7 +292,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _OPEN[model.uri] = Arrays(model.uri)
         for batch in batches:
             buf, offsets = _text.raw(batch.column("text"))
-            for i, j in _text.cut(offsets):
+            for i, j in _text.cut(offsets, SCORED):
                 found = model.score(_OPEN[model.uri], buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i)} | {k: pa.array(v) for k, v in found.items()})
 
