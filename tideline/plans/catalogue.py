@@ -362,7 +362,7 @@ _PAIR = "CASE WHEN count(*) OVER w >= 20 THEN covar_pop({x}, {y}) OVER w / nulli
 register("rolling_corr", f"SELECT day, round(CASE WHEN count(*) OVER w >= 20 THEN 1.0 END, 5) AS \"total>total\", round({_PAIR.format(x='total', y='n')}, 5) AS \"total>n\", round({_PAIR.format(x='n', y='total')}, 5) AS \"n>total\", round(CASE WHEN count(*) OVER w >= 20 THEN 1.0 END, 5) AS \"n>n\" FROM {_D} WINDOW w AS (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")(
     lambda spark, d: rounded(rolling.correlation(SeriesFrame(daily(spark, d), "day", ["total", "n"]), window=20), 5)
 )
-register("rolling_corr_spearman", f"SELECT user_id, rn, CASE WHEN rn >= 10 AND max(value) OVER w > min(value) OVER w THEN 1.0 END AS \"value>value\" FROM {_E} WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")(lambda spark, d: rounded(rolling.correlation(users(spark, d), A.SPEARMAN, 10), 6))
+register("rolling_corr_spearman", f"SELECT user_id, rn, CASE WHEN rn >= 10 AND max(value) OVER w > min(value) OVER w THEN 1.0::DOUBLE END AS \"value>value\" FROM {_E} WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")(lambda spark, d: rounded(rolling.correlation(users(spark, d), A.SPEARMAN, 10), 6))
 _FRAMES = f"(SELECT a.user_id, a.rn, b.value AS x, (b.event_id * 7919 % 1009)::DOUBLE AS y FROM {_E} a JOIN {_E} b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 9 AND a.rn WHERE a.rn >= 10)"
 _FRAME_RANKS = f"(SELECT user_id, rn, rank() OVER (PARTITION BY user_id, rn ORDER BY x) + (count(*) OVER (PARTITION BY user_id, rn, x) - 1) / 2.0 AS x, rank() OVER (PARTITION BY user_id, rn ORDER BY y) + (count(*) OVER (PARTITION BY user_id, rn, y) - 1) / 2.0 AS y FROM {_FRAMES})"
 register("rolling_rank_pair", f"SELECT e.user_id, e.rn, round(c, 6) + 0.0 AS value FROM {_E} e LEFT JOIN (SELECT user_id, rn, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS c FROM {_FRAME_RANKS} GROUP BY user_id, rn) r USING (user_id, rn)")(
