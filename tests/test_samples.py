@@ -119,6 +119,29 @@ def test_selected_quantiles_are_exact(spark, monkeypatch):
         assert got["e"] == [None] * len(q)
 
 
+@pytest.mark.parametrize("read", [100_000, 2])
+def test_selected_quantiles_need_no_sketch(spark, monkeypatch, read):
+    """A sketch for each rank took most of the time of a large table; buckets that are counted are exact on every scale."""
+    monkeypatch.setattr(L.F, "percentile_approx", None)
+    monkeypatch.setattr(L, "BRACKET_ROWS", read)
+    rng = np.random.RandomState(11)
+    powers = 10.0 ** rng.uniform(-300, 300, 900)
+    columns = [
+        np.concatenate([powers, -powers, np.zeros(200)]),
+        np.concatenate([rng.uniform(size=1990), [1e308, -1e308, np.inf, np.inf, -np.inf], np.full(5, 5e-324)]),
+        np.concatenate([np.full(1500, 7.0), 7.0 + rng.normal(size=500) * 1e-15]),
+        np.concatenate([np.zeros(1000), 10.0 ** -rng.uniform(0, 200, 1000)]),
+    ]
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*columns)], "a double, b double, c double, d double")
+    q = [0.0, 0.05, 0.25, 0.5, 0.77, 0.95, 1.0]
+    got = L.selected(df, list("abcd"), q)
+    for c, x in zip("abcd", map(np.sort, columns)):
+        for p, v in zip(q, got[c]):
+            k = (len(x) - 1) * p
+            low, high = x[int(np.floor(k))], x[int(np.ceil(k))]
+            assert v == (low if low == high else low + (high - low) * (k - np.floor(k)))
+
+
 def test_summaries_of_large_tables_select(spark, monkeypatch):
     from tideline.plans import summaries as S
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from tideline.functions.numeric import number, ratio, sample
 from tideline.functions.scan import bucketed, running
 
 Keys = list[str] | tuple[str, ...]
-#: Rows from which on a quantile of a whole table is selected in two passes instead of a map of all values.
+#: Rows from which on a quantile of a whole table is selected in a few scans instead of a map of all values.
 SELECT_ROWS = 5_000_000
 
 
@@ -79,56 +80,104 @@ def _selected(rows: DataFrame, q: list[float]) -> DataFrame:
     return rows.sparkSession.range(1).select(F.array(*[F.lit(v) for v in found]).alias("values"))
 
 
-#: Different values of a bracket that the driver reads; wider brackets are narrowed again.
+#: Rows of a bracket from which on it is cut instead of read, and buckets of all brackets of one pass (at least 1024 each).
 BRACKET_ROWS = 100_000
+CUTS = 65_536
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Values of a column between low and high: the rows below, the rows inside, and whether the last cut took few of them away."""
+
+    column: str
+    low: float
+    high: float
+    below: int
+    inside: int
+    stuck: bool = False
+
+    def has(self) -> Column:
+        return F.col(self.column).between(F.lit(self.low), F.lit(self.high))
+
+    def bucket(self, n: int) -> Column:
+        """A number 0 .. n - 1 that doesn't fall as values grow, different at both ends: equal widths, if stuck signs and then logarithms."""
+        x, low, high = F.col(self.column), self.low, self.high
+        if math.isinf(low) or math.isinf(high):
+            return F.when(x == F.lit(low), 0).when(x == F.lit(high), 2).otherwise(1)
+        if self.stuck and low <= 0 <= high:
+            return F.signum(x).cast("int") + 1
+        if self.stuck and max(abs(low), abs(high)) / min(abs(low), abs(high)) > n:
+            sign = 1.0 if low > 0 else -1.0
+            x, low, high = F.log2(F.abs(x)) * sign, math.log2(abs(low)) * sign, math.log2(abs(high)) * sign
+        scale = 0.5 if math.isinf(high - low) else 1.0
+        share = (x * scale - low * scale) / (high * scale - low * scale)
+        return F.greatest(F.least(F.floor(share * n), F.lit(n - 1)), F.lit(0)).cast("int")
+
+
+def _inside(rows: DataFrame, brackets: list[_Bracket], key: Callable[[int, _Bracket], Column]) -> DataFrame:
+    """Rows (k, x) of the values in brackets, of all columns in one scan; brackets of a column don't overlap."""
+    parts = []
+    for c in sorted({b.column for b in brackets}):
+        k = F.lit(None).cast("int")
+        for i, b in enumerate(brackets):
+            if b.column == c:
+                k = F.when(b.has(), key(i, b)).otherwise(k)
+        parts.append(F.struct(k.alias("k"), F.col(c).alias("x")))
+    return rows.select(F.explode(F.array(*parts)).alias("s")).select("s.*").where("k IS NOT NULL")
 
 
 def selected(df: DataFrame, columns: list[str], q: list[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles of numeric columns of a large table, all columns at once, in a few scans without any sort.
+    """Exact quantiles of numeric columns of a large table, all columns at once, in a few scans without any sort or sketch.
 
-    Each wanted rank gets a bracket from a sketch. Rows below it are counted; a bracket with many
-    different values is narrowed by a sketch of its own rows, and the values of a narrow one, at most
-    BRACKET_ROWS, are read with their counts. An empty column has None.
+    Wanted ranks lie in brackets, at first from the least to the greatest value. A scan counts the rows
+    in buckets of all brackets, with the least and greatest value of each, and the bucket of a rank
+    is its next bracket. One of a single value is done; the values of one of at most BRACKET_ROWS
+    are read with their counts. An empty column has None.
     """
     names = {c: f"v{i}" for i, c in enumerate(columns)}
     rows = df.select(*[number(c).alias(v) for c, v in names.items()])
-    n = dict(zip(names.values(), rows.agg(*[F.count(v) for v in names.values()]).first(), strict=True))
-    wanted = {(v, r) for v in n if n[v] for x in q for r in (math.floor((n[v] - 1) * x), math.ceil((n[v] - 1) * x))}
-    bracket = {k: (-math.inf, math.inf, 0, n[k[0]]) for k in wanted}  # low, high, rows below low, rows inside
+    ends = rows.agg(*[f(v) for v in names.values() for f in (F.count, F.min, F.max)]).first()
+    n = dict(zip(names.values(), ends[::3], strict=True))
     value: dict[tuple[str, int], float] = {}
+    wanted: dict[_Bracket, set[int]] = {}
+
+    def put(b: _Bracket, ranks: set[int]) -> None:
+        if b.low == b.high:
+            value.update({(b.column, r): b.low for r in ranks})
+        elif ranks:
+            wanted.setdefault(b, set()).update(ranks)
+
+    for v, low, high in zip(names.values(), ends[1::3], ends[2::3], strict=True):
+        put(_Bracket(v, low, high, 0, n[v]), {f((n[v] - 1) * x) for x in q for f in (math.floor, math.ceil)} if n[v] else set())
     while wanted:
-        shares = {k: ((k[1] - bracket[k][2]) / bracket[k][3]) for k in wanted}
-        inside = {k: F.when(F.col(k[0]).between(F.lit(bracket[k][0]), F.lit(bracket[k][1])), F.col(k[0])) for k in wanted}
-        keys = sorted(wanted)
-        cuts = rows.agg(*[F.percentile_approx(inside[k], [max(0.0, shares[k] - 2e-4), min(1.0, shares[k] + 2e-4)], 20_000) for k in keys]).first()
-        for k, (low, high) in zip(keys, cuts, strict=True):
-            if low == high:  # one value fills the bracket
-                value[k] = low
-            bracket[k] = (low, high, 0, 0)
-        wanted -= set(value)
-        if not wanted:
+        ready = [b for b in wanted if b.inside <= BRACKET_ROWS]
+        held = _inside(rows, ready, lambda i, b: F.lit(i)).groupBy("k", "x").count().collect() if ready else []
+        found: dict[int, list[tuple[float, int]]] = {}
+        for i, x, m in held:
+            found.setdefault(i, []).append((x, m))
+        for i, b in enumerate(ready):
+            ranks, upto = sorted(wanted.pop(b)), b.below
+            for x, m in sorted(found[i]):
+                upto += m
+                while ranks and upto > ranks[0]:
+                    value[b.column, ranks.pop(0)] = x
+        wide, wanted_before = list(wanted), wanted
+        if not wide:
             break
-        keys = sorted(wanted)
-        counts = rows.agg(*[c for k in keys for c in (F.count(F.when(F.col(k[0]) < bracket[k][0], 1)), F.count(F.when(F.col(k[0]).between(*bracket[k][:2]), 1)))]).first()
-        for i, k in enumerate(keys):
-            bracket[k] = (*bracket[k][:2], counts[2 * i], counts[2 * i + 1])
-        ready = [k for k in keys if bracket[k][3] <= BRACKET_ROWS]
-        if ready:
-            parts = F.array(*[F.when(F.col(k[0]).between(*bracket[k][:2]), F.struct(F.lit(i).alias("i"), F.col(k[0]).alias("x"))) for i, k in enumerate(ready)])
-            held = rows.select(F.explode(F.array_compact(parts)).alias("s")).groupBy("s.i", "s.x").count()
-            seen = {i: bracket[k][2] for i, k in enumerate(ready)}
-            for i, x, m in sorted(map(tuple, held.collect())):
-                seen[i] += m
-                if ready[i] not in value and seen[i] > ready[i][1]:
-                    value[ready[i]] = x
-            wanted -= set(ready)
+        wanted, each = {}, max(1024, CUTS // len(wide))
+        counts = _inside(rows, wide, lambda i, b: b.bucket(each) + F.lit(i * each)).groupBy("k").agg(F.count("x"), F.min("x"), F.max("x")).collect()  # noqa: B023
+        below = {i: b.below for i, b in enumerate(wide)}
+        for k, m, low, high in sorted(map(tuple, counts)):
+            b, upto = wide[k // each], below[k // each]
+            put(_Bracket(b.column, low, high, upto, m, m * 8 > b.inside), {r for r in wanted_before[b] if upto <= r < upto + m})
+            below[k // each] = upto + m
 
     def at(v: str, x: float) -> float | None:
         if not n[v]:
             return None
         k = (n[v] - 1) * x
         a, b = value[v, math.floor(k)], value[v, math.ceil(k)]
-        return a + (b - a) * (k - math.floor(k))
+        return a if a == b else a + (b - a) * (k - math.floor(k))
 
     return {c: [at(v, x) for x in q] for c, v in names.items()}
 
