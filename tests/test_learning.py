@@ -19,6 +19,14 @@ def constants(k=4):
     return [online.Constant(i / k) for i in range(k)]
 
 
+def test_aggregating_cost_of_large_losses_is_infinite(spark):
+    """exp(-loss) is 0 from some 745 on; the cost is then infinite as in SQL, and was NULL."""
+    losses = spark.createDataFrame([(t, k, loss) for t, row in enumerate([(0.5, 2.0), (3000.0, 2000.0), (1.0, 700.0)]) for k, loss in enumerate(row)], "t long, expert long, loss double")
+    rows = experts.hedge_regret(experts.hedge(losses), mixture=True).orderBy("t").collect()
+    assert [np.isinf(r["cost"]) for r in rows] == [False, True, False]
+    assert [np.isinf(r["regret"]) for r in rows] == [False, True, True]
+
+
 def test_hedge_windows_equal_the_recursion(spark):
     y = np.random.RandomState(0).uniform(size=60)
     hedge = online.Hedge(constants(), rate=0.5)

@@ -28,9 +28,13 @@ def hedge(losses: DataFrame, rate: float = 1.0, prior: Column | None = None, key
 
 
 def hedge_regret(weighted: DataFrame, keys: list[str] | tuple[str, ...] = (), t: str = "t", loss: str = "loss", mixture: bool = False) -> DataFrame:
-    """Rows (keys, t, cost, regret): cost is sum(weight * loss), or -ln sum(weight * exp(-loss)) for the aggregating algorithm."""
+    """Rows (keys, t, cost, regret): cost is sum(weight * loss), or -ln sum(weight * exp(-loss)) for the aggregating algorithm.
+
+    The latter is infinite where that sum is 0 in doubles (losses over some 745); Spark's ln has NULL there.
+    """
     keys = list(keys)
-    cost = -F.ln(F.sum(F.col("weight") * F.exp(-F.col(loss)))) if mixture else F.sum(F.col("weight") * F.col(loss))
+    mixed = F.sum(F.col("weight") * F.exp(-F.col(loss)))
+    cost = F.when(mixed == 0, float("inf")).otherwise(-F.ln(mixed)) if mixture else F.sum(F.col("weight") * F.col(loss))
     steps = weighted.groupBy(*keys, t).agg(cost.alias("cost"))
     return steps.withColumn("regret", F.sum("cost").over(Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)))
 
