@@ -154,6 +154,17 @@ def test_summaries_of_large_tables_select(spark, monkeypatch):
         assert x[1:] == pytest.approx(y[1:])
 
 
+@pytest.mark.parametrize("name", ["dispersion_summary", "boxplot_stats", "location_summary"])
+def test_summaries_of_large_tables_equal_sql_without_sketches(spark, monkeypatch, name):
+    from tests.parity import compare
+    from tideline.plans import catalogue
+
+    monkeypatch.setattr(L, "SELECT_ROWS", 100)
+    monkeypatch.setattr(L, "BRACKET_ROWS", 50)
+    monkeypatch.setattr(L.F, "percentile_approx", None)
+    assert compare(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"), "/root/testdata/sf0.001", catalogue.ORACLES[name]) == ""
+
+
 @pytest.mark.parametrize("last", [100_000, 50])
 def test_pair_medians_by_buckets(spark, monkeypatch, last):
     rng = np.random.RandomState(9)
