@@ -27,6 +27,30 @@ def test_aggregating_cost_of_large_losses_is_infinite(spark):
     assert [np.isinf(r["regret"]) for r in rows] == [False, True, True]
 
 
+def test_batch_clusterings_read_rows_once(spark, monkeypatch):
+    """Each iteration read and converted all rows anew; they are held as blocks, here of ten rows, and nulls are skipped."""
+    x = np.random.RandomState(5).normal(size=(203, 3)) + np.arange(203)[:, None] % 3
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)] * 7, "features array<double>").repartition(3).mapInArrow(count, "features array<double>")
+    monkeypatch.setattr(C, "BLOCK", 30)
+    model = C.WeightedKMeans(3, max_iter=8, tol=0.0).fit(rows, x[:3])
+    assert model.iterations == 8
+    assert read.value <= 2 * 210  # counted, then held
+    want = x[:3]
+    for _ in range(8):
+        w = C.distance_weights(C.distances(x, want))
+        want = w.T @ x / w.sum(axis=0)[:, None]
+    assert model.centers == pytest.approx(want)
+    with pytest.raises(Exception, match="different lengths"):
+        C.WeightedKMeans(2).step(spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0, 4.0],)], "features array<double>").coalesce(1), np.eye(2))
+
+
 def test_hedge_windows_equal_the_recursion(spark):
     y = np.random.RandomState(0).uniform(size=60)
     hedge = online.Hedge(constants(), rate=0.5)

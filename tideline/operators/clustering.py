@@ -1,9 +1,9 @@
 """Prototype clustering with distance weights: two batch algorithms and four online ones.
 
-Batch: in each iteration every task adds up weights and weighted rows for each centre (a vectorised
-pass, K rows out), a small aggregate follows, and K centres go back to the tasks. Nothing of
-the rows' number is collected. Online rules depend on the order of rows; they run over one ordered
-series for each key.
+Batch: rows are packed into blocks once. In each iteration every task adds up weights and weighted rows
+for each centre (a vectorised pass, a matrix of K rows out), the driver adds the matrices of a few tasks
+a core, and K centres go back to the tasks. Nothing of the rows' number is collected. Online rules
+depend on the order of rows; they run over one ordered series for each key.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,32 @@ def draw_centers(df: DataFrame, features: str, k: int, seed: int | None = 0) ->
     return np.array([r[0] for r in rows], float)
 
 
+#: Numbers in a block of rows (1 MB).
+BLOCK = 1 << 17
+
+
+def blocks(df: DataFrame, features: str) -> DataFrame:
+    """The rows with features as matrices of doubles, one after another: `block` binary, at most BLOCK numbers or one row each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, lengths = b.column(0), np.unique(b.column(0).value_lengths().to_numpy(zero_copy_only=False))
+            if len(lengths) > 1:
+                raise ValueError(f"rows of different lengths: {lengths.min()} and {lengths.max()}")
+            m = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+            n = max(1, BLOCK // max(1, m.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([m[i : i + n].tobytes() for i in range(0, len(m), n)], pa.binary())], ["block"])
+
+    return df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x")).mapInArrow(pack, "block binary")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a pass: by the cores, whatever the rows' number, as the driver adds up a matrix from each."""
+    return 3 * df.sparkSession.sparkContext.defaultParallelism
+
+
 @dataclass
 class _Clustering:
     """Shared: prediction, distances and score against centers."""
@@ -103,36 +131,47 @@ class _Batch(_Clustering):
     def weights(self, d: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
-    def step(self, df: DataFrame, centers: np.ndarray) -> np.ndarray:
-        """New centres from one pass; a centre whose weights don't have a positive sum stays."""
-        weigh, feature = self.weights, self.features
+    def _moved(self, held: DataFrame, centers: np.ndarray) -> np.ndarray:
+        """New centres from one pass over blocks: each task returns one matrix, weights beside weighted sums."""
+        weigh, shape = self.weights, centers.shape
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            top, below = np.zeros_like(centers), np.zeros(len(centers))
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((shape[0], shape[1] + 1))
             for b in batches:
-                if len(b):
-                    x = np.stack(b[feature].to_numpy()).astype(float)
+                for block in b.column(0):
+                    x = np.frombuffer(block.as_buffer()).reshape(-1, shape[1])
                     w = weigh(distances(x, centers))
-                    top, below = top + w.T @ x, below + w.sum(axis=0)
-            yield pd.DataFrame({"k": np.arange(len(centers)), "w": below, "x": list(top)})
-
-        parts = df.where(F.col(feature).isNotNull()).select(feature).mapInPandas(sums, "k int, w double, x array<double>")
-        dims = centers.shape[1]
-        total = parts.groupBy("k").agg(F.sum("w").alias("w"), *[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(dims)])
-        new = centers.copy()
-        for r in total.collect():  # K rows
-            if r["w"] > 0:
-                new[r["k"]] = [r[f"x{i}"] / r["w"] for i in range(dims)]
+                    total[:, 0] += w.sum(axis=0)
+                    total[:, 1:] += w.T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        total = np.zeros((shape[0], shape[1] + 1))
+        for r in held.mapInArrow(sums, "total binary").collect():  # a row for each task, see _tasks
+            total += np.frombuffer(r["total"]).reshape(total.shape)
+        new, some = centers.copy(), total[:, 0] > 0
+        new[some] = total[some, 1:] / total[some, :1]
         return new
 
+    def step(self, df: DataFrame, centers: np.ndarray) -> np.ndarray:
+        """New centres from one pass; a centre whose weights don't have a positive sum stays."""
+        return self._moved(blocks(df, self.features).coalesce(_tasks(df)), centers)
+
     def fit(self, df: DataFrame, init: np.ndarray | None = None):
-        """Iterates until the centres move by less than tol together; the last, smaller move is not made."""
+        """Iterates until the centres move by less than tol together; the last, smaller move is not made.
+
+        The rows are read once and held on the executors' disks as blocks, dealt evenly to the tasks of a pass.
+        """
         centers = draw_centers(df, self.features, self.n_clusters, self.seed) if init is None else np.array(init, float)
-        for self.iterations in range(1, self.max_iter + 1):
-            new = self.step(df, centers)
-            if np.linalg.norm(new - centers) < self.tol:
-                break
-            centers = new
+        n = df.where(F.col(self.features).isNotNull()).count() * centers.shape[1] // BLOCK + 1
+        held = blocks(df, self.features).repartition(min(n, _tasks(df))).persist(StorageLevel.DISK_ONLY)
+        try:
+            for self.iterations in range(1, self.max_iter + 1):
+                new = self._moved(held, centers)
+                if np.linalg.norm(new - centers) < self.tol:
+                    break
+                centers = new
+        finally:
+            held.unpersist()
         self.centers = centers
         return self
 
