@@ -51,6 +51,33 @@ def test_batch_clusterings_read_rows_once(spark, monkeypatch):
         C.WeightedKMeans(2).step(spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0, 4.0],)], "features array<double>").coalesce(1), np.eye(2))
 
 
+@pytest.mark.parametrize("kind", ["double", "int", "date", "timestamp", "string"])
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_as_of_without_keys_is_no_single_task(spark, kind, direction):
+    """All rows of both sides went through one window in one task; times with many rows, none and NULL."""
+    rng = np.random.RandomState(8)
+    t = np.concatenate([rng.randint(1000, 9000, 500), np.full(300, 5000)])
+    at = np.sort(rng.choice(np.arange(1500, 8500), 150, replace=False))
+    place = {"double": lambda c: c + 0.0, "int": lambda c: c, "date": lambda c: F.date_from_unix_date(c), "timestamp": F.timestamp_seconds, "string": lambda c: c.cast("string")}[kind]
+    left = spark.createDataFrame([(i, int(v)) for i, v in enumerate(t)] + [(-1, None)], "id long, n int").select("id", place(F.col("n")).alias("t"))
+    right = spark.createDataFrame([(int(v), float(v)) for v in at], "n int, v double").select(place(F.col("n")).alias("at"), "v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = B.as_of(left, right, "t", "at", ["v"], direction)
+        assert out.columns == ["id", "t", "v", "matched_at"]
+        got = out.withColumn("task", F.spark_partition_id()).withColumn("same", F.col("matched_at") == place(F.col("v").cast("int"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = {-1: None}
+    for i, v in enumerate(t):
+        k = np.searchsorted(at, v, "right") - 1 if direction == "backward" else np.searchsorted(at, v)
+        want[i] = float(at[k]) if 0 <= k < len(at) else None
+    assert {r["id"]: r["v"] for r in got} == want and len(got) == len(want)
+    assert {r["same"] for r in got} == {True, None}
+    if kind != "string":  # has no places for buckets
+        assert len({r["task"] for r in got}) > 1
+
+
 def test_hedge_windows_equal_the_recursion(spark):
     y = np.random.RandomState(0).uniform(size=60)
     hedge = online.Hedge(constants(), rate=0.5)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.functions.scan import bucketed
 from tideline.operators.online import Game, Learner
 from tideline.operators.series import SeriesFrame
 
@@ -26,25 +27,59 @@ DAY = 86_400_000_000
 def as_of(left: DataFrame, right: DataFrame, left_on: str, right_on: str, columns: list[str], direction: str = "backward", keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """left with `columns` and the time of the last right row not after (backward) or the first not before (forward) each left row.
 
-    Both sides are put in one order and the other side's value is carried along a window: one shuffle
-    by the keys, no pairs of rows. Unmatched rows get NULL.
+    With keys, both sides are put in one order and the other side's value is carried along a window: one
+    shuffle by the keys, no pairs of rows. Without, the different times of left take the place of
+    its rows, buckets of times the place of keys, and left is joined to its times: no task holds
+    a side. Unmatched rows get NULL.
     """
     keys = list(keys)
     names = list(left.columns)
-    lefts = left.select(*[F.col(f"`{c}`").alias(f"l_{i}") for i, c in enumerate(names)], *[F.col(f"`{k}`").alias(f"k_{i}") for i, k in enumerate(keys)], F.col(f"`{left_on}`").alias("o"), F.lit(1 if direction == "backward" else 0).alias("side"), F.lit(None).alias("r"))
     taken = F.struct(*[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(columns)], F.col(f"`{right_on}`").alias("r_at"))
-    rights = right.where(F.col(f"`{right_on}`").isNotNull()).select(*[F.lit(None).cast(f.dataType).alias(f"l_{i}") for i, f in enumerate(left.schema.fields)], *[F.col(f"`{k}`").alias(f"k_{i}") for i, k in enumerate(keys)], F.col(f"`{right_on}`").alias("o"), F.lit(0 if direction == "backward" else 1).alias("side"), taken.alias("r"))
-    lefts = lefts.withColumn("r", F.lit(None).cast(rights.schema["r"].dataType))
-    both = lefts.withColumn("is_left", F.lit(True)).unionByName(rights.withColumn("is_left", F.lit(False)))
-    by = Window.partitionBy(*[f"k_{i}" for i in range(len(keys))])
-    if direction == "backward":
-        carried = F.last("r", True).over(by.orderBy("o", "side").rowsBetween(Window.unboundedPreceding, 0))
+    rights = right.where(F.col(f"`{right_on}`").isNotNull()).select(*[F.col(f"`{k}`").alias(f"k_{i}") for i, k in enumerate(keys)], F.col(f"`{right_on}`").alias("o"), taken.alias("r"))
+    lefts = left.select(*[F.col(f"`{c}`").alias(f"l_{i}") for i, c in enumerate(names)], *[F.col(f"`{k}`").alias(f"k_{i}") for i, k in enumerate(keys)], F.col(f"`{left_on}`").alias("o"))
+    if keys or not all(_place(df) is not None for df in (lefts, rights)):
+        out = _carried(lefts, rights, direction, [f"k_{i}" for i in range(len(keys))])
     else:
-        carried = F.last("r", True).over(by.orderBy(F.desc("o"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("r", carried).where("is_left")
+        out = lefts.join(_carried_over_times(lefts.select("o").where("o IS NOT NULL").distinct(), rights, direction), "o", "left")
     return out.select(*[F.col(f"l_{i}").alias(c) for i, c in enumerate(names)], *[F.col(f"r.r_{i}").alias(c) for i, c in enumerate(columns)], F.col("r.r_at").alias("matched_at"))
 
 
+def _sides(lefts: DataFrame, rights: DataFrame, direction: str) -> tuple[DataFrame, list[Column]]:
+    """Both sides' rows with is_left, r of the right ones, and the order in which r is carried on."""
+    side = lambda is_left: F.lit(int(is_left == (direction == "backward"))).alias("side")
+    both = lefts.select("*", side(True), F.lit(None).cast(rights.schema["r"].dataType).alias("r"), F.lit(True).alias("is_left"))
+    both = both.unionByName(rights.select("*", side(False), F.lit(False).alias("is_left")), allowMissingColumns=True)
+    return both, [F.col("o"), F.col("side")] if direction == "backward" else [F.desc("o"), F.desc("side")]
+
+
+def _carried(lefts: DataFrame, rights: DataFrame, direction: str, keys: list[str]) -> DataFrame:
+    both, order = _sides(lefts, rights, direction)
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("r", F.when(F.col("o").isNotNull(), F.last("r", True).over(upto))).where("is_left")
+
+
+def _place(df: DataFrame) -> Column | None:
+    """The time column o as a double in the same order, for buckets; None for other types."""
+    kind = df.schema["o"].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date("o").cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros("o").cast("double")
+    return F.col("o").cast("double") if isinstance(kind, T.NumericType) else None
+
+
+def _carried_over_times(times: DataFrame, rights: DataFrame, direction: str) -> DataFrame:
+    """Rows (o, r) of different times: carried inside buckets of time; what reaches a bucket is the last of a bucket before it."""
+    both, order = _sides(times, rights, direction)
+    both = bucketed(both.withColumn("_place", _place(both)), "_place")
+    at, pick = F.when(~F.col("is_left"), F.col("o")), F.max_by if direction == "backward" else F.min_by
+    along = Window.orderBy("_bucket" if direction == "backward" else F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    lasts = both.groupBy("_bucket").agg(pick("r", at).alias("_top")).select("_bucket", F.last("_top", True).over(along).alias("_before"))
+    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each bucket
+    return both.join(F.broadcast(lasts), "_bucket").withColumn("r", F.coalesce(F.last("r", True).over(inside), "_before")).where("is_left").select("o", "r")
+
+
 def micros_of(offset: str) -> int | None:
     """Microseconds of an offset of fixed length ('7D', '90min'), None for calendar ones ('MS', 'W', 'B'); others raise."""
     try:
