@@ -154,6 +154,48 @@ def test_summaries_of_large_tables_select(spark, monkeypatch):
         assert x[1:] == pytest.approx(y[1:])
 
 
+def test_large_tables_are_read_three_times(spark, monkeypatch):
+    """Rows, ends and plain metrics; buckets; the values of the last brackets. A scan after the selection took more time than the selection."""
+    from tideline.plans import summaries as S
+
+    monkeypatch.setattr(L, "SELECT_ROWS", 100)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = 500
+    df = spark.createDataFrame([(float(i % 17), float(i * i)) for i in range(n)], "a double, b double").mapInArrow(counted, "a double, b double")
+    for call in (lambda: S.column_metrics(df, S.DISPERSION), lambda: S.column_metrics(df, S.LOCATION), lambda: S.box_stats(df), lambda: L.quantiles(df, "b", [0.1, 0.5])):
+        before = seen.value
+        call().collect()
+        assert seen.value - before <= 3 * n
+
+
+def test_metrics_of_large_tables_keep_their_types(spark, monkeypatch):
+    from tideline.plans import summaries as S
+
+    df = spark.createDataFrame([(float(i % 17), None, float("nan") if i % 3 == 0 else float(i), i) for i in range(500)], "a double, `b.x` double, c double, d long")
+    metrics = S.DISPERSION | {
+        "n": F.count,
+        "list": lambda c: F.sort_array(F.collect_set(c.cast("int") % 3)),
+        "ends": lambda c: F.struct(F.min(c).alias("low"), F.max(c).cast("decimal(10,2)").alias("high")),
+        "time": lambda c: F.timestamp_seconds(F.max(c)),
+        "text": lambda c: F.max(c.cast("string")),
+        "map": lambda c: F.map_from_arrays(F.array(F.lit("k")), F.array(F.max(c))),
+    }
+    for rows in (df, df.where("false")):
+        monkeypatch.setattr(L, "SELECT_ROWS", 5_000_000)
+        small = S.column_metrics(rows, metrics)
+        want = small.orderBy("column").collect()
+        monkeypatch.setattr(L, "SELECT_ROWS", -1)
+        large = S.column_metrics(rows, metrics)
+        assert large.schema.simpleString() == small.schema.simpleString()
+        assert large.orderBy("column").collect() == want
+
+
 @pytest.mark.parametrize("name", ["dispersion_summary", "boxplot_stats", "location_summary"])
 def test_summaries_of_large_tables_equal_sql_without_sketches(spark, monkeypatch, name):
     from tests.parity import compare

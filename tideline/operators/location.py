@@ -8,7 +8,7 @@ uses `functions.scan`, so a table without groups is no single-task window.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,8 +52,8 @@ def quantiles(df: DataFrame, value: str, q: list[float], weight: str | None = No
     q = [min(1.0, max(0.0, float(x))) for x in q]
     rows = sample(df, value, weight, keys)
     if weight is None:
-        if not keys and rows.count() > SELECT_ROWS:
-            return _selected(rows, q)
+        if not keys and (found := rows.agg(*ends(["x"])).first())[0] > SELECT_ROWS:
+            return _selected(rows, q, found)
         return (rows.groupBy(*keys) if keys else rows).agg(F.percentile("x", F.array(*[F.lit(x) for x in q])).alias("values"))
     _check_weights(rows)
     keys = list(keys)
@@ -75,8 +75,8 @@ def quantiles(df: DataFrame, value: str, q: list[float], weight: str | None = No
     return found.select(*keys, F.array(*[at(i, x) for i, x in enumerate(q)]).alias("values"))
 
 
-def _selected(rows: DataFrame, q: list[float]) -> DataFrame:
-    found = selected(rows, ["x"], q)["x"]
+def _selected(rows: DataFrame, q: list[float], known: Sequence[float] | None = None) -> DataFrame:
+    found = selected(rows, ["x"], q, known)["x"]
     return rows.sparkSession.range(1).select(F.array(*[F.lit(v) for v in found]).alias("values"))
 
 
@@ -126,18 +126,24 @@ def _inside(rows: DataFrame, brackets: list[_Bracket], key: Callable[[int, _Brac
     return rows.select(F.explode(F.array(*parts)).alias("s")).select("s.*").where("k IS NOT NULL")
 
 
-def selected(df: DataFrame, columns: list[str], q: list[float]) -> dict[str, list[float | None]]:
+def ends(columns: list[str] | list[Column]) -> list[Column]:
+    """Aggregates that `selected` starts from: number of values, least and greatest one of each column in turn."""
+    return [f(c) for c in columns for f in (F.count, F.min, F.max)]
+
+
+def selected(df: DataFrame, columns: list[str], q: list[float], known: Sequence[float] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles of numeric columns of a large table, all columns at once, in a few scans without any sort or sketch.
 
     Wanted ranks lie in brackets, at first from the least to the greatest value. A scan counts the rows
     in buckets of all brackets, with the least and greatest value of each, and the bucket of a rank
     is its next bracket. One of a single value is done; the values of one of at most BRACKET_ROWS
-    are read with their counts. An empty column has None.
+    are read with their counts. An empty column has None. known: the `ends` of the columns as numbers,
+    where an earlier scan has found them.
     """
     names = {c: f"v{i}" for i, c in enumerate(columns)}
     rows = df.select(*[number(c).alias(v) for c, v in names.items()])
-    ends = rows.agg(*[f(v) for v in names.values() for f in (F.count, F.min, F.max)]).first()
-    n = dict(zip(names.values(), ends[::3], strict=True))
+    known = rows.agg(*ends(list(names.values()))).first() if known is None else known
+    n = dict(zip(names.values(), known[::3], strict=True))
     value: dict[tuple[str, int], float] = {}
     wanted: dict[_Bracket, set[int]] = {}
 
@@ -147,7 +153,7 @@ def selected(df: DataFrame, columns: list[str], q: list[float]) -> dict[str, lis
         elif ranks:
             wanted.setdefault(b, set()).update(ranks)
 
-    for v, low, high in zip(names.values(), ends[1::3], ends[2::3], strict=True):
+    for v, low, high in zip(names.values(), known[1::3], known[2::3], strict=True):
         put(_Bracket(v, low, high, 0, n[v]), {f((n[v] - 1) * x) for x in q for f in (math.floor, math.ceil)} if n[v] else set())
     while wanted:
         ready = [b for b in wanted if b.inside <= BRACKET_ROWS]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +34,29 @@ def column_metrics(df: DataFrame, metrics: dict[str, ColumnMetric], columns: lis
     """Rows (keys, column, one field for each metric): one aggregate over one scan, then unpivoted.
 
     Quantiles of a large table without keys are selected in a few scans (`location.selected`), as an
-    exact percentile aggregate holds every different value.
+    exact percentile aggregate holds every different value. The scan that counts the rows then gives all
+    other metrics and the least and greatest values too, so none follows the selection.
     """
     columns = [c for c in numeric_columns(df) if c not in keys] if columns is None else columns
     shares = sorted({q for m in metrics.values() if isinstance(m, Quantiles) for q in m.shares})
-    large = bool(shares) and not keys and df.count() > location.SELECT_ROWS
-    found = location.selected(df, columns, shares) if large else {}
     aggregates = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(columns):
-        if large:
-            aggregates.append(F.first(F.array(*[F.lit(v).cast("double") for v in found[c]])).alias(f"_q{i}"))
-        elif shares:
-            aggregates.append(F.percentile(number(c), F.array(*[F.lit(q) for q in shares])).alias(f"_q{i}"))
-        aggregates += [m(number(c)).alias(f"_{i}_{n}") for n, m in metrics.items() if not isinstance(m, Quantiles)]
-    one = (df.groupBy(*keys) if keys else df).agg(*aggregates)
+    aggregates += [m(number(c)).alias(f"_{i}_{n}") for i, c in enumerate(columns) for n, m in metrics.items() if not isinstance(m, Quantiles)]
+    large = False
+    if shares and not keys:
+        # Arrow keeps every type and, unlike rows, needs no Python worker on the way back
+        scanned = df.agg(*aggregates, *[e.alias(f"_end{i}") for i, e in enumerate(location.ends([number(c) for c in columns]))]).toArrow()
+        rows, *ends = [scanned[n][0].as_py() for n in scanned.column_names if n == "_rows" or n.startswith("_end")]
+        large = rows > location.SELECT_ROWS
+    if large:
+        found = location.selected(df, columns, shares, ends)
+        scanned = scanned.select(range(len(aggregates)))
+        for i, c in enumerate(columns):
+            scanned = scanned.append_column(f"_q{i}", pa.array([found[c]], pa.list_(pa.float64())))
+        one = df.sparkSession.createDataFrame(scanned)
+    else:
+        if shares:
+            aggregates += [F.percentile(number(c), F.array(*[F.lit(q) for q in shares])).alias(f"_q{i}") for i, c in enumerate(columns)]
+        one = (df.groupBy(*keys) if keys else df).agg(*aggregates)
 
     def value(i: int, name: str, m: ColumnMetric) -> Column:
         if isinstance(m, Quantiles):
